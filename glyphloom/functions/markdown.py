@@ -314,7 +314,7 @@ class Reader:
                     blanks = 0
                     j += 1
                     continue
-                if not blanks and not self.opens_block(s, True) and self.lazy(inner):
+                if not blanks and not ITEM.match(s) and not self.opens_block(s, True) and self.lazy(inner):
                     inner.append(lines[j])
                     j += 1
                     continue

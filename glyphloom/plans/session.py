@@ -52,6 +52,8 @@ def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if columns:
         df = df.select(*columns)
+    if df.isStreaming:
+        return df
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
