@@ -35,6 +35,7 @@ MONTHS = frozenset(
     "jänner january february march may june july october december".split()
 )
 CLOSERS = "\"”»’'“‘›)]」』》】〉）］｝}＂＇"
+SPACELESS_CLOSERS = "\"”»’)]」』》】〉）］｝}＂"
 PAIRS = {"“": "”", "„": "“”", "«": "»", "(": ")", "[": "]", "「": "」", "『": "』", "《": "》", "（": "）",
          "【": "】", "〈": "〉", "［": "］", "‹": "›", "‚": "‘’", "”": "”"}
 CLOSE_OF = {c: o for o, cs in PAIRS.items() if o != "”" for c in cs}
@@ -102,14 +103,16 @@ def _enclosures(block: str) -> list[tuple[int, int]]:
     return out
 
 
+_INNER = {w.translate(LOOKALIKE) for w in INNER_ABBREVIATIONS}
+_FINAL = {w.translate(LOOKALIKE) for w in FINAL_ABBREVIATIONS}
+
+
 def _inner(word: str) -> bool:
-    w = unicodedata.normalize("NFKC", word).lower()
-    return w in INNER_ABBREVIATIONS or w.translate(LOOKALIKE) in INNER_ABBREVIATIONS
+    return unicodedata.normalize("NFKC", word).lower().translate(LOOKALIKE) in _INNER
 
 
 def _final(word: str) -> bool:
-    w = unicodedata.normalize("NFKC", word).lower()
-    return w in FINAL_ABBREVIATIONS or w.translate(LOOKALIKE) in FINAL_ABBREVIATIONS
+    return unicodedata.normalize("NFKC", word).lower().translate(LOOKALIKE) in _FINAL
 
 
 def _period_ends(before: str, after: str) -> bool:
@@ -128,14 +131,8 @@ def _period_ends(before: str, after: str) -> bool:
         if first.islower() or first.isdigit():
             return False
         prev = (WORD_BEFORE.search(before[: len(before) - len(word)].rstrip()) or [""])[0]
-        low = bare.lower()
-        if low in "mм" and re.fullmatch(r"[ap]\.", prev.lower()):
-            return True
-        if low in "дп" and prev.lower() == "т.":
-            return True
-        if low == "г":
-            return False
-        return False
+        low, prev = bare.lower().translate(LOOKALIKE), prev.lower().translate(LOOKALIKE)
+        return low == "m" and prev in ("a.", "p.") or low in ("д", "п") and prev == "т."
     if _inner(word):
         return first == "" or not nxt[:1].strip()
     if re.fullmatch(r"\d{1,2}", bare):
@@ -211,7 +208,7 @@ def _spaceless_ends(block: str, enclosed: list[tuple[int, int]]) -> list[int]:
         if i < start or set(run) <= set("…"):
             continue
         k = j
-        while k < n and block[k] in CLOSERS:
+        while k < n and block[k] in SPACELESS_CLOSERS:
             k += 1
         if set(run) <= set(".．") and not (k == n or block[k].isspace()):
             continue
