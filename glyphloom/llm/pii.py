@@ -251,8 +251,14 @@ class Finder:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
         spots: dict[str, list[int]] = {}
         for end, (size, kinds) in self.auto.iter(low):
+            start = end - size + 1
             for k in kinds:
-                spots.setdefault(k, []).append(end - size + 1)
+                # a cue in Latin letters is a word of its own; a short one also ends there
+                if k == "id" and low[start] < "\x80" and (
+                    start and low[start - 1].isalnum() and low[start - 1] < "\x80" or size <= 4 and low[end + 1 : end + 2].isalnum() and low[end + 1] < "\x80"
+                ):
+                    continue
+                spots.setdefault(k, []).append(start)
         digits = any(c.isdigit() for c in t)
         found: list[tuple[int, int, str]] = []
         if "email" in spots:
@@ -482,13 +488,13 @@ class Finder:
             tail = re.match(rf"-(?:{CAP}|{UP})", t[e:])
             if tail:
                 b = e + tail.end()
-            m = re.search(rf"((?:(?<![A-Za-z])[A-Z]\. ?)+)((?:{particle} )?)$", before)
+            m = re.search(rf"((?:(?<![A-Za-z0-9])[A-Z]\. ?)+)((?:{particle} )?)$", before)
             if m:
                 return p - (len(before) - m.start()), b, "initial family"
             m = re.search(rf"({CAP}) ((?:{particle} )?)$", before)
             if m and m[1].lower() not in TITLES and (self._word_kinds(m[1]) or m[2]) and not NOT_PERSON_BEFORE.search(m[0].lower()):
                 return p - (len(before) - m.start()), b, "given family"
-            m = re.search(rf"(?<![A-Za-z])({CAP}(?: [A-Z]\.)?) ((?:{particle} )?)$", before)
+            m = re.search(rf"(?<![A-Za-z0-9])({CAP}(?: [A-Z]\.)?) ((?:{particle} )?)$", before)
             if m and m[1].lower() not in TITLES and NAME_CUES.search(before[: m.start()].lower()):
                 return p - (len(before) - m.start()), b, "unlisted given"
             if re.search(r"(?i:\b(?:mr|mrs|ms|miss|dr|prof|frau|herrn?|mme|mlle|monsieur|madame|sr|sra)\.?\s)$", before):
