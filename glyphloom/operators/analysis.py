@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from glyphloom import policy
 from glyphloom.functions.guards import MAX_BYTES
 from glyphloom.operators.waivers import decide
-from glyphloom.plans.session import spread
+from glyphloom.plans.session import cut, spread
 
 HIT_DDL = (
     "seq int, rule_id string, start bigint, end bigint, quoted boolean, force_candidate boolean, force_hint boolean, detail string, "
@@ -136,9 +136,13 @@ def stance_table(spark: SparkSession) -> DataFrame:
 
 
 def resolve(hits: DataFrame, deployment: Deployment = Deployment()) -> DataFrame:
-    """Stance, tier and lifecycle of exploded hits, in the fixed order: forced, relaxed, quoted, demoted."""
+    """Stance, tier and lifecycle of exploded hits, in the fixed order: forced, relaxed, quoted, demoted.
+
+    A row without a rule (a document without hits) passes through.
+    """
     spark = hits.sparkSession
-    df = hits.join(F.broadcast(rule_table(spark)), "rule_id").join(F.broadcast(stance_table(spark)), ["rule_id", "profile"]).where("stance <> 'off' and lifecycle <> 'deprecated'")
+    df = hits.join(F.broadcast(rule_table(spark)), "rule_id", "left").join(F.broadcast(stance_table(spark)), ["rule_id", "profile"], "left")
+    df = df.where("rule_id is null or (stance <> 'off' and lifecycle <> 'deprecated')")
     tier = F.when(F.col("force_hint"), "coverage_hint").when(F.col("force_candidate") & (F.col("tier") == "violation"), "candidate").otherwise(F.col("tier"))
     df = df.withColumn("t1", tier).withColumn("l1", F.when(F.col("force_hint"), "advisory").otherwise(F.col("lifecycle")))
     relax = F.col("stance") == "relax"
@@ -168,45 +172,52 @@ def suggestion() -> Column:
     )
 
 
-def analyze(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", suggest: bool = False, waivers: DataFrame | None = None, deployment: Deployment = Deployment(), now: int | None = None, max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text") -> Analysis:
+def analyze(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", suggest: bool = False, waivers: DataFrame | None = None, deployment: Deployment = Deployment(), now: int | None = None, max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text", keep: bool = False) -> Analysis:
     """Findings, verdicts, segments, sections and family rates of every document.
 
     ``waivers``: rule_id, span_start, span_end, signer_kind, expires (RFC 3339), optionally
-    doc_id; ``now`` in unix seconds makes expired waivers fail.
+    doc_id; ``now`` in unix seconds makes expired waivers fail.  Deliveries of one content under
+    one id count once; two contents under one id are two documents.  ``keep`` writes the reading
+    stage to the checkpoint folder, for callers that use several of the result relations.
     """
     read = read_documents(df, profile, input_format, deployment, max_bytes, id_column, content)
-    hits = read.where("status = 'ok'").select("doc_id", "profile", "word_count", F.inline("hits"))
-    found = resolve(hits, deployment)
+    if keep:
+        read = cut(read)
+    doc_columns = [c for c in read.columns if c not in ("hits", "segments", "sections")]
+    # one pass for both: a document without hits keeps one row without a rule
+    found = resolve(read.select(*doc_columns, F.inline_outer(F.when(F.col("status") == "ok", F.col("hits")))), deployment)
+    found = found.repartition("doc_id")  # the only exchange: window, gate and rates are partitioned by document already
     found = decide(found, waivers, deployment.waiver_authority, now)
-    # distinct on rule, span and state: the first in reading order stays
-    w = Window.partitionBy("doc_id", "rule_id", "start", "end", "state").orderBy("seq")
+    # distinct on rule, span and state (deliveries of one content fold here too): the first in reading order stays
+    w = Window.partitionBy("doc_id", "sha256", "rule_id", "start", "end", "state").orderBy("seq")
     found = found.withColumn("n", F.row_number().over(w)).where("n = 1")
     message = F.concat_ws(": ", F.replace("name", F.lit("-"), F.lit(" ")), "detail")
     fix = F.when(~F.col("force_hint"), suggestion()) if suggest else F.lit(None).cast("string")
-    findings = found.select(
+    findings = found.where("rule_id is not null").select(
         "doc_id", "profile", "rule_id", "family", "state", "lifecycle", "waived", "start", "end", "view", "container", "snippet", "section", "provenance",
-        fix.alias("replace_with"), message.alias("message"), "word_count", "waiver_notes",
+        fix.alias("replace_with"), message.alias("message"), "word_count",
     )
     open_ = ~F.col("waived") & (F.col("lifecycle") == "blocking")
-    gate = findings.groupBy("doc_id").agg(
+    gate = found.groupBy("doc_id", "sha256").agg(
+        *(F.first(c).alias(c) for c in doc_columns if c not in ("doc_id", "sha256")),
         F.bool_or(open_ & (F.col("state") == "violation")).alias("has_violation"), F.bool_or(open_ & (F.col("state") == "candidate")).alias("has_candidate"),
-        F.count("*").alias("findings"), F.bool_or(F.col("rule_id") == "J001").alias("adversarial"), F.array_distinct(F.flatten(F.collect_list("waiver_notes"))).alias("waiver_notes"),
+        F.count("rule_id").alias("findings"), F.bool_or(F.col("rule_id") == "J001").alias("adversarial"),
+        F.array_distinct(F.flatten(F.collect_list("waiver_notes"))).alias("waiver_notes"),
     )
     state = (
         F.when(F.col("status") != "ok", F.col("status")).when(F.col("has_violation"), "violations_present")
         .when(F.col("has_candidate"), "candidates_present").otherwise("no_findings")
     )
-    docs = read.drop("hits", "segments", "sections").join(gate, "doc_id", "left").withColumn("result_state", state)
     notes = F.array_compact(F.array(
         F.when(F.col("bom_stripped"), "leading byte order mark stripped; offsets index the rest"), F.when(F.col("mixed_line_endings"), "mixed line endings"),
         F.when(F.col("adversarial"), "injection pattern present: every candidate needs a human reader"),
     ))
-    documents = docs.select(
+    documents = gate.withColumn("result_state", state).select(
         "doc_id", "profile", "input_format", "sha256", "bytes", "byte_len", "word_count", "prose_bytes", "bullets", "linked_bullets", "task_bullets", "paragraph_words",
-        "status", "error", "result_state", exit_code(F.col("result_state")).alias("exit_code"), F.coalesce("findings", F.lit(0)).alias("findings"),
-        F.concat(notes, F.coalesce("waiver_notes", F.array().cast("array<string>"))).alias("notes"),
+        "status", "error", "result_state", exit_code(F.col("result_state")).alias("exit_code"), "findings", F.concat(notes, "waiver_notes").alias("notes"),
     )
-    return Analysis(documents, findings.drop("waiver_notes"), read.select("doc_id", F.inline("segments")), read.select("doc_id", F.inline("sections")), family_rates(findings), read)
+    segments = read.select("doc_id", F.inline("segments")).distinct()
+    return Analysis(documents, findings, segments, read.select("doc_id", F.inline("sections")).distinct(), family_rates(findings), read)
 
 
 def exit_code(state: Column) -> Column:

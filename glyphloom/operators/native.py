@@ -33,10 +33,10 @@ def term_rows() -> list[tuple[str, str, str, int]]:
     return out
 
 
-def ngrams(df: DataFrame, key: str, text: Column, n: int = NGRAM) -> DataFrame:
-    """(key, gram) of every run of 1 to ``n`` words, built in the row without a join or a shuffle."""
+def ngrams(df: DataFrame, key: list[str], text: Column, n: int = NGRAM) -> DataFrame:
+    """(key columns, gram) of every run of 1 to ``n`` words, built in the row without a join or a shuffle."""
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORDS})"), 1)
-    df = df.select(key, words.alias("w")).where(F.size("w") > 0)
+    df = df.select(*key, words.alias("w")).where(F.size("w") > 0)
     grams = [
         F.transform(
             F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>")),
@@ -44,14 +44,19 @@ def ngrams(df: DataFrame, key: str, text: Column, n: int = NGRAM) -> DataFrame:
         )
         for k in range(1, n + 1)
     ]
-    return df.select(key, F.explode(F.concat(*grams)).alias("gram"))
+    return df.select(*key, F.explode(F.concat(*grams)).alias("gram"))
 
 
-def term_hits(df: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, rule_id, family, hits): word-set hits in token form, by a broadcast hash join on the n-gram."""
+def term_hits(df: DataFrame, key: str, text: Column, delivery: str | None = None) -> DataFrame:
+    """(key, rule_id, family, hits): word-set hits in token form, by a broadcast hash join on the n-gram.
+
+    Where one key comes in several ``delivery`` rows of the same content it counts once.
+    """
+    keys = [key, delivery] if delivery else [key]
     spark = df.sparkSession
     terms = spark.createDataFrame([(r, f, t) for r, f, t, _ in term_rows()], "rule_id string, family string, gram string")
-    return ngrams(df, key, text).join(F.broadcast(terms), "gram").groupBy(key, "rule_id", "family").agg(F.count("*").alias("hits"))
+    out = ngrams(df, keys, text).join(F.broadcast(terms), "gram").groupBy(*keys, "rule_id", "family").agg(F.count("*").alias("hits"))
+    return out.drop(delivery).distinct() if delivery else out
 
 
 def sql_patterns() -> list[tuple[str, str]]:
@@ -73,7 +78,8 @@ def pattern_documents(df: DataFrame, key: str, text: Column) -> DataFrame:
     for r, p in sql_patterns():
         by.setdefault(r, []).append(p)
     flags = [reduce(lambda a, b: a | b, [text.rlike(p) for p in ps]).alias(r) for r, ps in by.items()]
-    wide = df.select(key, *flags).agg(*[F.count_if(F.col(r)).alias(r) for r in by])
+    once = df.select(key, *flags).groupBy(key).agg(*[F.bool_or(r).alias(r) for r in by])
+    wide = once.agg(*[F.count_if(F.col(r)).alias(r) for r in by])
     return wide.select(F.explode(F.create_map(*[x for r in by for x in (F.lit(r), F.col(r))])).alias("rule_id", "documents"))
 
 
@@ -158,18 +164,21 @@ def top_repeats(toks: DataFrame, k: int = 8, top: int = 20) -> DataFrame:
 
 
 def source_lines(df: DataFrame, key: str, text: Column, code: DataFrame) -> DataFrame:
-    """(key, lines, source_lines) outside code blocks: an interval anti-join of the lines with the blocks."""
-    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"), text.alias("t"))
-    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.drop("t").withColumn("s", F.coalesce(F.sum(F.octet_length("line") + 1).over(w), F.lit(0)).cast("bigint"))
-    lines = lines.withColumn("e", F.col("s") + F.octet_length("line") + 1)
-    blocks = code.select(F.col(key).alias("c_key"), "byte_start", "byte_end").distinct()
-    out = lines.join(blocks, (F.col(key) == F.col("c_key")) & (F.col("byte_start") < F.col("e")) & (F.col("s") < F.col("byte_end")), "left_anti")
+    """(key, lines, source_lines) outside code blocks: an interval anti-join of the lines with the blocks.
+
+    Lines are judged where they are read; only their number, length and verdict are shuffled.
+    """
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
     t = F.trim(F.regexp_replace("line", r"[\t\r]", " "))
     shaped = t.rlike(r"^(#\[|#!\[|//)") | t.rlike(r"^[{}()\[\];,]+$") | (
         t.rlike(r"[{};(),\]]$") & (t.rlike(r"^(pub |pub\(crate\) |async |unsafe )?(fn|struct|enum|impl|trait|mod|use|const|static|type|let|match|extern)\b") | t.contains("::") | t.contains("->") | t.contains("=>"))
     )
-    return out.where(t != "").groupBy(key).agg(F.count("*").alias("lines"), F.count_if(shaped).alias("source_lines"))
+    lines = lines.select(key, "n", (F.octet_length("line") + 1).alias("size"), (t != "").alias("full"), shaped.alias("shaped")).distinct()
+    w = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("s", F.coalesce(F.sum("size").over(w), F.lit(0)).cast("bigint")).withColumn("e", F.col("s") + F.col("size"))
+    blocks = code.select(F.col(key).alias("c_key"), "byte_start", "byte_end").distinct()
+    out = lines.join(blocks, (F.col(key) == F.col("c_key")) & (F.col("byte_start") < F.col("e")) & (F.col("s") < F.col("byte_end")), "left_anti")
+    return out.where("full").groupBy(key).agg(F.count("*").alias("lines"), F.count_if("shaped").alias("source_lines"))
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -208,6 +217,7 @@ def verdicts(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     from glyphloom.operators.analysis import rule_table, stance_table
 
     spark = hits.sparkSession
+    docs = docs.select(key, "profile").distinct()
     h = hits.join(docs.select(key, F.coalesce("profile", F.lit("general-writing")).alias("profile")), key)
     h = h.join(F.broadcast(rule_table(spark).drop("family")), "rule_id").join(F.broadcast(stance_table(spark)), ["rule_id", "profile"]).where("stance <> 'off'")
     state = F.when((F.col("stance") == "relax") & (F.col("tier") == "violation"), "candidate").otherwise(F.col("tier"))

@@ -77,11 +77,11 @@ def decide(found: DataFrame, waivers: DataFrame | None, authority: str = HUMAN,
     w = w.withColumn("t", expiry("expires"))
     if w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         w = F.broadcast(w)
-    key = ["doc_id", "rule_id", "start", "end", "state", "seq"]
+    key = ["doc_id", "sha256", "rule_id", "start", "end", "state", "seq"]
     on = (F.col("rule_id") == F.col("w_rule")) & (F.col("span_start") <= F.col("start")) & (F.col("span_end") >= F.col("end"))
     if per_doc:
         on = on & (F.col("doc_id") == F.col("w_doc"))
-    j = found.select(*key, "human_only").join(w, on)
+    j = found.where("rule_id is not null").select(*key, "human_only").distinct().join(w, on)
     reason = F.coalesce(
         F.when(F.lit(now is not None) & F.col("t").isNull(), F.concat(F.lit("waiver for "), "rule_id", F.lit(" has an unreadable expiry and is ignored"))),
         F.when(F.lit(now is not None) & (F.col("t") < F.lit(now or 0)), F.concat(F.lit("expired waiver for "), "rule_id", F.lit(" ignored"))),
@@ -114,7 +114,7 @@ def verify(documents: DataFrame, approvals: DataFrame, now: int, id_column: str
     known = F.col("a_profile").isin(*policy.PROFILES)
     joined = documents.select(F.col(id_column).alias("doc_id"), F.col(content).alias("text")).join(a, F.col("doc_id") == F.col("a_doc"))
     read = read_documents(joined.select("doc_id", "text", "a_profile"), F.when(known, F.col("a_profile")), input_format)
-    hits = resolve(read.where("status = 'ok'").select("doc_id", "profile", "word_count", F.inline("hits")), Deployment())
+    hits = resolve(read.where("status = 'ok'").select("doc_id", "sha256", "profile", "word_count", F.inline("hits")), Deployment())
     w = a.select(F.col("a_doc").alias("doc_id"), F.posexplode_outer("a_waivers").alias("w_ord", "x")).where("x is not null").select("doc_id", "w_ord", "x.*")
     hits = decide(hits, w, "orchestrator-agent", now)
     hits = hits.join(a.select(F.col("a_doc").alias("doc_id"), "demote"), "doc_id").withColumn(
@@ -129,7 +129,7 @@ def verify(documents: DataFrame, approvals: DataFrame, now: int, id_column: str
         floor_reason(F.col("rule_id"), F.col("signer_kind"), F.col("human_only"), "orchestrator-agent"),
     )).alias("p")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("w_ord", "p"))), lambda x: x["p"])).alias("waiver_problems"))
     digest = policy.digest()
-    out = read.select("doc_id", "sha256", "status", "error").join(a, F.col("doc_id") == F.col("a_doc")).join(blocking, "doc_id", "left").join(bad, "doc_id", "left")
+    out = read.select("doc_id", "sha256", "status", "error").distinct().join(a, F.col("doc_id") == F.col("a_doc")).join(blocking, "doc_id", "left").join(bad, "doc_id", "left")
     problems = F.concat(
         F.array_compact(F.array(
             F.when(F.col("sha256") != F.col("want_hash"), F.concat(F.lit("document hash mismatch: payload is "), "sha256", F.lit(", approval says "), "want_hash")),

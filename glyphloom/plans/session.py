@@ -43,17 +43,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Plan nodes after which the number of tasks is the shuffle's business.
+_WIDE = ("Aggregate", "Join", "Repartition", "Window", "Sort", "Distinct", "Deduplicate")
+
+
 def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows over at least all cores before work that costs much CPU a row.
 
-    A large input already has more splits than cores and is left alone (no shuffle); only a
-    small one, read in few splits, is dealt out.
+    Only a plain scan in fewer splits than cores is dealt out; a large input has more splits
+    than cores and is left alone (no shuffle), and so is anything behind a shuffle or a stream.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     if columns:
         df = df.select(*columns)
     if df.isStreaming:
         return df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in _WIDE):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 

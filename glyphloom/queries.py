@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphloom import policy
 from glyphloom.operators import analysis, native, waivers
 from glyphloom.plans.seeds import SENTENCES
-from glyphloom.plans.session import prepare, table
+from glyphloom.plans.session import prepare, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEEDS = len(SENTENCES)
@@ -19,15 +19,15 @@ WAIVED = [(0, "html", 0, 400), (1, "prose", 100, 900), (2, "structure", 0, 2_000
 
 
 def _prepared(spark: SparkSession, d: str) -> DataFrame:
-    """One row a document: deliveries of a prep_id have the same content, so any will do; no text is sorted."""
-    return native.latest(table(prepare(spark), d, "prepared").select("prep_id", "received_at", "text", "profile", "input_format"), "prep_id", "received_at")
+    """All deliveries.  Copies of a document fold in the narrow results, so that no text is ever shuffled."""
+    return spread(table(prepare(spark), d, "prepared"), ["prep_id", "text", "profile", "input_format"]).withColumn("delivery", F.monotonically_increasing_id())
 
 
 def _seeded(spark: SparkSession, d: str) -> DataFrame:
     """Every document with one seed sentence after its text."""
     seeds = spark.createDataFrame(list(enumerate(SENTENCES)), "k bigint, sentence string")
     p = _prepared(spark, d)
-    return p.join(F.broadcast(seeds), F.pmod("prep_id", F.lit(SEEDS)) == F.col("k")).select("prep_id", "profile", F.concat("text", F.lit("\n\n"), "sentence").alias("text"))
+    return p.join(F.broadcast(seeds), F.pmod("prep_id", F.lit(SEEDS)) == F.col("k")).select("prep_id", "profile", "delivery", F.concat("text", F.lit("\n\n"), "sentence").alias("text"))
 
 
 _SEED_SQL = ", ".join(f"({i}, '{s.replace(chr(39), chr(39) * 2)}')" for i, s in enumerate(SENTENCES))
@@ -98,7 +98,7 @@ def ref_verified(spark: SparkSession, d: str) -> DataFrame:
         F.col("prep_id").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("document_sha256"), F.lit(policy.digest()).alias("policy_digest"),
         F.coalesce("profile", F.lit("general-writing")).alias("profile"), F.array().cast("array<string>").alias("demote"),
         F.array().cast("array<struct<rule_id:string,span_start:bigint,span_end:bigint,signer_kind:string,expires:string>>").alias("waivers"),
-    )
+    ).dropDuplicates(["doc_id"])
     return waivers.verify(p, a, 1_760_000_000, id_column="prep_id")
 
 
@@ -110,7 +110,7 @@ def sql_input_probe(spark: SparkSession, d: str) -> DataFrame:
     return _prepared(spark, d).select(
         "prep_id", F.sha2(t.cast("binary"), 256).alias("sha"), F.octet_length(t).cast("bigint").alias("n_bytes"), F.length(t).cast("bigint").alias("n_chars"),
         (t.contains("\r\n") & F.replace(t, F.lit("\r\n"), F.lit("")).contains("\n")).cast("bigint").alias("mixed"),
-    )
+    ).distinct()
 
 
 def sql_deliveries(spark: SparkSession, d: str) -> DataFrame:
@@ -119,18 +119,18 @@ def sql_deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_term_hits(spark: SparkSession, d: str) -> DataFrame:
-    return native.term_hits(_seeded(spark, d), "prep_id", F.col("text"))
+    return native.term_hits(_seeded(spark, d), "prep_id", F.col("text"), "delivery")
 
 
 def sql_term_families(spark: SparkSession, d: str) -> DataFrame:
     s = _seeded(spark, d)
-    words = s.select("prep_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({native.WORDS})"), 1)).cast("bigint").alias("words"))
-    return native.family_rate_rows(native.term_hits(s, "prep_id", F.col("text")), words, "prep_id")
+    words = s.select("prep_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({native.WORDS})"), 1)).cast("bigint").alias("words")).distinct()
+    return native.family_rate_rows(native.term_hits(s, "prep_id", F.col("text"), "delivery"), words, "prep_id")
 
 
 def sql_term_verdicts(spark: SparkSession, d: str) -> DataFrame:
     s = _seeded(spark, d)
-    return native.verdicts(native.term_hits(s, "prep_id", F.col("text")), s, "prep_id")
+    return native.verdicts(native.term_hits(s, "prep_id", F.col("text"), "delivery"), s, "prep_id")
 
 
 def sql_pattern_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -155,19 +155,19 @@ def sql_region_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_headings(spark: SparkSession, d: str) -> DataFrame:
-    return native.headings(_prepared(spark, d), "prep_id", F.col("text"))
+    return native.headings(_prepared(spark, d), "prep_id", F.col("text")).distinct()
 
 
 def sql_sections(spark: SparkSession, d: str) -> DataFrame:
-    return native.sections(native.headings(_prepared(spark, d), "prep_id", F.col("text")), "prep_id")
+    return native.sections(native.headings(_prepared(spark, d), "prep_id", F.col("text")).distinct(), "prep_id")
 
 
 def sql_uniform_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return native.uniform_paragraphs(_prepared(spark, d), "prep_id", F.col("text"))
+    return native.uniform_paragraphs(_prepared(spark, d), "prep_id", F.col("text")).distinct()
 
 
 def sql_long_sentences(spark: SparkSession, d: str) -> DataFrame:
-    return native.long_sentences(_prepared(spark, d), "prep_id", F.col("text"))
+    return native.long_sentences(_prepared(spark, d), "prep_id", F.col("text")).distinct()
 
 
 def sql_shingle_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def sql_source_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_stance_counts(spark: SparkSession, d: str) -> DataFrame:
-    return native.stance_counts(spark, _prepared(spark, d))
+    return native.stance_counts(spark, _prepared(spark, d).select("prep_id", "profile").distinct())
 
 
 def sql_waived_regions(spark: SparkSession, d: str) -> DataFrame:
