@@ -24,9 +24,9 @@ SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
 QUOTE = re.compile(r" {0,3}> ?")
 ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?=[ \t]|$)")
 NOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*")
-DELIM = re.compile(r"[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
+DELIM = re.compile(r"(?=[^\n]{0,80}-)[ \t]{0,60}(?:\|[ \t]*)?:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*(?:\|[ \t]*)?$")
 REFDEF = re.compile(
-    r" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*\n?[ \t]*(<[^<>\n]*>|[^\s<][^\s]*)"
+    r" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*(?:\n[ \t]*)?(<[^<>\n]*>|[^\s<][^\s]*)"
     r"(?:(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?=\n|$)"
 )
 # Element names that open an HTML block of the sixth kind.
@@ -51,6 +51,10 @@ AUTOLINK = re.compile(r"<([A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&
 ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 
 
+#: Containers nested deeper than this are read as paragraphs.
+MAX_DEPTH = 60
+
+
 def unescape(s: str) -> str:
     return html.unescape(ESCAPED.sub(r"\1", s))
 
@@ -68,7 +72,7 @@ class Reader:
         self.defs: list[tuple[str, int, int, int, int, str, str | None]] = []
         self.notes: set[str] = {m[1] for m in re.finditer(r"^ {0,3}\[\^([^\]\s]+)\]:", text, re.M)}
         self.leaves: list[tuple] = []
-        self.quote = 0
+        self.quote = self.depth = 0
         self.items: list[list] = []  # [has link, fresh]
 
     # lines
@@ -138,7 +142,7 @@ class Reader:
     def collect_refs(self, lines: list[Line]) -> None:
         """Labels that definitions anywhere make known; which of them count is settled by the block pass."""
         for line in lines:
-            m = re.match(r"[ \t>]*(?:[-+*]|\d{1,9}[.)])?[ \t]*\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*(?=\S|$)", self.s(line))
+            m = re.match(r"(?:(?:[-+*]|\d{1,9}[.)])[ \t]+)?\[((?:[^\[\]\\]|\\.){1,999})\]:", self.s(line).lstrip(" \t>"))
             if m and m[1].strip() and not m[1].startswith("^"):
                 self.refs.setdefault(label(m[1]), "")
 
@@ -159,6 +163,18 @@ class Reader:
         return NOTE.match(s) is not None
 
     def blocks(self, lines: list[Line], loose: bool) -> None:
+        self.depth += 1
+        try:
+            if self.depth > MAX_DEPTH:
+                body = [x for x in lines if self.s(x).strip()]
+                if body:
+                    self.leaf(body, loose)
+                return
+            self.read_blocks(lines, loose)
+        finally:
+            self.depth -= 1
+
+    def read_blocks(self, lines: list[Line], loose: bool) -> None:
         i, n = 0, len(lines)
         while i < n:
             line = lines[i]

@@ -157,3 +157,39 @@ def test_files_and_reports(spark, tmp_path):
 def test_queries_have_unique_lower_names():
     q, o = queries.queries(), queries.oracle_sql()
     assert set(o) <= set(q) and all(k.startswith("sql_") for k in o) and {k for k in q if k.startswith("sql_")} == set(o)
+
+
+def test_sql_table_function(spark):
+    from glyphloom.operators.udtf import register
+    from glyphloom.plans.session import prepare
+
+    register(prepare(spark))
+    frame(spark, ["We delve into this.", None]).createOrReplaceTempView("some_docs")
+    got = {tuple(r) for r in spark.sql("SELECT d.doc_id, r.rule_id, r.start FROM some_docs d, LATERAL lint(d.text, 'doc') r").collect()}
+    assert got == {(0, "A001", 3), (0, "F001", 0)}
+
+
+def test_text_report(spark):
+    from glyphloom.sources.report import escape, render
+
+    a = analysis.analyze(frame(spark, ["We delve into this.", ""]), "doc")
+    assert "A001 violation/blocking" in render(a, 0) and "no_findings" in render(a, 1) and "not found" in render(a, 9)
+    assert escape("a\x1b\x85b") == "a\\u001B\\u0085b"
+
+
+def test_command_line(capsys):
+    from glyphloom.__main__ import main
+
+    assert main(["policy", "digest"]) == 0 and capsys.readouterr().out.strip() == policy.digest()
+    assert main(["check", "x.rs", "--profile", "doc"]) == 40
+    with pytest.raises(SystemExit):
+        main(["check", "x"])
+
+
+def test_repeated_deliveries_and_two_contents(spark):
+    df = spark.createDataFrame([(1, "We delve."), (1, "We delve."), (2, "ok words"), (2, "a; b")], "doc_id bigint, text string")
+    a = analysis.analyze(df, "doc")
+    assert a.documents.groupBy("doc_id").count().where("doc_id = 1").first()["count"] == 1
+    assert a.documents.where("doc_id = 2").count() == 2
+    assert [r["findings"] for r in a.documents.where("doc_id = 1").collect()] == [2]
+    assert a.findings.where("doc_id = 1").count() == 2

@@ -140,3 +140,23 @@ def test_any_text(text):
 @given(st.lists(st.sampled_from(["# ", "- ", "1. ", "> ", "```\n", "~~~", "*", "**", "_", "`", "[a](b)", "[a]", "]: x\n", "![", "<div>", "</div>", "<!--", "-->", "<b>", "&amp;", "&#8203;", "\\", "|", "---\n", "===\n", "\n", "\n\n", "    ", "\t", "delve ", "word ", "é", "е", "​", "[^n]", "<http://a.b>", "\r\n", "; ", ", not x. "]), max_size=40))
 def test_any_markup(parts):
     _invariants("".join(parts), "markdown")
+
+
+@pytest.mark.parametrize("text", [t for _, _, t, _ in CASES] + ["We d&#101;lve — in <b>del</b>ve.", "> a very\n> good game\n> changer", "ﬁne dеlve ½ &mdash; x"])
+def test_every_slice_carries_its_trigger(text):
+    from glyphloom.functions.analyze import find_hits
+    from glyphloom.functions.fidelity import carries
+
+    doc = read_markdown(text)
+    norm = build(doc)
+    for profile in policy.PROFILES:
+        assert all(carries(doc, norm, h) for h in find_hits(doc, norm, profile))
+
+
+@pytest.mark.parametrize("unit,size", [("​a", 60_000), ("е", 60_000), ("5", 200_000), (" ", 200_000), ("delve ", 9_000), ("&#8203;", 20_000), ("the same nine word phrase again and again here. ", 4_000), ("[", 20_000), ("*a ", 20_000), ("> ", 3_000), ("<div ", 20_000)])
+def test_long_inputs_end_soon(unit, size):
+    import time
+
+    began = time.time()
+    row = analyze_bytes((unit * size).encode()[: 2 * 1024 * 1024 - 64].decode(errors="ignore").encode(), "general-writing")
+    assert row["status"] in ("ok", "instrumentation_error") and time.time() - began < 60
