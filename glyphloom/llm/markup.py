@@ -48,30 +48,26 @@ SECTIONS = {"part": 1, "chapter": 1, "section": 2, "subsection": 3, "subsubsecti
 OPEN, SHUT = "\ue000", "\ue001"
 TOKEN = re.compile("\ue000(\\d+)\ue001")
 #: A text without any of these has no markup.
-HINT = re.compile(r"[<>&*_`~$\\|\[{=#+^]|''|^\s*[-•]\s|^\s*\d{1,3}[.)]\s|^(?: {4}|\t)|^[ \t]*[-_]{2,}[ \t]*$|^%", re.M)
-
-OPAQUE = re.compile(
-    r"^(?P<find> {0,3})(?P<fence>`{3,}|~{3,})(?P<info>[^\n]*)(?:\n(?P<fbody>.*?))?(?:^ {0,3}(?P=fence)[`~]*[ \t]*$|\Z)"
-    r"|\\begin\{(?P<cenv>" + CODE_ENVS + r")\}(?P<copt>\[[^\]\n]*\]|\{[^}\n]*\})*(?P<cbody>.*?)\\end\{(?P=cenv)\}"
-    r"|\\begin\{(?P<menv>" + MATH_ENVS + r")\}(?P<mbody>.*?)\\end\{(?P=menv)\}"
-    r"|<(?P<ctag>pre|source|syntaxhighlight)\b(?P<cattr>[^>]*)>(?P<hbody>.*?)</(?P=ctag)\s*>"
-    r"|<code\b(?P<kattr>[^>]*)>(?P<kbody>[^<]*?\n.*?)</code\s*>"
-    r"|<span\b[^>]*class=[\"']?[^\"'>]*\bmath\b[^>]*>(?P<sbody>.*?)</span\s*>"
-    r"|<math\b[^>]*>(?P<xbody>.*?)</math\s*>"
-    r"|\$\$(?P<dbody>[^$]+?)\$\$"
-    r"|\\\[(?P<bbody>.+?)\\\]"
-    r"|\\\((?P<pbody>.+?)\\\)"
+HINT = re.compile(r"[<>&*_`~$\\|\[{=#+^]|''|^[ \t]*[-•][ \t]|^[ \t]*\d{1,3}[.)][ \t]|^(?: {4}|\t)|^[ \t]*[-_]{2,}[ \t]*$|^%", re.M)
+
+OPENER = re.compile(
+    r"^ {0,3}(?P<fence>`{3,}|~{3,})(?P<info>[^\n]*)$"
+    r"|\\begin\{(?P<env>" + CODE_ENVS + "|" + MATH_ENVS + r")\}(?P<opt>(?:\[[^\]\n]*\]|\{[^}\n]*\})*)"
+    r"|<(?P<tag>pre|source|syntaxhighlight|code|math)\b(?P<attr>[^>]{0,500})>"
+    r"|<(?P<span>span)\b[^>]{0,300}class=[\"']?[^\"'>]{0,100}\bmath\b[^>]{0,300}>"
+    r"|(?P<dd>\$\$)|(?P<br>\\\[)|(?P<pa>\\\()"
     r"|(?<![\\$\w])\$(?P<ibody>(?! )[^$\n]{1,200}?(?<! ))\$(?![\d$])"
-    r"|(?<!`)(?P<tick>`{1,2})(?!`)(?P<tbody>[^\n]*?[^`\n])(?P=tick)(?!`)",
-    re.M | re.S | re.I,
+    r"|(?<!`)(?P<tick>`{1,2})(?!`)",
+    re.M | re.I,
 )
+MATH_ENV = re.compile("(?:" + MATH_ENVS + ")$")
 MATHY = re.compile(r"[\\^_=+<>/]|^[A-Za-z]$|^-?\d+$|[A-Za-z]\s*[-*]\s*[A-Za-z\d]")
 LISTING_LANGUAGE = re.compile(r"language\s*=\s*\{?([\w+#.-]+)", re.I)
 TAG_LANGUAGE = re.compile(r"(?:lang(?:uage)?|class)\s*=\s*[\"']?(?:language-|lang-)?([\w+#.-]+)", re.I)
 COMMENTS = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 
-ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
-WIKI_HEAD = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\s].*?)[ \t]*\1[ \t]*$")
+ATX = re.compile(r"(#{1,6})[ \t]+(?=\S)")
+WIKI_HEAD = re.compile(r"(={1,6})(?=[^=])(?=.*[^=\s])(?:.*[^=])\1$")
 UNDERLINE = re.compile(r"^ {0,3}(=+|-{2,})[ \t]*$")
 RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 BULLET = re.compile(r"^([ \t]*)([-+•]|\*{1,6}|\d{1,3}[.)])[ \t]+(?:\[[ xX]\][ \t]+)?(\S.*)$")
@@ -252,41 +248,83 @@ def convert(text: str | None) -> Converted:
         body = " ".join(body.split())
         return hold(f"$${body}$$" if block else f"${body}$")
 
-    def opaque(m: re.Match) -> str:
-        if m["fence"]:
-            if m["fence"][0] == "`" and "`" in m["info"]:
-                return m[0]
-            return code(m["fbody"] or "", _language(m["info"]))
-        if m["cenv"]:
-            lang = LISTING_LANGUAGE.search(m["copt"] or "")
-            return code(m["cbody"], lang[1].lower() if lang else (m["copt"] or "").strip("{}").lower() if m["cenv"] == "minted" else "")
-        if m["menv"]:
-            return formula(m["mbody"], True)
-        if m["ctag"]:
-            lang = TAG_LANGUAGE.search(m["cattr"] or "") or TAG_LANGUAGE.search((re.match(r"\s*<code\b([^>]*)>", m["hbody"]) or ["", ""])[1])
-            body = html.unescape(re.sub(r"^\s*<code\b[^>]*>|</code\s*>\s*$", "", m["hbody"]))
-            return code(body, "" if not lang or lang[1].lower() in ("src", "code") else lang[1].lower())
-        if m["kbody"] is not None:
-            lang = TAG_LANGUAGE.search(m["kattr"] or "")
-            return code(html.unescape(m["kbody"]), lang[1].lower() if lang else "")
-        if m["sbody"] is not None:
-            return formula(m["sbody"], False)
-        if m["xbody"] is not None:
-            return formula(html.unescape(m["xbody"]), False)
-        if m["dbody"] is not None:
-            return "\n" + formula(m["dbody"], True) + "\n"
-        if m["bbody"] is not None:
-            return "\n" + formula(m["bbody"], True) + "\n"
-        if m["pbody"] is not None:
-            return formula(m["pbody"], False)
-        if m["ibody"] is not None:
-            return formula(m["ibody"], False) if MATHY.search(m["ibody"].strip()) else m[0]
-        out.add("other")
-        return hold(m["tbody"].strip())
+    def language(attr: str, body: str) -> str:
+        lang = TAG_LANGUAGE.search(attr) or TAG_LANGUAGE.search((re.match(r"\s*<code\b([^>]*)>", body) or ["", ""])[1])
+        return "" if not lang or lang[1].lower() in ("src", "code") else lang[1].lower()
+
+    def opaque(source: str) -> str:
+        """Code and formulas taken out in one pass; a closer that was once not found is not looked for again."""
+        parts: list[str] = []
+        missing: set[str] = set()
+        at = pos = 0
+
+        def closer(key: str, rx: str, start: int) -> re.Match | None:
+            if key in missing:
+                return None
+            m = re.compile(rx, re.M | re.I).search(source, start)
+            if m is None:
+                missing.add(key)
+            return m
+
+        while m := OPENER.search(source, pos):
+            end, new = -1, ""
+            if m["fence"]:
+                mark = m["fence"]
+                if mark[0] == "~" or "`" not in m["info"]:
+                    c = re.compile(rf"^ {{0,3}}{re.escape(mark)}[`~]*[ \t]*$", re.M).search(source, m.end())
+                    new = code(source[m.end() : c.start() if c else len(source)], _language(m["info"]))
+                    end = c.end() if c else len(source)
+            elif m["env"]:
+                c = closer("end" + m["env"], rf"\\end\{{{re.escape(m['env'])}\}}", m.end())
+                if c:
+                    body, end = source[m.end() : c.start()], c.end()
+                    if MATH_ENV.match(m["env"]):
+                        new = formula(body, True)
+                    else:
+                        lang = LISTING_LANGUAGE.search(m["opt"])
+                        new = code(body, lang[1].lower() if lang else m["opt"].strip("{}").lower() if m["env"] == "minted" else "")
+            elif m["tag"]:
+                name = m["tag"].lower()
+                c = closer(name, rf"</{name}\s*>", m.end())
+                if c:
+                    body = source[m.end() : c.start()]
+                    if name == "math":
+                        new, end = formula(html.unescape(body), False), c.end()
+                    elif name != "code" or "\n" in body and "<" not in body:
+                        lang = language(m["attr"], body)
+                        new, end = code(html.unescape(re.sub(r"^\s*<code\b[^>]*>|</code\s*>\s*$", "", body)), lang), c.end()
+            elif m["span"]:
+                c = closer("span", r"</span\s*>", m.end())
+                if c:
+                    new, end = formula(source[m.end() : c.start()], False), c.end()
+            elif m["dd"]:
+                c = closer("$$", r"\$\$", m.end())
+                if c and source[m.end() : c.start()].strip() and "$" not in source[m.end() : c.start()]:
+                    new, end = "\n" + formula(source[m.end() : c.start()], True) + "\n", c.end()
+            elif m["br"] or m["pa"]:
+                shut = r"\\\]" if m["br"] else r"\\\)"
+                c = closer(shut, shut, m.end())
+                if c and c.start() > m.end():
+                    body = formula(source[m.end() : c.start()], bool(m["br"]))
+                    new, end = f"\n{body}\n" if m["br"] else body, c.end()
+            elif m["ibody"] is not None:
+                if MATHY.search(m["ibody"].strip()):
+                    new, end = formula(m["ibody"], False), m.end()
+            else:
+                c = re.compile(rf"(?<!`){m['tick']}(?!`)").search(source, m.end(), (source.find("\n", m.end()) + 1 or len(source) + 1) - 1)
+                if c and c.start() > m.end():
+                    out.add("other")
+                    new, end = hold(source[m.end() : c.start()].strip()), c.end()
+            if end < 0:
+                pos = m.end() if m.end() > m.start() else m.start() + 1
+                continue
+            parts += [source[at : m.start()], new]
+            at = pos = end
+        return "".join([*parts, source[at:]])
 
     held = plain
     if re.search(r"[`$\\<]|~~~", plain):
-        held = OPAQUE.sub(opaque, plain)
+        held = opaque(plain)
 
     # indented code: lines of four spaces after a blank line, outside a list
     if re.search(r"^(?: {4}|\t)", held, re.M):
@@ -374,16 +412,17 @@ def convert(text: str | None) -> Converted:
                     done.append("  " * (len(h[1]) - 1) + "- " + h[2])
                 i = j
                 continue
-        m = ATX.match(line)
+        m = ATX.match(s) if line.lstrip(" ").startswith("#") and len(line) - len(line.lstrip(" ")) < 4 else None
         if m:
             out.add("heading", str(len(m[1])))
-            done.append(f"{m[1]} {m[2]}")
+            title = s[m.end() :].rstrip("#").rstrip() if re.search(r"[ \t]#+$", s) else s[m.end() :]
+            done.append(f"{m[1]} {title}")
             i += 1
             continue
-        m = WIKI_HEAD.match(line)
+        m = WIKI_HEAD.match(s) if s[0] == "=" == s[-1] else None
         if m and not UNDERLINE.match(line):
             out.add("heading", str(len(m[1])))
-            done.append(f"{'#' * len(m[1])} {m[2]}")
+            done.append(f"{'#' * len(m[1])} {s.strip('=').strip()}")
             i += 1
             continue
         m = UNDERLINE.match(line)

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from glyphloom.llm import leakage, mixing, pii, readability, textforms
 from glyphloom.llm.markup import convert
-from glyphloom.llm.repetition import RUN, measures, spaced
+from glyphloom.llm.repetition import RUN, measures, repeated_share, spaced
 from glyphloom.llm.sentences import view_sentences
 from glyphloom.plans.session import cut, spread
 
@@ -226,10 +226,11 @@ def fit_levels(prepared: DataFrame, labels: DataFrame, counts: np.ndarray, total
     return readability.OrdinalModel().fit(np.array(x)[order], np.array(y)[order])
 
 
-def reading_levels(prepared: DataFrame, labels: DataFrame, min_words: int = readability.MIN_WORDS) -> DataFrame:
+def reading_levels(prepared: DataFrame, labels: DataFrame, min_words: int = readability.MIN_WORDS, clean_only: bool = False) -> DataFrame:
     """(prep_id, band, score, n_words, has_markup, is_repetitive) of every English document of at least ``min_words`` words.
 
-    Without a usable label the band is null (no model can be fitted).
+    Without a usable label the band is null (no model can be fitted).  ``clean_only`` leaves out
+    documents with markup or repetition before their features are computed.
     """
     counts, total = word_counts(prepared)
     model = fit_levels(prepared, labels, counts, total)
@@ -243,13 +244,17 @@ def reading_levels(prepared: DataFrame, labels: DataFrame, min_words: int = read
         n = len(folded.split())
         if n < min_words or not declared and not readability.english(folded):
             return
+        markup = bool(convert(text).kinds)
+        repetitive = not (clean_only and markup) and repeated_share(text) >= RULES["repeated_share"]
+        if clean_only and (markup or repetitive):
+            return
         counts, total, model = shared.value
         band = score = None
         if model is not None:
             x = readability.features(folded, counts, total)
             score = float(model.score(x)[0])
             band = readability.BANDS[int((score > model.cut).sum())]
-        yield prep_id, band, score, n, bool(convert(text).kinds), measures(text)[1] >= RULES["repeated_share"]
+        yield prep_id, band, score, n, markup, repetitive
 
     out = _map(_level_rows(prepared), ["prep_id", "declared", "text"], "prep_id bigint, band string, score double, n_words bigint, has_markup boolean, is_repetitive boolean", schema, each)
     rest = [c for c in out.columns if c != "prep_id"]

@@ -268,14 +268,16 @@ class Finder:
                 found += self._ids(t, low, spots["id"])
             found += self._bare_ids(t, low)
             found += self._addresses(t, spots)
-            found += self._phones(t, low, [f for f in found])
+            found += self._phones(t, low, self._mask(t, found))
         if "name" in spots:
-            found += self._names(t, low, spots["name"], found)
+            found += self._names(t, low, spots["name"], self._mask(t, found))
         rank = {k: i for i, k in enumerate(KINDS)}
         found.sort(key=lambda x: (-(x[1] - x[0]), rank[x[2]], x[0]))
         kept: list[tuple[int, int, str]] = []
+        taken = bytearray(len(t))
         for a, b, k in found:
-            if all(b <= x or a >= y for x, y, _ in kept):
+            if 1 not in taken[a:b]:
+                taken[a:b] = b"\x01" * (b - a)
                 kept.append((a, b, k))
         kept.sort()
         if at is None:
@@ -288,6 +290,13 @@ class Finder:
             out.append((k, at[a], end))
         return out
 
+    @staticmethod
+    def _mask(t: str, found: list[tuple[int, int, str]]) -> bytearray:
+        out = bytearray(len(t))
+        for a, b, _ in found:
+            out[a:b] = b"\x01" * (b - a)
+        return out
+
     # parsers: each expands an anchor in the folded text
 
     def _emails(self, t: str, spots: list[int]) -> list[tuple[int, int, str]]:
@@ -381,7 +390,7 @@ class Finder:
             return m.start("town") + m["town"].index(" ")
         return m.end()
 
-    def _phones(self, t: str, low: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    def _phones(self, t: str, low: str, taken: bytearray) -> list[tuple[int, int, str]]:
         out = []
         for m in PHONE.finditer(t):
             a, b = m.start(), m.end()
@@ -389,7 +398,7 @@ class Finder:
             if v.startswith("(") and ")" not in v:
                 a += 1
                 v = v[1:]
-            if any(x < b and a < y for x, y, _ in taken):
+            if 1 in taken[a:b]:
                 continue
             digits = re.sub(r"\D", "", v)
             if not 7 <= len(digits) <= 15:
@@ -419,7 +428,7 @@ class Finder:
                 out.append((a, b, "phone"))
         return out
 
-    def _names(self, t: str, low: str, spots: list[int], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    def _names(self, t: str, low: str, spots: list[int], taken: bytearray) -> list[tuple[int, int, str]]:
         out = []
         done = -1
         model = self.model
@@ -433,7 +442,7 @@ class Finder:
             if not word[:1].isupper():
                 continue
             kinds = model.kinds(word)
-            if not kinds or any(x < e and p < y for x, y, _ in taken):
+            if not kinds or 1 in taken[p:e]:
                 continue
             a, b, full = self._expand(t, p, e, kinds)
             done = max(b, e)

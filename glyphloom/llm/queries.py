@@ -38,8 +38,8 @@ def p2_token_share(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     prepare(spark)
-    levels = ops.reading_levels(table(spark, d, "prepared"), table(spark, d, "reading_labels"))
-    return levels.where("not has_markup and not is_repetitive and band is not null").select("prep_id", "band")
+    levels = ops.reading_levels(table(spark, d, "prepared"), table(spark, d, "reading_labels"), clean_only=True)
+    return levels.where("band is not null").select("prep_id", "band")
 
 
 def p3_levels(spark: SparkSession, d: str) -> DataFrame:

@@ -57,6 +57,12 @@ def covered_mask(words: list[str], run: int = RUN) -> np.ndarray:
     return mask
 
 
+def repeated_share(text: str | None) -> float:
+    """Share of the words in repeated runs alone."""
+    words = words_of(text) if text else []
+    return float(covered_mask(words).sum()) / len(words) if words else 0.0
+
+
 def measures(text: str | None) -> tuple[int, float, float, float, float]:
     """(words, share of words in repeated runs, repeated sentences, top bigram share, repeated lines)."""
     if not text:

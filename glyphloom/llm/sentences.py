@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 # Abbreviations that never end a sentence when a word follows.
 INNER_ABBREVIATIONS = frozenset(
@@ -45,7 +47,7 @@ CASELESS = re.compile(r"[֐-ࣿऀ-෿ሀ-᎟฀-໿぀-ヿ㐀-鿿]")
 CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e4e\u0e5a-\u0e5b])[ \t\u00a0\u2000-\u200a\u202f\u205f\u3000]+(?=[\u0e01-\u0e4e])")
 GREEK = re.compile(r"[Ͱ-Ͽ]")
-WORD_BEFORE = re.compile(r"(\S+)$")
+WORD_BEFORE = re.compile(r"(\S+)\Z")
 LOOKALIKE = str.maketrans("асеорхуіјѕԁһАВЕКМНОРСТХУІЈЅοαερνικτΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aceopxyijsdhABEKMHOPCTXYIJSoaepviktABEZHIKMNOPTYX")
 
 # Closed-class words for the lattice of the spaceless scripts.
@@ -107,6 +109,29 @@ _INNER = {w.translate(LOOKALIKE) for w in INNER_ABBREVIATIONS}
 _FINAL = {w.translate(LOOKALIKE) for w in FINAL_ABBREVIATIONS}
 
 
+REACH = 80
+
+
+class _Held:
+    """The enclosures of a block: what covers a span, and what closes inside one."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        pairs = sorted(pairs)
+        self.starts = [a for a, _ in pairs]
+        self.reach = list(accumulate((b for _, b in pairs), max))
+        self.opened = {b: a for a, b in pairs}
+
+    def over(self, i: int, k: int) -> bool:
+        """Whether an enclosure opened before ``i`` closes at ``k`` or later."""
+        n = bisect_left(self.starts, i)
+        return n > 0 and self.reach[n - 1] >= k
+
+    def closing(self, i: int, k: int) -> tuple[int, int] | None:
+        """The outermost enclosure opened before ``i`` that closes after ``i`` and before ``k``."""
+        found = [(a, b) for b in range(i + 1, k) if (a := self.opened.get(b)) is not None and a < i]
+        return min(found) if found else None
+
+
 def _inner(word: str) -> bool:
     return unicodedata.normalize("NFKC", word).lower().translate(LOOKALIKE) in _INNER
 
@@ -145,8 +170,9 @@ def _period_ends(before: str, after: str) -> bool:
     return True
 
 
-def _spaced_ends(block: str, enclosed: list[tuple[int, int]]) -> list[int]:
+def _spaced_ends(block: str, held: _Held) -> list[int]:
     ends: list[int] = []
+    last = len(block.rstrip())
     greek = len(GREEK.findall(block)) * 2 > len(LETTER.findall(block))
     start = 0
     n = len(block)
@@ -169,20 +195,24 @@ def _spaced_ends(block: str, enclosed: list[tuple[int, int]]) -> list[int]:
         if k < n and not block[k].isspace():
             continue
         # the outermost enclosure still open after the closers taken
-        if any(a < i and k <= b for a, b in enclosed):
+        if held.over(i, k):
             continue
-        after = block[k:]
+        after = block[k : k + REACH]
         nxt = after.lstrip()
-        if not nxt:
+        if k >= last:
             ends.append(k)
             start = n
             break
+        if not nxt:
+            ends.append(k)
+            start = k
+            continue
         first = nxt[0]
         marks = run
         ellipsis = "…" in run or "..." in run
         if ellipsis:
             continue
-        quoted = any(a < i < b < k for a, b in enclosed)
+        quoted = held.closing(i, k) is not None
         if quoted or (k > j and not quoted and block[k - 1] in "'’"):
             if first in ",;:—–-" or first.islower():
                 continue
@@ -192,15 +222,16 @@ def _spaced_ends(block: str, enclosed: list[tuple[int, int]]) -> list[int]:
             continue
         elif first in ",;:":
             continue
-        if marks in (".", "．") and not quoted and not _period_ends(block[start:i], after):
+        if marks in (".", "．") and not quoted and not _period_ends(block[max(start, i - REACH) : i], after):
             continue
         ends.append(k)
         start = k
     return ends
 
 
-def _spaceless_ends(block: str, enclosed: list[tuple[int, int]]) -> list[int]:
+def _spaceless_ends(block: str, held: _Held) -> list[int]:
     ends: list[int] = []
+    last = len(block.rstrip())
     n = len(block)
     start = 0
     for m in re.finditer(r"[。！？!?｡．.…‼⁇⁈⁉]+", block):
@@ -212,17 +243,17 @@ def _spaceless_ends(block: str, enclosed: list[tuple[int, int]]) -> list[int]:
             k += 1
         if set(run) <= set(".．") and not (k == n or block[k].isspace()):
             continue
-        if any(a < i and k <= b for a, b in enclosed):
+        if held.over(i, k):
             continue
-        if not block[k:].strip():
+        if k >= last:
             ends.append(k)
             start = n
             break
-        holder = [(a, b) for a, b in enclosed if a < i < b < k]
+        holder = held.closing(i, k)
         if holder:
-            a, b = min(holder)
-            lead = block[start:a].rstrip()
-            clause = re.split(r"[。！？!?｡]", block[k:].lstrip(), maxsplit=1)[0][:40]
+            a, b = holder
+            lead = block[max(start, a - REACH) : a].rstrip()
+            clause = re.split(r"[。！？!?｡]", block[k : k + REACH].lstrip(), maxsplit=1)[0][:40]
             words = lattice_words(clause)
             if block[b] in "）)】]" and lead:
                 if words and (words[0] in QUOTE_LINKS or words[0] in "，、,"):
@@ -250,11 +281,11 @@ def block_sentences(block: str) -> Iterator[tuple[int, int]]:
     thai = len(re.findall(r"[ก-๛]", block))
     cjk = len(CJK.findall(block))
     letters = len(LETTER.findall(block)) or 1
-    enclosed = _enclosures(block)
+    held = _Held(_enclosures(block))
     if cjk * 2 > letters:
-        ends = _spaceless_ends(block, enclosed)
+        ends = _spaceless_ends(block, held)
     else:
-        ends = _spaced_ends(block, enclosed)
+        ends = _spaced_ends(block, held)
         if thai:
             ends = sorted({*ends, *_thai_ends(block)})
     start = 0

@@ -191,3 +191,16 @@ def test_ordinal_model_separates():
     assert (m.predict(x[400:]) == y[400:]).mean() > 0.85
     assert readability.english("The cat is on the mat and it sees a dog.") and not readability.english("Die Katze ist auf der Matte und sieht den Hund.")
     assert readability.features("").shape == (len(readability.NAMES),)
+
+
+@pytest.mark.parametrize("unit", ["a. B ", "(a. b", "“a. b” ", "「あ。い」", "1. ", "= ", " ", "\n", "# x\n", "- x\n", "<b>x</b> ", "<pre ", "$x ", "a@b.cd ", "Tavinka Kravevik ", "555-0101 ", "the same six words come again here. ", "ﾀﾞ", "​", "&amp;", "[[x", "{{x}} ", "| a |\n"])
+def test_long_texts_end_soon(unit):
+    import time
+
+    text = unit * (300_000 // len(unit))
+    finder = pii.Finder(pii.learn_names(NAMES))
+    index = leakage.build_index([(1, "the same six words come again here and some more of them follow")])
+    for f in (convert, measures, lambda t: view_sentences(t, [0]), textforms.fold, finder.find, lambda t: leakage.leaks(t, index), readability.features):
+        began = time.time()
+        f(text)
+        assert time.time() - began < 20
