@@ -3,8 +3,8 @@
 One Arrow stage beside the scan reads a document into nested relations (hits, segments,
 sections, statistics).  Everything after it is declarative: the rule table and the stances
 come in by broadcast joins (93 and 651 rows), tiers are resolved by column expressions,
-waivers by a range join on the rule, duplicates by a window, the gate by an aggregation.
-Rows are partitioned by document once; the window and the aggregates reuse that partitioning.
+waivers by a range join on the rule, duplicates by a grouped minimum, the gate by an
+aggregation.  Every aggregation combines map-side, so no key is hot, and only hits are shuffled.
 
 Defined results: null content gives status ``unsupported_input``; an empty document has no
 finding; a null profile counts as the default profile; extra columns of the input pass by.
@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glyphloom import policy
 from glyphloom.functions.guards import MAX_BYTES
@@ -186,11 +185,12 @@ def analyze(df: DataFrame, profile: str | Column = "general-writing", input_form
     doc_columns = [c for c in read.columns if c not in ("hits", "segments", "sections")]
     # one pass for both: a document without hits keeps one row without a rule
     found = resolve(read.select(*doc_columns, F.inline_outer(F.when(F.col("status") == "ok", F.col("hits")))), deployment)
-    found = found.repartition("doc_id")  # the only exchange: window, gate and rates are partitioned by document already
     found = decide(found, waivers, deployment.waiver_authority, now)
-    # distinct on rule, span and state (deliveries of one content fold here too): the first in reading order stays
-    w = Window.partitionBy("doc_id", "sha256", "rule_id", "start", "end", "state").orderBy("seq")
-    found = found.withColumn("n", F.row_number().over(w)).where("n = 1")
+    # distinct on rule, span and state (deliveries of one content fold here too): the first in reading order stays.
+    # A grouped minimum folds copies before the exchange, so a document delivered very often is no hot key.
+    key = ["doc_id", "sha256", "rule_id", "start", "end", "state"]
+    rest = [c for c in found.columns if c not in key and c != "seq"]
+    found = found.groupBy(*key).agg(F.min_by(F.struct(*rest), F.coalesce("seq", F.lit(0))).alias("m")).select(*key, "m.*")
     message = F.concat_ws(": ", F.replace("name", F.lit("-"), F.lit(" ")), "detail")
     fix = F.when(~F.col("force_hint"), suggestion()) if suggest else F.lit(None).cast("string")
     findings = found.where("rule_id is not null").select(
