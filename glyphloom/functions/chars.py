@@ -10,7 +10,6 @@ TOKEN = regex.compile(r"\S+")
 ALNUM_RUN = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 _CONT = regex.compile(r"\p{XID_Continue}")
 _ALNUM = regex.compile(r"[\p{Alphabetic}\p{N}]")
-_ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 # Glyphs that open a pasted bullet.
@@ -65,7 +64,8 @@ def alnum(c: str) -> bool:
 
 
 def lower_ascii(s: str) -> str:
-    return s.lower() if s.isascii() else s.translate(_ASCII_LOWER)
+    # bytes.lower() touches ASCII letters only
+    return s.lower() if s.isascii() else s.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def count_words(s: str) -> int:

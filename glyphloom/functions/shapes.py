@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import regex
 
 from glyphloom.functions.chars import alnum, lower_ascii
 
 _TOKEN = regex.compile(r"\S+")
 _EDGE = regex.compile(r"^[^\p{Alphabetic}\p{N}']+|[^\p{Alphabetic}\p{N}']+$")
+_GAP = regex.compile(r"[ \t]{1,9}")
+_STOP = regex.compile(r"[.!?]")
 Span = tuple[int, int]
 
 
@@ -30,7 +34,7 @@ def period_ends(text: str, at: int) -> bool:
         return False
     if nxt not in " \t":
         return True
-    m = regex.compile(r"[ \t]{1,9}").match(text, at)
+    m = _GAP.match(text, at)
     if m.end() - at > 8:
         return True
     c = text[m.end() : m.end() + 1]
@@ -40,7 +44,7 @@ def period_ends(text: str, at: int) -> bool:
 def sentence_spans(text: str, block: Span) -> list[Span]:
     out = []
     start, stop = block
-    for m in regex.compile(r"[.!?]").finditer(text, *block):
+    for m in _STOP.finditer(text, *block):
         if m[0] == "." and not period_ends(text, m.end()):
             continue
         if text[start : m.end()].strip():
@@ -55,6 +59,7 @@ def tokens(text: str) -> list[tuple[int, str]]:
     return [(m.start(), m[0]) for m in _TOKEN.finditer(text)]
 
 
+@lru_cache(maxsize=1 << 16)
 def bare(token: str) -> str:
     return lower_ascii(_EDGE.sub("", token))
 
