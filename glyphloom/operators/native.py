@@ -225,3 +225,40 @@ def verdicts(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     g = h.groupBy(key).agg(F.bool_or(blocking & (state == "violation")).alias("v"), F.bool_or(blocking & (state == "candidate")).alias("c"))
     out = docs.select(key).join(g, key, "left")
     return out.select(key, F.when(F.col("v"), "violations_present").when(F.col("c"), "candidates_present").otherwise("no_findings").alias("result_state"))
+
+
+def swap_hits(df: DataFrame, key: str, text: Column, delivery: str) -> DataFrame:
+    """(key, term, plain, hits) of words with a plainer replacement: equi-join of the n-grams with the swap table."""
+    rows = [(w, p) for r in policy.rules().values() for w, p in r.swaps.items()]
+    swaps = df.sparkSession.createDataFrame(rows, "gram string, plain string")
+    out = ngrams(df, [key, delivery], text).join(F.broadcast(swaps), "gram").groupBy(key, delivery, "gram", "plain").agg(F.count("*").alias("hits"))
+    return out.select(key, F.col("gram").alias("term"), "plain", "hits").distinct()
+
+
+def density_flags(hits: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """Density rules over word-set hits: a semi-join on the counted rules, a count, and integer cross-multiplication."""
+    rules = policy.rules()
+    out = None
+    for rid in ("D001", "D004"):
+        p = rules[rid].params
+        n = hits.where(F.col("rule_id").isin(*p["count_rules"])).groupBy(key).agg(F.sum("hits").alias("hits")).join(words, key)
+        fires = F.col("hits") >= p["threshold"]
+        if not p.get("per_document"):
+            fires = fires & (F.col("words") > 0) & (F.col("hits") * p["per_words"] >= F.lit(p["threshold"]) * F.col("words"))
+        part = n.select(key, F.lit(rid).alias("rule_id"), "hits", fires.cast("bigint").alias("fires"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def first_headings(h: DataFrame, key: str) -> DataFrame:
+    """First heading of each document and how many of its titles are stock titles."""
+    stock = policy.rules()["X001"].params["heading_set"]
+    return h.groupBy(key).agg(
+        F.min_by("title", "line_no").alias("first_title"), F.count("*").alias("headings"), F.count_if(F.lower("title").isin(*stock)).alias("stock_titles")
+    )
+
+
+def oversized(df: DataFrame, key: str, words: Column, profile: Column) -> DataFrame:
+    """Documents over the word cap of their profile; profiles without a cap have none."""
+    caps = df.sparkSession.createDataFrame(list(policy.rules()["X003"].params["max_words"].items()), "cap_profile string, cap bigint")
+    return df.select(key, words.alias("words"), profile.alias("p")).join(F.broadcast(caps), F.col("p") == F.col("cap_profile")).select(key, "words", "cap", (F.col("words") > F.col("cap")).cast("bigint").alias("over"))

@@ -210,7 +210,32 @@ def sql_removed_characters(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("n").agg(F.count("*").alias("views"))
 
 
-_FAMILY = {r.id: r.family for r in policy.rules().values()}
+def sql_swaps(spark: SparkSession, d: str) -> DataFrame:
+    return native.swap_hits(_seeded(spark, d), "prep_id", F.col("text"), "delivery")
+
+
+def _words(s: DataFrame) -> DataFrame:
+    return s.select("prep_id", F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({native.WORDS})"), 1)).cast("bigint").alias("words")).distinct()
+
+
+def sql_densities(spark: SparkSession, d: str) -> DataFrame:
+    s = _seeded(spark, d)
+    return native.density_flags(native.term_hits(s, "prep_id", F.col("text"), "delivery"), _words(s), "prep_id")
+
+
+def sql_first_headings(spark: SparkSession, d: str) -> DataFrame:
+    return native.first_headings(native.headings(_prepared(spark, d), "prep_id", F.col("text")).distinct(), "prep_id")
+
+
+def sql_oversized(spark: SparkSession, d: str) -> DataFrame:
+    n = F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({native.WORDS})"), 1)).cast("bigint")
+    return native.oversized(_prepared(spark, d), "prep_id", n, F.col("profile")).distinct()
+
+
+_SWAPS_SQL = ", ".join(f"({_sql(w)}, {_sql(p)})" for r in policy.rules().values() for w, p in r.swaps.items())
+_COUNTED = {i: ", ".join(_sql(x) for x in policy.rules()[i].params["count_rules"]) for i in ("D001", "D004")}
+_CAPS_SQL = ", ".join(f"({_sql(k)}, {v})" for k, v in policy.rules()["X003"].params["max_words"].items())
+_STOCK_SQL = ", ".join(_sql(x) for x in policy.rules()["X001"].params["heading_set"])
 _RULES_SQL = ", ".join(f"('{r.id}', '{r.tier}', '{r.lifecycle}')" for r in policy.rules().values())
 _STANCE_SQL = ", ".join(f"('{r}', '{p}', '{s}')" for r, p, s in policy.stance_rows())
 _RATE = "(CASE WHEN words > 0 THEN findings * 10000 // words ELSE 0 END)"
@@ -238,6 +263,12 @@ def oracle_sql() -> dict[str, str]:
  k AS (SELECT prep_id, bool_or(b AND state = 'violation') AS v, bool_or(b AND state = 'candidate') AS c FROM h GROUP BY prep_id)
  SELECT seeded.prep_id, CASE WHEN v THEN 'violations_present' WHEN c THEN 'candidates_present' ELSE 'no_findings' END AS result_state FROM seeded LEFT JOIN k USING (prep_id)""",
         "sql_pattern_documents": _pattern_sql(),
+        "sql_swaps": f"WITH {_SEEDED}, {_GRAMS} SELECT prep_id, gram AS term, plain, count(*) AS hits FROM g JOIN (VALUES {_SWAPS_SQL}) s(gram, plain) USING (gram) GROUP BY ALL",
+        "sql_densities": f"""WITH {_SEEDED}, {_GRAMS}, n AS (SELECT prep_id, len(w)::BIGINT AS words FROM w),
+ a AS (SELECT prep_id, sum(hits)::BIGINT AS hits FROM hits WHERE rule_id IN ({_COUNTED['D001']}) GROUP BY prep_id), b AS (SELECT prep_id, sum(hits)::BIGINT AS hits FROM hits WHERE rule_id IN ({_COUNTED['D004']}) GROUP BY prep_id)
+ SELECT prep_id, 'D001' AS rule_id, hits, (hits >= 3 AND words > 0 AND hits * 500 >= 3 * words)::BIGINT AS fires FROM a JOIN n USING (prep_id) UNION ALL SELECT prep_id, 'D004', hits, (hits >= 3)::BIGINT FROM b""",
+        "sql_first_headings": f"WITH {heads} SELECT prep_id, arg_min(title, line_no) AS first_title, count(*) AS headings, count(*) FILTER (WHERE lower(title) IN ({_STOCK_SQL})) AS stock_titles FROM h GROUP BY prep_id",
+        "sql_oversized": f"WITH {_ONE}, n AS (SELECT prep_id, profile, len(regexp_extract_all(lower(text), '[a-z0-9''-]+'))::BIGINT AS words FROM one) SELECT prep_id, words, cap::BIGINT AS cap, (words > cap)::BIGINT AS over FROM n JOIN (VALUES {_CAPS_SQL}) c(profile, cap) USING (profile)",
         "sql_widest_regions": "WITH r AS (SELECT DISTINCT prep_id, byte_start - (byte_end - byte_start) // 3 AS s, byte_end + (byte_end - byte_start) // 3 AS e FROM regions WHERE byte_start IS NOT NULL), m AS (SELECT *, max(e) OVER (PARTITION BY prep_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r) SELECT prep_id, s, e FROM m WHERE reach IS NULL OR e > reach",
         "sql_coverage": f"WITH {_KINDS}, r AS (SELECT prep_id, region_no, max(byte_start) AS s, max(byte_end) AS e, max({_KIND}) AS kind FROM rk GROUP BY ALL), c AS (SELECT prep_id, sum(e - s)::BIGINT AS total_bytes, sum(CASE WHEN kind = 'prose' THEN e - s ELSE 0 END)::BIGINT AS prose_bytes FROM r GROUP BY prep_id) SELECT *, ((total_bytes - prose_bytes) * 100 >= 40 * total_bytes)::BIGINT AS flagged FROM c",
         "sql_region_kinds": f"WITH {_KINDS}, r AS (SELECT DISTINCT prep_id, region_no, {_KIND} AS kind FROM rk) SELECT kind, count(*) AS regions, count(DISTINCT prep_id) AS documents FROM r GROUP BY kind",
