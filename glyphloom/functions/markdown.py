@@ -13,7 +13,7 @@ import re
 
 from glyphloom.functions.chars import PUNCT, count_words
 from glyphloom.functions.document import HEADING, QUOTED, Doc, Heading, close
-from glyphloom.functions.html_text import TAG, VOID_BARRIERS, read_html, tag_name
+from glyphloom.functions.html_text import VOID_BARRIERS, read_html, tag_name
 
 Line = tuple[int, int]
 
@@ -810,5 +810,3 @@ def read_text(text: str) -> Doc:
 def read_markdown(text: str) -> Doc:
     return Reader(text).read()
 
-
-__all__ = ["read_markdown", "read_text", "TAG"]

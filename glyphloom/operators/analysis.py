@@ -24,16 +24,6 @@ from glyphloom.functions.guards import MAX_BYTES
 from glyphloom.operators.waivers import decide
 from glyphloom.plans.session import cut, spread
 
-HIT_DDL = (
-    "seq int, rule_id string, start bigint, end bigint, quoted boolean, force_candidate boolean, force_hint boolean, detail string, "
-    "matched string, snippet string, container string, section string"
-)
-READ_DDL = (
-    "doc_id bigint, profile string, input_format string, sha256 string, bytes bigint, bom_stripped boolean, mixed_line_endings boolean, status string, error string, "
-    "word_count bigint, byte_len bigint, prose_bytes bigint, bullets bigint, linked_bullets bigint, task_bullets bigint, paragraph_words array<bigint>, "
-    f"hits array<struct<{HIT_DDL.replace(' ', ':', 0)}>>, segments array<struct<start:bigint,end:bigint,reason:string>>, "
-    "sections array<struct<title:string,level:int,start:bigint,end:bigint>>"
-)
 _HIT = pa.struct([
     ("seq", pa.int32()), ("rule_id", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("quoted", pa.bool_()), ("force_candidate", pa.bool_()),
     ("force_hint", pa.bool_()), ("detail", pa.string()), ("matched", pa.string()), ("snippet", pa.string()), ("container", pa.string()), ("section", pa.string()),

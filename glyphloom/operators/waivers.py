@@ -7,7 +7,6 @@ from calendar import timegm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glyphloom import policy
 
@@ -144,5 +143,3 @@ def verify(documents: DataFrame, approvals: DataFrame, now: int, id_column: str
     )
     return out.select("doc_id", problems.alias("problems")).select("doc_id", F.when(F.size("problems") == 0, "verified").otherwise("mismatch").alias("outcome"), "problems")
 
-
-__all__ = ["Window", "check_waivers", "decide", "expiry", "floor_reason", "unix_time", "verify"]
