@@ -45,7 +45,7 @@ def _map(df: DataFrame, names: list[str], ddl: str, schema: pa.Schema, each) ->
 
 # ---------------------------------------------------------------- 1 markup
 
-MARKUP_DDL = "prep_id bigint, kinds array<string>, elements array<struct<kind:string,info:string>>, content_share double"
+CLEAN_DDL = "prep_id bigint, clean_text string, kinds array<string>, elements array<struct<kind:string,info:string>>, content_share double"
 _ELEMENT = pa.struct([("kind", pa.string()), ("info", pa.string())])
 _KINDS = pa.schema([("prep_id", pa.int64()), ("kinds", pa.list_(pa.string()))])
 _CLEAN = pa.schema([("prep_id", pa.int64()), ("clean_text", pa.string()), ("kinds", pa.list_(pa.string())), ("elements", pa.list_(_ELEMENT)), ("content_share", pa.float64())])
@@ -58,7 +58,7 @@ def clean_markup(prepared: DataFrame) -> DataFrame:
         c = convert(text)
         yield prep_id, c.text, sorted(c.kinds), [{"kind": k, "info": i} for k, i in c.elements], c.content_share
 
-    return _map(prepared, ["prep_id", "text"], "prep_id bigint, clean_text string, " + MARKUP_DDL.split(", ", 1)[1], _CLEAN, each)
+    return _map(prepared, ["prep_id", "text"], CLEAN_DDL, _CLEAN, each)
 
 
 def markup_kinds(prepared: DataFrame) -> DataFrame:
@@ -328,21 +328,23 @@ _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_wo
 LEAK_DDL = "doc_id bigint, item_id bigint, matched_words bigint, item_words bigint, first_word bigint, last_word bigint"
 
 
-def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched_words, item_words, first_word, last_word) of every leak.
-
-    The item words are counted first; an index over ``MAX_INDEX_WORDS`` is cut into blocks,
-    each broadcast and scanned on its own, so no broadcast grows past the bound.
-    """
-    spark = documents.sparkSession
+def item_blocks(items: DataFrame) -> list:
+    """Broadcast indexes of the items.  The item words are counted first; beyond ``MAX_INDEX_WORDS`` the items go out in blocks."""
+    sc = items.sparkSession.sparkContext
     rows = items.where("item_id is not null and text is not null").select("item_id", "text", F.size(F.split("text", r"\s+")).cast("bigint").alias("n"))
     total = rows.agg(F.sum(F.greatest("n", F.length("text") / 8))).first()[0] or 0
     blocks = max(1, int(-(-total // MAX_INDEX_WORDS)))
-    out = None
+    out = []
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else rows
-        index = leakage.build_index([(r["item_id"], r["text"]) for r in part.collect()])
-        shared = spark.sparkContext.broadcast(index)
+        out.append(sc.broadcast(leakage.build_index([(r["item_id"], r["text"]) for r in part.collect()])))
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, matched_words, item_words, first_word, last_word) of every leak; one scan a block of items."""
+    out = None
+    for shared in item_blocks(items):
 
         def each(doc_id, text, shared=shared):
             for item_id, matched, n, a, b in leakage.leaks(text, shared.value):
@@ -354,33 +356,32 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, drop_share: float = 0.5) -> DataFrame:
-    """One row a document: leaked spans removed, or the text null where they are more than ``drop_share`` of its words."""
-    spark = documents.sparkSession
-    leaks = leaked_items(documents, items).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("first_word", "last_word"))).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("item_ids"))
-    docs = documents.select("doc_id", "text").join(leaks, "doc_id", "left")
+    """One row a document: leaked spans removed, or the text null where they are more than ``drop_share`` of its words.
+
+    All blocks of items are read in one pass over each document, so no text is shuffled or joined.
+    """
+    blocks = item_blocks(items)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("item_ids", pa.list_(pa.int64())), ("action", pa.string())])
 
-    def each(doc_id, text, spans, item_ids):
-        if not spans or text is None:
-            yield doc_id, text, item_ids, "kept"
+    def each(doc_id, text):
+        found = [x for shared in blocks for x in leakage.leaks(text, shared.value)]
+        if not found or text is None:
+            yield doc_id, text, None, "kept"
             return
-        gone: set[int] = set()
-        for s in spans:
-            gone.update(range(s["first_word"], s["last_word"]))
+        ids = sorted({x[0] for x in found})
+        gone = {i for x in found for i in range(x[3], x[4])}
         pieces = leakage.pieces(text)
         if len(gone) > drop_share * sum(n for n, _ in pieces):
-            yield doc_id, None, item_ids, "removed"
+            yield doc_id, None, ids, "removed"
             return
-        at, out = 0, []
+        at, kept = 0, []
         for n, piece in pieces:
-            if n and gone.issuperset(range(at, at + n)):
-                at += n
-                continue
-            out.append(piece)
+            if not (n and gone.issuperset(range(at, at + n))):
+                kept.append(piece)
             at += n
-        yield doc_id, "".join(out).strip(), item_ids, "cut"
+        yield doc_id, "".join(kept).strip(), ids, "cut"
 
-    return _map(docs, ["doc_id", "text", "spans", "item_ids"], "doc_id bigint, text string, item_ids array<bigint>, action string", schema, each)
+    return _map(documents, ["doc_id", "text"], "doc_id bigint, text string, item_ids array<bigint>, action string", schema, each)
 
 
 # ---------------------------------------------------------------- 7 mixing

@@ -78,6 +78,23 @@ def lattice_words(text: str, lexicon: frozenset[str] = LEXICON) -> list[str]:
     return words[::-1]
 
 
+def gap_score(before: str, lead: str, after: list[str]) -> float:
+    """How far the gap behind a closed quotation ends the sentence, from the lattice words at its sides.
+
+    A final particle before the gap and a quotation that completes its clause speak for an
+    end; a quotation link or a speech verb behind the gap opens the rest of the sentence.
+    """
+    score = 1.0
+    if before and lattice_words(before[-MAX_WORD:])[-1] in FINAL_PARTICLES:
+        score += 0.5
+    if after and after[0] in QUOTE_LINKS:
+        return score - 3.0
+    complement = lead.endswith(("：", ":", "，", ",", "、")) or bool(lead) and lattice_words(lead[-6:])[-1] in SPEECH_VERBS
+    if not complement and any(w in SPEECH_VERBS for w in after):
+        score -= 2.0
+    return score
+
+
 def _enclosures(block: str) -> list[tuple[int, int]]:
     """Matched quotation and bracket pairs of a block; a mark without its partner encloses nothing."""
     stack: list[tuple[str, int]] = []
@@ -260,12 +277,9 @@ def _spaceless_ends(block: str, held: _Held) -> list[int]:
                     continue
                 if a > start and block[a - 1] not in "。！？":
                     continue
-            complement = lead.endswith(("：", ":", "，", ",", "、")) or (lead and lattice_words(lead[-6:])[-1] in SPEECH_VERBS)
-            if words and words[0] in QUOTE_LINKS:
-                continue
             if words and words[0] in "，、,：:":
                 continue
-            if not complement and any(w in SPEECH_VERBS for w in words):
+            if gap_score(block[max(start, i - REACH) : i], lead, words) <= 0:
                 continue
         ends.append(k)
         start = k
