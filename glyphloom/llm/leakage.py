@@ -1,8 +1,8 @@
 """Evaluation passages inside training text (problem 6).
 
 A broadcast hash set of normalised item n-grams is scanned over the token windows of
-every document.  Each hit is verified by a word alignment between the item and the
-document: at least half of the item's words must occur in order in one passage, a few
+every document.  Each hit is verified by aligning the item with every window of the document
+around it: at least half of the item's words must occur in order in one passage, a few
 words changed or left out.
 
 Defined results: a null or empty document leaks nothing; an item without words has no
@@ -11,12 +11,13 @@ n-gram and is never reported; repeated items are reported under each ``item_id``
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import math
 import re
 import unicodedata
 from dataclasses import dataclass
 
-import numpy as np
-
 from glyphloom.llm.textforms import fold
 
 GRAM = 4
@@ -76,56 +77,68 @@ def hash_gram(words: list[str]) -> str:
     return " ".join(words)
 
 
-def aligned(item: list[str], doc: list[str]) -> tuple[int, int, int]:
-    """Best local alignment: (matched words, first and last document word of the passage).
+def passages(item: list[str], doc: list[str], need: float) -> list[tuple[int, int, int]]:
+    """(matched words, first and last document word) of every passage, no two overlapping, the fullest first.
 
-    Scores: match 1, changed or left-out word -0.6, so that a passage tolerates a few
-    differences but does not chain unrelated fragments.
+    A passage is a window in which at least ``need`` item words stand in order (longest
+    common subsequence) and make up ``DENSE`` of its words.  Every window that begins and
+    ends with an item word is tried, by bit-parallel rows: starts x window x len(item) / 64.
     """
-    vocab: dict[str, int] = {}
-    a = np.array([vocab.setdefault(w, len(vocab)) for w in item])
-    b = np.array([vocab.get(w, -1) for w in doc])
-    n, m = len(a), len(b)
-    gap = 0.6
-    prev = np.zeros(m + 1)
-    pm = np.zeros(m + 1, dtype=np.int32)
-    ps = np.arange(m + 1, dtype=np.int32)
-    best = (0.0, 0, 0, 0)
-    offs = np.arange(m + 1) * gap
-    for i in range(n):
-        hit = b == a[i]
-        diag = prev[:-1] + np.where(hit, 1.0, -gap)
-        dm = pm[:-1] + hit
-        up = prev[1:] - gap
-        take = diag >= up
-        s = np.where(take, diag, up)
-        sm = np.where(take, dm, pm[1:])
-        ss = np.where(take, ps[:-1], ps[1:])
-        neg = s <= 0
-        s = np.where(neg, 0.0, s)
-        sm = np.where(neg, 0, sm)
-        ss = np.where(neg, np.arange(1, m + 1), ss)
-        # left moves: a running maximum of s + j*gap
-        row = np.concatenate([[0.0], s])
-        lifted = row + offs
-        at = np.maximum.accumulate(lifted)
-        src = np.maximum.accumulate(np.where(lifted >= at, np.arange(m + 1), 0))
-        row2 = at - offs
-        use = row2 > row + 1e-9
-        rm = np.concatenate([[0], sm])
-        rs = np.concatenate([[0], ss])
-        row = np.where(use, row2, row)
-        rm = np.where(use, rm[src], rm)
-        rs = np.where(use, rs[src], rs)
-        prev, pm, ps = row, rm.astype(np.int32), rs.astype(np.int32)
-        j = int(row.argmax())
-        if row[j] > best[0]:
-            best = (float(row[j]), int(rm[j]), int(rs[j]), j)
-    return best[1], best[2], best[3]
+    mask: dict[str, int] = {}
+    for i, w in enumerate(item):
+        mask[w] = mask.get(w, 0) | 1 << i
+    out = []
+    todo = [(0, len(doc))]
+    while todo:
+        lo, hi = todo.pop()
+        best = _windows(mask, len(item), doc, lo, hi, need)
+        if not best:
+            continue
+        taken: list[tuple[int, int]] = []
+        for k, a, b in sorted(best, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+            at = bisect.bisect(taken, (a, b))
+            if (not at or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                out.append((k, a, b))
+        # what lies between may hold windows that were longer, and overlapped, at first
+        todo += zip([lo, *(b for _, b in taken)], [*(a for a, _ in taken), hi], strict=True)
+    return sorted(out, key=lambda x: (-x[0], x[1]))
+
+
+def _windows(mask: dict[str, int], n: int, doc: list[str], lo: int, hi: int, need: float) -> list[tuple[int, int, int]]:
+    """The fullest, then shortest, passage from every start in doc[lo:hi]."""
+    at = [j for j in range(lo, hi) if doc[j] in mask]
+    least = max(1, math.ceil(need))
+    if len(at) < least:
+        return []
+    rows = [mask[doc[j]] for j in at]
+    # were all item words in order, the window from the s-th to the e-th would be dense where ends[e] >= e's start
+    ends = [e + 1 - DENSE * (j + 1) for e, j in enumerate(at)]
+    top = list(itertools.accumulate(reversed(ends), max))[::-1]
+    full, longest = (1 << n) - 1, n / DENSE
+    out = []
+    for s in range(len(at) - least + 1):
+        floor = s - DENSE * at[s] - 1e-9
+        if top[s + least - 1] < floor:
+            continue
+        v, best = full, None
+        for e in range(s, len(at)):
+            if top[e] < floor or at[e] - at[s] >= longest:
+                break
+            u = v & rows[e]
+            v = ((v + u) | (v - u)) & full
+            if e - s + 1 < least or ends[e] < floor:
+                continue
+            k = n - v.bit_count()
+            if k >= need and k >= DENSE * (at[e] + 1 - at[s]) - 1e-9 and (best is None or k > best[0]):
+                best = (k, at[s], at[e] + 1)
+        if best:
+            out.append(best)
+    return out
 
 
 def leaks(text: str | None, index: ItemIndex, share: float = SHARE) -> list[tuple[int, int, int, int, int]]:
-    """(item_id, matched words, item words, first doc word, last doc word) of every leaked item."""
+    """(item_id, matched words, item words, first doc word, last doc word) of every leaked passage of every item."""
     words = leak_words(text)
     if not words:
         return []
@@ -146,9 +159,14 @@ def leaks(text: str | None, index: ItemIndex, share: float = SHARE) -> list[tupl
         # item words under a shared n-gram; a passage with a few changes keeps most of its n-grams
         if len({i + x for i, _ in hits for x in range(n)}) < COVERED * len(item):
             continue
-        lo = max(0, min(j - i for i, j in hits) - 12)
-        hi = min(len(words), max(j - i for i, j in hits) + len(item) + 12)
-        matched, a, b = aligned(item, words[lo:hi])
-        if matched >= need and matched >= DENSE * (b - a):
-            out.append((index.ids[k], matched, len(item), lo + a, lo + b))
+        # a passage has at most len(item) / DENSE words, so none that holds a hit leaves these stretches
+        reach = math.ceil(len(item) / DENSE)
+        stretches: list[list[int]] = []
+        for j in sorted({j for _, j in hits}):
+            if stretches and j - reach <= stretches[-1][1]:
+                stretches[-1][1] = min(len(words), j + n + reach)
+            else:
+                stretches.append([max(0, j - reach), min(len(words), j + n + reach)])
+        for lo, hi in stretches:
+            out += [(index.ids[k], matched, len(item), lo + a, lo + b) for matched, a, b in passages(item, words[lo:hi], need)]
     return out

@@ -342,7 +342,7 @@ def item_blocks(items: DataFrame) -> list:
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched_words, item_words, first_word, last_word) of every leak; one scan a block of items."""
+    """(doc_id, item_id, matched_words, item_words, first_word, last_word) of every leaked passage; one scan a block of items."""
     out = None
     for shared in item_blocks(items):
 

@@ -143,6 +143,36 @@ def test_leaks():
     assert leakage.leaks(None, index) == [] and leakage.leaks("", index) == []
 
 
+@pytest.mark.parametrize("n", [30, 60])
+@pytest.mark.parametrize("inserted", [0, 5, 13, 20, 24, 50])
+def test_leak_of_a_part_beside_foreign_words(n, inserted):
+    item = [f"i{x}" for x in range(n)]
+    index = leakage.build_index([(1, " ".join(item))])
+    doc = ["x"] * 9 + item[: n // 2] + [f"f{x}" for x in range(inserted)] + item[n // 2 :] + ["y"] * 9
+    got = leakage.leaks(" ".join(doc), index)
+    words = {w for _, _, _, a, b in got for w in doc[a:b]}
+    assert set(item) <= words and all(m >= 0.7 * (b - a) and 2 * m >= n for _, m, _, a, b in got)
+
+
+def test_leaks_against_every_window():
+    rnd = random.Random(8)
+    for _ in range(300):
+        item = [rnd.choice("abcdefghij") for _ in range(10)]
+        doc = [rnd.choice("abcdefghijxyz") for _ in range(9)] + item[: rnd.randrange(4, 10)] + [rnd.choice("abcxyz") for _ in range(rnd.randrange(9))] + item[rnd.randrange(9) :]
+
+        def common(w):
+            row = [0] * (len(w) + 1)
+            for x in item:
+                prev = 0
+                for j, y in enumerate(w, 1):
+                    prev, row[j] = row[j], prev + 1 if x == y else max(row[j], row[j - 1])
+            return row[-1]
+
+        best = max((k for a in range(len(doc)) for b in range(a + 1, len(doc) + 1) if (k := common(doc[a:b])) >= 5 and k >= 0.7 * (b - a) - 1e-9), default=0)
+        got = leakage.passages(item, doc, 5)
+        assert (got[0][0] if got else 0) == best and all(common(doc[a:b]) == k for k, a, b in got)
+
+
 NAMES = [(f"{a}{b}", "given") for a in ("Tav", "Jorv", "Brim", "Fenn") for b in ("inka", "aro", "wen", "isa")] + [(f"{a}{b}", "family") for a in ("Krav", "Mar", "Dunm", "Ostr") for b in ("evik", "bury", "ander", "ardt")]
 
 
