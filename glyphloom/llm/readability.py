@@ -83,6 +83,20 @@ def word_facts(word: str) -> tuple[int, int, bool, int, int, int, int]:
     return f
 
 
+def diversity(words: list[str], size: int = 100) -> float:
+    """Mean type-token ratio over all consecutive windows of ``size`` words; of the whole where there are fewer."""
+    n = len(words)
+    size = min(size, n)
+    last = n - size
+    seen: dict[str, int] = {}
+    types = 0
+    for i, w in enumerate(words):
+        # a word is a new type in the windows that begin after its last occurrence and hold it
+        types += max(0, min(i, last) - max(seen.get(w, -1), i - size))
+        seen[w] = i
+    return types / (size * (last + 1))
+
+
 def features(text: str, counts: np.ndarray | None = None, total: float = 1.0) -> np.ndarray:
     rows = []
     words_all: list[str] = []
@@ -105,10 +119,9 @@ def features(text: str, counts: np.ndarray | None = None, total: float = 1.0) ->
     sy = np.array([word_facts(x)[1] for x in set(words_all)], dtype=float)
     rare = np.zeros(1) if counts is None else -np.log((counts[a[:, 3].astype(np.int64)] + 1.0) / (total + RARITY_BUCKETS))
     n = r[:, 0]
-    hundred = words_all[:100]
     return np.array([
         np.log(n.mean()), np.log(np.quantile(n, 0.9)), wl.mean(), (wl >= 10).mean(), (wl >= 8).mean(), (wl <= 4).mean(),
-        rare.mean(), np.quantile(rare, 0.9), len(set(hundred)) / len(hundred), r[:, 1].sum() / n.sum() * 10, r[:, 1].max(),
+        rare.mean(), np.quantile(rare, 0.9), diversity(words_all), r[:, 1].sum() / n.sum() * 10, r[:, 1].max(),
         r[:, 2].mean(), r[:, 3].sum() / n.sum() * 10, r[:, 4].mean(), r[:, 5].mean(), np.quantile(r[:, 5], 0.9),
         a[:, 2].mean(), sy.mean(), (sy >= 4).mean(), np.log(n.mean()) * (wl >= 10).mean(), (n <= 8).mean(),
         ((r[:, 6] > 0.3) | (r[:, 5] > 3)).mean(),

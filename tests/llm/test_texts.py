@@ -223,6 +223,19 @@ def test_ordinal_model_separates():
     assert readability.features("").shape == (len(readability.NAMES),)
 
 
+def test_diversity_reads_the_whole_text():
+    rnd = random.Random(9)
+    for _ in range(100):
+        words = [f"w{rnd.randrange(rnd.randrange(1, 90))}" for _ in range(rnd.randrange(1, 300))]
+        k = min(100, len(words))
+        windows = [len(set(words[a : a + k])) / k for a in range(len(words) - k + 1)]
+        assert readability.diversity(words) == pytest.approx(sum(windows) / len(windows))
+    opening = " ".join(f"{a}{b} goes on {b}{a}." for a in ("ab", "cd", "ef", "gh", "ij") for b in ("kl", "mn", "op", "qr", "st"))
+    at = readability.NAMES.index("ttr")
+    varied = opening + " " + " ".join(f"{a}{b} goes on {b}{a}." for a in ("uv", "wx", "yz", "ba", "dc") for b in ("fe", "hg", "ji", "lk", "nm"))
+    assert readability.features(opening + " The cat sat down." * 25)[at] < readability.features(varied)[at] - 0.1
+
+
 @pytest.mark.parametrize("unit", ["a. B ", "(a. b", "“a. b” ", "「あ。い」", "1. ", "= ", " ", "\n", "# x\n", "- x\n", "<b>x</b> ", "<pre ", "$x ", "a@b.cd ", "Tavinka Kravevik ", "555-0101 ", "the same six words come again here. ", "ﾀﾞ", "​", "&amp;", "[[x", "{{x}} ", "| a |\n"])
 def test_long_texts_end_soon(unit):
     import time
