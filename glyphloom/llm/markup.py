@@ -7,7 +7,7 @@ language) and formulas (``$..$``) stay marked, and names the kinds of element se
 Tags are read as a stream of events of the standard-library HTML parser.  Every
 source line gets its text-to-tag ratio; a Gaussian smooths the ratios along the
 lines and a threshold set by two-means clustering separates content regions from
-markup-only regions, whose empty remains are dropped.
+markup-only regions, whose wordless remains (separators, arrows) are dropped.
 
 Defined results: null text gives null clean text and no element; an empty text
 stays empty; text without markup is returned as it is (line ends become ``\\n``).
@@ -188,9 +188,12 @@ class _Events(HTMLParser):
 TAGLIKE = re.compile(r"</?([a-zA-Z][\w-]*)\b[^<>]*>|<!--|<!DOCTYPE", re.I)
 
 
+MARKS = re.compile(r"<[^<>\n]{1,300}>|\{\{[^{}\n]*\}\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
+
+
 def line_content(lines: list[str], sigma: float = 1.0) -> list[bool]:
     """Content flags of source lines: Gaussian-smoothed text-to-tag ratios above a two-means threshold."""
-    tags = [sum(len(m[0]) for m in re.finditer(r"<[^<>\n]{1,300}>|\{\{[^{}\n]*\}\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?", x)) for x in lines]
+    tags = [sum(len(m[0]) for m in MARKS.finditer(x)) for x in lines]
     if not any(tags):
         return [True] * len(lines)
     ratio = [math.log1p((len(x.strip()) - t) / (1 + t)) for x, t in zip(lines, tags, strict=True)]
@@ -214,6 +217,22 @@ def line_content(lines: list[str], sigma: float = 1.0) -> list[bool]:
     return [s >= cut or r >= cut for s, r in zip(smooth, ratio, strict=True)]
 
 
+def _marks_only(line: str, out: Converted) -> str:
+    """A line of a markup-only region without what stands beside its tags, if that holds no word, no structure mark and no open markup.
+
+    The tags themselves stay for the event reader.  Words stay in every region, as headings and list items are short, too.
+    """
+    if any(rx.match(line) for rx in (UNDERLINE, RULE, TABLE_RULE, WIKI_TABLE)):
+        return line
+    rest = MARKS.sub("", line)
+    plain = html.unescape(rest)
+    if re.search(r"[\w<>{}\[\]()`\\$\ue000-\ue003]", plain):
+        return line
+    if plain != rest:
+        out.add("other")
+    return "".join(m[0] for m in MARKS.finditer(line))
+
+
 def _language(info: str) -> str:
     m = re.match(r"[\s{.`~]*(?:language-|lang-)?([A-Za-z][\w+#-]*)", info or "")
     return m[1].lower() if m else ""
@@ -351,9 +370,9 @@ def convert(text: str | None) -> Converted:
     source_lines = held.split("\n")
     content = line_content(source_lines)
     out.content_share = sum(content) / max(1, len(content))
-    # markup-only regions: their lines stay only if they still hold letters once the tags are gone
+    # markup-only regions: of their lines the tags go on, and no wordless remains
     if not all(content):
-        held = "\n".join(x if keep or re.search(r"\w", x) else "" for x, keep in zip(source_lines, content, strict=True))
+        held = "\n".join(x if keep else _marks_only(x, out) for x, keep in zip(source_lines, content, strict=True))
 
     if COMMENTS.search(held):
         out.add("other")

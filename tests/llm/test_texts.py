@@ -1,6 +1,7 @@
 """Per-document functions of the training-data operators."""
 
 import random
+import re
 
 import pytest
 
@@ -45,6 +46,18 @@ def test_markup_text():
     assert convert("a\r\nb").text == "a\nb"
 
 
+def test_wordless_remains_of_markup_regions():
+    bar = "<div class=\"bar\"><a href=\"/a\"></a> | <a href=\"/b\"></a> &raquo; <img src=\"c.png\"></div>"
+    body = "These are the words of the page, which are long enough to be content."
+    c = convert("\n".join([bar] * 4 + [f"<p>{body}</p>", body] + [bar] * 4))
+    # smoothing keeps the line next to the content on either side
+    assert c.text.count("|") == c.text.count("\u00bb") == 2 and c.text.count(body) == 2 and c.kinds == {"other"} and 0 < c.content_share < 1
+    # in the same regions, structure and words stay
+    c = convert("\n".join([bar] * 3 + ["<h2>", "Big", "</h2>", bar, "<ul><li class=\"of-a-kind\">one", "</ul>", bar, "", "Next", "==", "", bar, "&alpha;<br><br><br><br>", "<!--", "\u00bb <b>no</b>", "-->", bar, f"<p>{body} {body}</p>"]))
+    got = [x for x in c.text.split("\n") if re.search(r"\w", x)]
+    assert c.kinds == {"heading", "list", "other"} and got == ["## Big", "- one", "# Next", "\u03b1", f"{body} {body}"] and c.text.count("|") <= 1
+
+
 def test_repetition_against_brute_force():
     rnd = random.Random(3)
     for _ in range(200):
