@@ -1,9 +1,9 @@
 """Sentence units for every script (problem 4).
 
-Spaceless scripts (Han, kana, Thai) are cut by gap classification over a
-dictionary word lattice: the words on both sides of a candidate gap are read
-off the cheapest lattice path and final particles, speech verbs and opening
-words decide whether the gap ends a sentence.  Spaced scripts use a terminator
+Han and kana are cut at their end marks.  Only a gap behind a closed quotation or
+bracket is open, and is classified over a dictionary word lattice of the block: quotation
+links and speech verbs read off its cheapest path decide whether the sentence goes on.
+Thai is cut at its spaces.  Spaced scripts use a terminator
 lattice: each run of end marks is a node that is kept or dropped by what stands
 before it (abbreviation, initial, ordinal, ellipsis, open quotation) and after it.
 
@@ -59,7 +59,7 @@ MAX_WORD = max(map(len, LEXICON))
 
 
 def lattice_words(text: str, lexicon: frozenset[str] = LEXICON) -> list[str]:
-    """Cheapest path through the word lattice of a short text: a dictionary word costs 1, any other character 1.5."""
+    """Cheapest path through the word lattice of a text: a dictionary word costs 1, any other character 1.5."""
     n = len(text)
     best: list[float] = [0.0] + [1e18] * n
     back = [0] * (n + 1)
@@ -78,21 +78,17 @@ def lattice_words(text: str, lexicon: frozenset[str] = LEXICON) -> list[str]:
     return words[::-1]
 
 
-def gap_score(before: str, lead: str, after: list[str]) -> float:
-    """How far the gap behind a closed quotation ends the sentence, from the lattice words at its sides.
+def gap_score(lead: str, verb: str, after: list[str]) -> float:
+    """How far the gap behind a closed quotation ends the sentence: ``verb`` is the lattice word at the end of ``lead``, ``after`` are those of the next clause.
 
-    A final particle before the gap and a quotation that completes its clause speak for an
-    end; a quotation link or a speech verb behind the gap opens the rest of the sentence.
+    A quotation that completes its clause speaks for an end; a quotation link or a speech
+    verb behind the gap opens the rest of the sentence.  A final particle inside the
+    quotation tells nothing here, as a speech verb may follow it all the same.
     """
-    score = 1.0
-    if before and lattice_words(before[-MAX_WORD:])[-1] in FINAL_PARTICLES:
-        score += 0.5
     if after and after[0] in QUOTE_LINKS:
-        return score - 3.0
-    complement = lead.endswith(("：", ":", "，", ",", "、")) or bool(lead) and lattice_words(lead[-6:])[-1] in SPEECH_VERBS
-    if not complement and any(w in SPEECH_VERBS for w in after):
-        score -= 2.0
-    return score
+        return -2.0
+    complement = lead.endswith(("：", ":", "，", ",", "、")) or verb in SPEECH_VERBS
+    return -1.0 if not complement and any(w in SPEECH_VERBS for w in after) else 1.0
 
 
 def _enclosures(block: str) -> list[tuple[int, int]]:
@@ -251,6 +247,8 @@ def _spaceless_ends(block: str, held: _Held) -> list[int]:
     last = len(block.rstrip())
     n = len(block)
     start = 0
+    lattice: list[str] = []
+    at: list[int] = []
     for m in re.finditer(r"[。！？!?｡．.…‼⁇⁈⁉]+", block):
         run, i, j = m[0], m.start(), m.end()
         if i < start or set(run) <= set("…"):
@@ -269,9 +267,13 @@ def _spaceless_ends(block: str, held: _Held) -> list[int]:
         holder = held.closing(i, k)
         if holder:
             a, b = holder
+            if not lattice:
+                lattice = lattice_words(block)
+                at = [0, *accumulate(map(len, lattice))]
             lead = block[max(start, a - REACH) : a].rstrip()
-            clause = re.split(r"[。！？!?｡]", block[k : k + REACH].lstrip(), maxsplit=1)[0][:40]
-            words = lattice_words(clause)
+            stop = re.compile(r"[。！？!?｡]").search(block, k)
+            words = [w for w in lattice[bisect_left(at, k) : bisect_left(at, stop.start() if stop else n)] if not w.isspace()]
+            verb = lattice[bisect_left(at, max(start, a - REACH) + len(lead)) - 1] if lead else ""
             if block[b] in "）)】]" and lead:
                 if words and (words[0] in QUOTE_LINKS or words[0] in "，、,"):
                     continue
@@ -279,7 +281,7 @@ def _spaceless_ends(block: str, held: _Held) -> list[int]:
                     continue
             if words and words[0] in "，、,：:":
                 continue
-            if gap_score(block[max(start, i - REACH) : i], lead, words) <= 0:
+            if gap_score(lead, verb, words) <= 0:
                 continue
         ends.append(k)
         start = k

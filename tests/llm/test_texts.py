@@ -100,6 +100,13 @@ def test_sentences(text, parts):
     assert spans(text) == parts
 
 
+def test_speech_verb_far_behind_a_quotation():
+    far = "那位在河边住了很多年而且每天早晨都要走过木桥去学校打开大门的年老的守门人一边慢慢关上沉重的铁门一边大声地对孩子们说"
+    assert len(far) > 40
+    assert spans(f"“回去吧。”{far}。学校打开钟。") == [f"“回去吧。”{far}。", "学校打开钟。"]
+    assert spans(f"“回去吧。”{far[:-1]}。学校打开钟。") == ["“回去吧。”", f"{far[:-1]}。", "学校打开钟。"]
+
+
 def test_sentence_blocks():
     text = "Äone\ntwo. Three"
     assert spans(text, (0, 6)) == ["Äone", "two.", "Three"]
