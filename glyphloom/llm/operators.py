@@ -129,8 +129,8 @@ def host_verdicts(docs: DataFrame, suspect: float = 0.25) -> tuple[DataFrame, fl
 def token_repetition(toks: DataFrame, run: int = RUN) -> DataFrame:
     """Share of a view's tokens in runs of ``run`` or more words that occurred before, from the token table alone.
 
-    Token n-grams are cut per document with ``lead`` over the document's tokens; the earliest
-    place of every n-gram is a group aggregate; covered places are counted by interval ends.
+    The tokens of each view are gathered, in order, into one array and read in Python, so a view
+    must fit the memory of one task; no window or join over n-grams is built.
     Null words break a run; duplicate rows count once.
     """
     t = toks.where("prep_id is not null and tok_no is not null").groupBy("prep_id", "tok_no").agg(F.max("word").alias("word"))
