@@ -3,7 +3,10 @@
 A broadcast hash set of normalised item n-grams is scanned over the token windows of
 every document.  Each hit is verified by aligning the item with every window of the document
 around it: at least half of the item's words must occur in order in one passage, a few
-words changed or left out.
+words changed or left out.  The n-grams of an item are as long as the run of words that
+any such passage keeps (3 words, 2 for items under about 30 words, at most as long as half
+the item), so a changed or put-in word never hides one; only words left out of the item
+between all of its runs could.
 
 Defined results: a null or empty document leaks nothing; an item without words has no
 n-gram and is never reported; repeated items are reported under each ``item_id``.
@@ -16,14 +19,11 @@ import itertools
 import math
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from glyphloom.llm.textforms import fold
 
-GRAM = 4
 SHARE = 0.5
-#: least share of an item's words under n-grams shared with the document
-COVERED = 0.25
 #: least share of matched words among the words of the passage
 DENSE = 0.7
 _SPLIT = re.compile(r"\s+")
@@ -47,11 +47,24 @@ class ItemIndex:
     ids: list[int]
     words: list[list[str]]
     grams: dict[str, list[tuple[int, int]]]
+    #: lengths of the n-grams, from each item's ``run_length``
+    lengths: list[int]
+    #: places of the words of the items met so far, as bits
+    masks: dict[int, dict[str, int]] = field(default_factory=dict)
+
+
+def run_length(n: int) -> int:
+    """Words in a row that every passage of an item of ``n`` words shares with it, if words are changed or put in.
+
+    A passage of m matched words has at most m / DENSE - m others, which cut it into one run more.
+    """
+    least = max(1, math.ceil(SHARE * n))
+    return min(-(-m // (int(m / DENSE + 1e-9) - m + 1)) for m in range(least, n + 1))
 
 
 def build_index(items: list[tuple[int, str | None]]) -> ItemIndex:
     """Hash set of the items' n-grams; its size is the number of item words, checked by the caller before broadcast."""
-    ids, words, grams = [], [], {}
+    ids, words, grams, lengths = [], [], {}, set()
     for item_id, text in items:
         w = leak_words(text)
         if not w:
@@ -59,10 +72,11 @@ def build_index(items: list[tuple[int, str | None]]) -> ItemIndex:
         k = len(ids)
         ids.append(item_id)
         words.append(w)
-        n = min(GRAM, len(w))
+        n = run_length(len(w))
+        lengths.add(n)
         for i in range(len(w) - n + 1):
             grams.setdefault(hash_gram(w[i : i + n]), []).append((k, i))
-    return ItemIndex(ids, words, grams)
+    return ItemIndex(ids, words, grams, sorted(lengths))
 
 
 def pieces(text: str) -> list[tuple[int, str]]:
@@ -77,16 +91,21 @@ def hash_gram(words: list[str]) -> str:
     return " ".join(words)
 
 
-def passages(item: list[str], doc: list[str], need: float) -> list[tuple[int, int, int]]:
+def places(item: list[str]) -> dict[str, int]:
+    mask: dict[str, int] = {}
+    for i, w in enumerate(item):
+        mask[w] = mask.get(w, 0) | 1 << i
+    return mask
+
+
+def passages(item: list[str], doc: list[str], need: float, mask: dict[str, int] | None = None) -> list[tuple[int, int, int]]:
     """(matched words, first and last document word) of every passage, no two overlapping, the fullest first.
 
     A passage is a window in which at least ``need`` item words stand in order (longest
     common subsequence) and make up ``DENSE`` of its words.  Every window that begins and
     ends with an item word is tried, by bit-parallel rows: starts x window x len(item) / 64.
     """
-    mask: dict[str, int] = {}
-    for i, w in enumerate(item):
-        mask[w] = mask.get(w, 0) | 1 << i
+    mask = places(item) if mask is None else mask
     out = []
     todo = [(0, len(doc))]
     while todo:
@@ -142,31 +161,29 @@ def leaks(text: str | None, index: ItemIndex, share: float = SHARE) -> list[tupl
     words = leak_words(text)
     if not words:
         return []
-    found: dict[int, list[tuple[int, int]]] = {}
-    n = min(GRAM, len(words))
+    found: dict[int, set[int]] = {}
     grams = index.grams
-    for j in range(len(words) - n + 1):
-        hit = grams.get(" ".join(words[j : j + n]))
-        if hit:
-            for k, i in hit:
-                found.setdefault(k, []).append((i, j))
-    if not found:
-        return []
+    for n in index.lengths:
+        for j in range(len(words) - n + 1):
+            hit = grams.get(" ".join(words[j : j + n]))
+            if hit:
+                for k, _ in hit:
+                    found.setdefault(k, set()).add(j)
     out = []
     for k, hits in found.items():
         item = index.words[k]
         need = share * len(item)
-        # item words under a shared n-gram; a passage with a few changes keeps most of its n-grams
-        if len({i + x for i, _ in hits for x in range(n)}) < COVERED * len(item):
-            continue
+        mask = index.masks.get(k)
+        if mask is None:
+            mask = index.masks[k] = places(item)
         # a passage has at most len(item) / DENSE words, so none that holds a hit leaves these stretches
-        reach = math.ceil(len(item) / DENSE)
+        reach = math.ceil(len(item) / DENSE) + 1
         stretches: list[list[int]] = []
-        for j in sorted({j for _, j in hits}):
+        for j in sorted(hits):
             if stretches and j - reach <= stretches[-1][1]:
-                stretches[-1][1] = min(len(words), j + n + reach)
+                stretches[-1][1] = min(len(words), j + reach)
             else:
-                stretches.append([max(0, j - reach), min(len(words), j + n + reach)])
+                stretches.append([max(0, j - reach), min(len(words), j + reach)])
         for lo, hi in stretches:
-            out += [(index.ids[k], matched, len(item), lo + a, lo + b) for matched, a, b in passages(item, words[lo:hi], need)]
+            out += [(index.ids[k], matched, len(item), lo + a, lo + b) for matched, a, b in passages(item, words[lo:hi], need, mask)]
     return out

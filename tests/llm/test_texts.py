@@ -174,6 +174,18 @@ def test_leak_of_a_part_beside_foreign_words(n, inserted):
     assert set(item) <= words and all(m >= 0.7 * (b - a) and 2 * m >= n for _, m, _, a, b in got)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 9, 30, 40])
+def test_leaks_of_short_items_and_often_changed_passages(n):
+    item = [f"i{x}" for x in range(n)]
+    index = leakage.build_index([(1, " ".join(item)), (2, " ".join(f"o{x}" for x in range(40)))])
+    half = item[: (n + 1) // 2]
+    assert {k for k, *_ in leakage.leaks(" ".join(half), index)} == {1}
+    assert {k for k, *_ in leakage.leaks(" ".join(["x"] * 50 + half + ["y"] * 50), index)} == {1}
+    if n >= 4:
+        changed = [f"c{x}" if x % 4 == 3 else w for x, w in enumerate(item)]
+        assert {k for k, *_ in leakage.leaks(" ".join(["x"] * 50 + changed + ["y"] * 50), index)} == {1}
+
+
 def test_leaks_against_every_window():
     rnd = random.Random(8)
     for _ in range(300):
