@@ -231,5 +231,10 @@ def family_rates(findings: DataFrame) -> DataFrame:
 
 
 def corpus_rollup(findings: DataFrame) -> DataFrame:
-    """Corpus totals by family and rule (an extension): counts of findings and of documents."""
-    return findings.rollup("family", "rule_id").agg(F.count("*").alias("findings"), F.approx_count_distinct("doc_id").alias("documents_about"))
+    """Corpus totals by family and rule (an extension): counts of findings and, exactly, of documents.
+
+    ``documents_about`` keeps its name.  The findings fold to one row a family, rule and document
+    first; a document then counts once at each level of the rollup.
+    """
+    one = findings.groupBy("family", "rule_id", "doc_id").agg(F.count("*").alias("n"))
+    return one.rollup("family", "rule_id").agg(F.sum("n").alias("findings"), F.count_distinct("doc_id").alias("documents_about"))

@@ -131,6 +131,13 @@ def test_shingles_and_rates(spark):
     assert (row["a"], row["b"]) == ("4.2", "0.0")
 
 
+def test_rollup_counts_documents_exactly(spark):
+    ids = F.col("id")
+    found = spark.range(6000).select(F.when(ids > 0, F.concat(F.lit("d"), ids % 3000)).alias("doc_id"), F.lit("f").alias("family"), F.concat(F.lit("r"), ids % 2).alias("rule_id"))
+    got = {(r["family"], r["rule_id"]): (r["findings"], r["documents_about"]) for r in analysis.corpus_rollup(found).collect()}
+    assert got == {("f", "r0"): (3000, 1500), ("f", "r1"): (3000, 1500), ("f", None): (6000, 3000), (None, None): (6000, 3000)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from glyphloom.streaming import stream_findings
 
