@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import islice
+from operator import le
 
+import numpy as np
 import regex
 
 from glyphloom.functions.chars import ALNUM_RUN, DECOR_TAIL, INVISIBLE, IS_DECOR, LOOKALIKES, PUNCT, entity, numeric_ref
 from glyphloom.functions.document import FULL_FOLD, QUOTED, Doc
 
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
+_ALIKE = regex.compile("[" + "".join(LOOKALIKES) + "]")
 
 
 @dataclass
@@ -22,7 +27,9 @@ class NormView:
     blocks: list[int] = field(default_factory=list)
     lines: list[int] = field(default_factory=list)
     removed: list[int] = field(default_factory=list)
-    sorted: bool = False
+    #: union of all flags: a flag that no character has needs no look at the characters
+    bits: int = 0
+    _sorted: bool | None = None
 
     def source(self, a: int, b: int) -> tuple[int, int] | None:
         if a >= b or b > len(self.text):
@@ -32,20 +39,26 @@ class NormView:
 
     def at_source(self, at: int) -> int | None:
         """First character of the view that came from source offset ``at``."""
-        import bisect
-
-        k = bisect.bisect_right(self.last, at) if self.sorted else 0
+        if self._sorted is None:
+            self._sorted = all(map(le, self.last, islice(self.last, 1, None)))
+        k = bisect_right(self.last, at) if self._sorted else 0
         while k < len(self.first) and not (self.first[k] <= at < self.last[k]):
-            if self.sorted and self.first[k] > at:
+            if self._sorted and self.first[k] > at:
                 return None
             k += 1
         return k if k < len(self.first) else None
 
     def all_quoted(self, a: int, b: int) -> bool:
-        return all(f & QUOTED for f in self.flags[a:b])
+        return a >= b or bool(self.bits & QUOTED) and all(f & QUOTED for f in self.flags[a:b])
 
     def any_flag(self, a: int, b: int, bit: int) -> bool:
-        return any(f & bit for f in self.flags[a:b])
+        return bool(self.bits & bit) and any(f & bit for f in self.flags[a:b])
+
+    def quoted_before(self) -> np.ndarray | None:
+        """Number of quoted characters before every place of the view; None where nothing is quoted."""
+        if not self.bits & QUOTED:
+            return None
+        return np.concatenate([[0], np.cumsum(np.array(self.flags, dtype=np.int64) & QUOTED)])
 
     def opens(self, at: int) -> bool:
         """Whether a block, line or sentence opens at ``at``; leading decoration is looked past."""
@@ -65,9 +78,7 @@ class NormView:
             return True
         if before[-1:] in (".", "!", "?", ":") and gap:
             return True
-        import bisect
-
-        i = bisect.bisect_right(self.lines, at) - 1
+        i = bisect_right(self.lines, at) - 1
         return i >= 0 and IS_DECOR.fullmatch(self.text, self.lines[i], at) is not None
 
 
@@ -86,6 +97,7 @@ class _Builder:
             self.first.extend(range(a, b))
             self.last.extend(range(a + 1, b + 1))
             self.flags.extend([flags] * (b - a))
+            self.view.bits |= flags
 
     def mapped(self, a: int, b: int, to: str, flags: int) -> None:
         for c in to:
@@ -93,6 +105,7 @@ class _Builder:
             self.first.append(a)
             self.last.append(b)
             self.flags.append(flags)
+        self.view.bits |= flags
 
     def text(self, a: int, b: int, flags: int) -> None:
         s = self.src[a:b]
@@ -144,6 +157,8 @@ class _Builder:
 
 def _folds(token: str) -> tuple[list[str | None], bool] | None:
     """Replacement of each character of one word, and whether the word folds only because all of it can."""
+    if unicodedata.is_normalized("NFKC", token) and not _ALIKE.search(token):
+        return None
     compat: list[str | None] = []
     for c in token:
         f = None
@@ -182,7 +197,6 @@ def build(doc: Doc) -> NormView:
     v.text, v.first, v.last, v.flags = text, b.first, b.last, b.flags
     if not text.isascii():
         _fold(v)
-    v.sorted = all(a <= b for a, b in zip(v.last, v.last[1:]))
     return v
 
 
@@ -205,6 +219,7 @@ def _fold(v: NormView) -> None:
         first += [v.first[k]] * len(to)
         last += [v.last[k]] * len(to)
         flags += [v.flags[k] | (FULL_FOLD if whole else 0)] * len(to)
+        v.bits |= FULL_FOLD if whole else 0
         at = k + 1
         if len(to) != 1:
             grown += len(to) - 1
