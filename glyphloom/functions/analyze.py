@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
+from dataclasses import dataclass
 from functools import lru_cache
 
 from glyphloom import policy
 from glyphloom.functions.chars import byte_table
 from glyphloom.functions.document import HEADING, QUOTED, Doc
+from glyphloom.functions.fidelity import carries
 from glyphloom.functions.guards import MAX_BYTES, looks_like_source, prepare
 from glyphloom.functions.markdown import read_markdown, read_text
 from glyphloom.functions.normview import NormView, build
@@ -16,19 +17,32 @@ from glyphloom.functions.structure_rules import Structure
 
 SNIPPET = 200
 MAX_FINDINGS = 10_000
+#: The relations that a caller may ask for; what is not asked for is not computed.
+RELATIONS = ("hits", "segments", "sections")
 
 
-@lru_cache(maxsize=16)
-def _structure(profile: str, license_wording: str | None, markers: tuple[str, ...]) -> Structure:
-    return Structure(Engine(profile), license_wording, markers)
+@dataclass(frozen=True)
+class Settings:
+    """What a reading depends on besides the document."""
+
+    max_bytes: int = MAX_BYTES
+    max_findings: int = MAX_FINDINGS
+    license_wording: str | None = None
+    markers: tuple[str, ...] = ()
+    product_names: tuple[str, ...] = ()
+
+
+@lru_cache(maxsize=64)
+def _structure(profile: str, license_wording: str | None = None, markers: tuple[str, ...] = (), product_names: tuple[str, ...] = ()) -> Structure:
+    return Structure(Engine(profile), license_wording, markers, product_names)
 
 
 def read(text: str, input_format: str) -> Doc:
     return read_text(text) if input_format == "text" else read_markdown(text)
 
 
-def find_hits(doc: Doc, norm: NormView, profile: str, license_wording: str | None = None, markers: tuple[str, ...] = (), mixed: bool = False, bom: bool = False) -> list[Hit]:
-    s = _structure(profile, license_wording, markers)
+def find_hits(doc: Doc, norm: NormView, profile: str, settings: Settings = Settings(), mixed: bool = False, bom: bool = False) -> list[Hit]:
+    s = _structure(profile, settings.license_wording, settings.markers, settings.product_names)
     return s.run(doc, norm, s.e.scan(doc, norm), mixed, bom)
 
 
@@ -51,9 +65,13 @@ def section(doc: Doc, at: int) -> str | None:
     return max(inside, key=lambda x: x[:2])[2] if inside else None
 
 
-def analyze_bytes(raw: bytes, profile: str, input_format: str = "markdown", max_bytes: int = MAX_BYTES, license_wording: str | None = None, markers: tuple[str, ...] = ()) -> dict:
-    """Everything the relational stages need about one document; byte offsets of the payload."""
-    p = prepare(raw, max_bytes)
+def analyze_bytes(raw: bytes, profile: str, input_format: str = "markdown", settings: Settings = Settings(), want: tuple[str, ...] = RELATIONS) -> dict:
+    """Everything the relational stages need about one document; byte offsets of the payload.
+
+    A document with more findings than the limit, or with a finding whose source slice does not carry what
+    matched, fails closed: status ``instrumentation_error`` without hits; its coverage stays.
+    """
+    p = prepare(raw, settings.max_bytes)
     row = {
         "sha256": p.sha256, "bytes": p.size, "bom_stripped": p.bom, "mixed_line_endings": p.mixed, "status": "ok", "error": p.error,
         "word_count": 0, "byte_len": 0, "prose_bytes": 0, "bullets": 0, "linked_bullets": 0, "task_bullets": 0, "paragraph_words": [],
@@ -67,22 +85,29 @@ def analyze_bytes(raw: bytes, profile: str, input_format: str = "markdown", max_
     if trouble:
         row |= {"status": "unsupported_input", "error": trouble}
         return row
-    norm = build(doc)
-    hits = find_hits(doc, norm, profile, license_wording, markers, p.mixed, p.bom)
-    rules = policy.rules()
-    hits = [h for h in hits if not (h.quoted and h.rule in policy.QUOTE_SUPPRESS)]
-    if len(hits) > MAX_FINDINGS:
-        row |= {"status": "instrumentation_error", "error": f"findings exceed the {MAX_FINDINGS} limit"}
-        return row
     table = byte_table(p.text)
     off = (lambda i: i) if table is None else (lambda i: int(table[i]))
     row |= {
         "word_count": doc.words, "byte_len": off(len(p.text)), "bullets": doc.bullets, "linked_bullets": doc.linked_bullets,
         "task_bullets": doc.task_bullets, "paragraph_words": doc.paragraph_words,
-        "segments": [{"start": off(s), "end": off(e), "reason": k} for s, e, k in doc.regions],
-        "sections": [{"title": t, "level": lv, "start": off(s), "end": off(e)} for t, lv, s, e in doc.sections],
+        "prose_bytes": sum(off(e) - off(s) for s, e, k in doc.regions if k == "prose"),
     }
-    row["prose_bytes"] = sum(x["end"] - x["start"] for x in row["segments"] if x["reason"] == "prose")
+    if "segments" in want:
+        row["segments"] = [{"start": off(s), "end": off(e), "reason": k} for s, e, k in doc.regions]
+    if "sections" in want:
+        row["sections"] = [{"title": t, "level": lv, "start": off(s), "end": off(e)} for t, lv, s, e in doc.sections]
+    if "hits" not in want:
+        return row
+    norm = build(doc)
+    hits = find_hits(doc, norm, profile, settings, p.mixed, p.bom)
+    hits = [h for h in hits if not (h.quoted and h.rule in policy.QUOTE_SUPPRESS)]
+    if len(hits) > settings.max_findings:
+        row |= {"status": "instrumentation_error", "error": f"findings exceed the {settings.max_findings} limit"}
+        return row
+    lost = next((h for h in hits if not carries(doc, norm, h)), None)
+    if lost is not None:
+        row |= {"status": "instrumentation_error", "error": f"{lost.rule}: source bytes {off(lost.start)}..{off(lost.end)} do not carry what matched"}
+        return row
     for i, h in enumerate(hits):
         text = p.text[h.start : h.end]
         row["hits"].append({
@@ -90,7 +115,6 @@ def analyze_bytes(raw: bytes, profile: str, input_format: str = "markdown", max_
             "force_hint": h.force_hint, "detail": h.detail, "matched": text, "snippet": text[:SNIPPET].encode()[:SNIPPET].decode(errors="ignore"),
             "container": container(doc, norm, h), "section": section(doc, h.start),
         })
-    del rules
     return row
 
 
@@ -98,7 +122,3 @@ def lint(text: str, profile: str = "general-writing", input_format: str = "markd
     """Rule ids found in a text, in source order (a convenience for tests and notebooks)."""
     row = analyze_bytes(text.encode(), profile, input_format)
     return [h["rule_id"] for h in sorted(row["hits"], key=lambda h: (h["start"], h["end"], h["rule_id"]))]
-
-
-def to_json(row: dict) -> str:
-    return json.dumps(row, ensure_ascii=False)

@@ -37,7 +37,7 @@ def view_text(norm: NormView, start: int, end: int) -> str:
 
 def carries(doc: Doc, norm: NormView, h: Hit) -> bool:
     """Whether the slice, the view over it, or a decoded link destination holds the trigger."""
-    if not h.trigger:
+    if not h.trigger or h.trigger in doc.text[h.start : h.end]:
         return True
     want = render_key(h.trigger)
     if not want or want in render_key(doc.text[h.start : h.end]) or want in render_key(view_text(norm, h.start, h.end)):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_right
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import islice
 from operator import le
 
@@ -15,6 +16,7 @@ from glyphloom.functions.chars import ALNUM_RUN, DECOR_TAIL, INVISIBLE, IS_DECOR
 from glyphloom.functions.document import FULL_FOLD, QUOTED, Doc
 
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
+_SPECIAL = regex.compile(rf"[&\\{INVISIBLE.pattern[1:]}")
 _ALIKE = regex.compile("[" + "".join(LOOKALIKES) + "]")
 
 
@@ -109,7 +111,7 @@ class _Builder:
 
     def text(self, a: int, b: int, flags: int) -> None:
         s = self.src[a:b]
-        if s.isascii() and "&" not in s and "\\" not in s:
+        if not _SPECIAL.search(s) and (s.isascii() or unicodedata.is_normalized("NFC", s)):
             self.same(a, b, flags)
             return
         i = done = 0
@@ -155,6 +157,7 @@ class _Builder:
         self.same(a + done, b, flags)
 
 
+@lru_cache(maxsize=1 << 16)
 def _folds(token: str) -> tuple[list[str | None], bool] | None:
     """Replacement of each character of one word, and whether the word folds only because all of it can."""
     if unicodedata.is_normalized("NFKC", token) and not _ALIKE.search(token):
@@ -201,6 +204,8 @@ def build(doc: Doc) -> NormView:
 
 
 def _fold(v: NormView) -> None:
+    if not _ALIKE.search(v.text) and unicodedata.is_normalized("NFKC", v.text):
+        return
     edits: list[tuple[int, str, bool]] = []
     for m in ALNUM_RUN.finditer(v.text):
         if not m[0].isascii() and (f := _folds(m[0])):

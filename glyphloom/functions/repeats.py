@@ -42,14 +42,15 @@ class Repeats:
 
     def __init__(self, norm: NormView, k: int, floor: int):
         self.k, self.floor, self.norm = k, floor, norm
-        found = list(_WORD.finditer(norm.text))
-        self.spans = [m.span() for m in found]
         seen: dict[str, int] = {}
-        self.ids = np.array([seen.setdefault(m[0].replace("’", "'").lower(), len(seen)) for m in found], dtype=np.int64)
-        self.windows = window_ids(self.ids, k) if len(found) > k else self.ids[:0]
+        text = norm.text.replace("’", "'")
+        words = _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+        self.ids = np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64)
+        self.windows = window_ids(self.ids, k) if len(words) > k else self.ids[:0]
 
     def fences(self) -> None:
         """For every word the barrier-free stretch [fence, wall) that holds it."""
+        self.spans = [m.span() for m in _WORD.finditer(self.norm.text)]
         at = np.array([a for a, _ in self.spans], dtype=np.int64)
         bars = np.array([m.start() for m in regex.finditer(BARRIER, self.norm.text)], dtype=np.int64)
         stretch = np.searchsorted(bars, at)
@@ -74,8 +75,8 @@ class Repeats:
 
     def runs(self) -> list[tuple[int, int, int]]:
         """Runs from left to right, each window measured against the nearest earlier ones; a run found is passed over."""
-        often = np.bincount(self.windows) if len(self.windows) else self.windows
-        if not (often > 1).any():
+        often = np.bincount(self.windows)
+        if len(often) == len(self.windows):
             return []
         self.fences()
         todo = np.flatnonzero(self.open_windows() & (often[self.windows] > 1))

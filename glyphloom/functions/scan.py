@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from re import _parser as sre
 
 import regex
 
@@ -59,7 +60,7 @@ class Engine:
         self.rules = policy.rules()
         self.on = {i for i, r in self.rules.items() if r.stance(profile) != "off"}
         self.words: dict[tuple[str, bool], object] = {}
-        self.patterns: dict[str, list[tuple[str, object, tuple[str, ...]]]] = {}
+        self.patterns: dict[str, list[tuple[str, object, tuple[frozenset[str], ...]]]] = {}
         for context in ("norm", "raw", "prose", "link", "code"):
             for sensitive in (False, True):
                 table: dict[str, list[str]] = {}
@@ -79,6 +80,9 @@ class Engine:
             self.patterns[context] = [
                 (r.id, compiled(p), needles(p)) for r in self.rules.values() if r.id in self.on and in_context(r, context) for p in r.patterns
             ]
+        # literals asked for in the lower-cased text, and in the text as it stands
+        asked = lambda ps, fold: sorted({w for _, rx, need in ps if folds_case(rx.pattern) == fold for o in need for w in o})
+        self.needles = {c: (asked(ps, True), asked(ps, False)) for c, ps in self.patterns.items()}
 
     def scan(self, doc: Doc, norm: NormView) -> list[Hit]:
         src, hits = doc.text, []
@@ -86,30 +90,32 @@ class Engine:
         self._words(src, "raw", None, 0, hits)
         for s, e in doc.links:
             self._words(src[s:e], "link", None, s, hits)
-        for s, e, _ in doc.prose:
-            self._words(src[s:e], "prose", None, s, hits, sensitive=True)
+        if self._holds(src, "prose"):
+            for s, e, _ in doc.prose:
+                self._words(src[s:e], "prose", None, s, hits, sensitive=True)
         for s, e in doc.links:
             self._words(src[s:e], "link", None, s, hits, sensitive=True)
-        self._patterns(norm.text, 0, len(norm.text), "norm", norm, hits)
-        self._patterns(src, 0, len(src), "raw", None, hits)
-        for s, e, _ in doc.prose:
-            self._patterns(src, s, e, "prose", None, hits)
-        for s, e in doc.links:
-            self._patterns(src, s, e, "link", None, hits)
+        self._patterns(norm.text, [(0, len(norm.text))], "norm", norm, hits)
+        self._patterns(src, [(0, len(src))], "raw", None, hits)
+        self._patterns(src, [(s, e) for s, e, _ in doc.prose], "prose", None, hits)
+        self._patterns(src, doc.links, "link", None, hits)
         for s, e, text in doc.decoded:
             self._decoded(src, s, e, text, hits)
-        for s, e, fenced, info in doc.code:
-            if not (fenced and (info.split() or [""])[0] in TEXT_INFOS):
-                self._patterns(src, s, e, "code", None, hits)
+        self._patterns(src, [(s, e) for s, e, fenced, info in doc.code if not (fenced and (info.split() or [""])[0] in TEXT_INFOS)], "code", None, hits)
         return widest(hits)
 
+    def _holds(self, text: str, context: str) -> bool:
+        """Whether any case-sensitive word of a context stands anywhere in a text."""
+        auto = self.words.get((context, True))
+        return auto is not None and next(auto.iter(text), None) is not None
+
     def _decoded(self, src: str, s: int, e: int, text: str, hits: list[Hit]) -> None:
         if s >= e or not text:
             return
         found: list[Hit] = []
         self._words(text, "link", None, 0, found)
         self._words(text, "link", None, 0, found, sensitive=True)
-        self._patterns(text, 0, len(text), "link", None, found)
+        self._patterns(text, [(0, len(text))], "link", None, found)
         for h in found:
             t = text[h.start : h.end]
             at = src.find(t, s, e)
@@ -146,29 +152,30 @@ class Engine:
         if span and span[0] < span[1]:
             hits.append(Hit(rid, *span, norm.all_quoted(a, b), norm.any_flag(a, b, FULL_FOLD), trigger=hay[a:b]))
 
-    def _patterns(self, hay: str, start: int, end: int, context: str, norm: NormView | None, hits: list[Hit]) -> None:
-        if start >= end:
+    def _patterns(self, hay: str, pieces: list[tuple[int, int]], context: str, norm: NormView | None, hits: list[Hit]) -> None:
+        """Every pattern of a context over the pieces of a text; patterns whose literals the text lacks are not tried."""
+        table = self.patterns[context]
+        if not pieces or not table:
             return
-        low = None
-        for rid, rx, need in self.patterns[context]:
-            if need:
-                low = hay[start:end].lower() if low is None else low
-                if not any(w in low for w in need):
-                    continue
-            for m in rx.finditer(hay, start, end, overlapped=True):
-                a, b = m.span()
-                if a >= b:
-                    continue
-                kept = keep(rid, hay, a, b)
-                if kept is None:
-                    continue
-                a = kept
-                if norm is None:
-                    hits.append(Hit(rid, a, b, trigger=hay[a:b]))
-                else:
-                    span = norm.source(a, b)
-                    if span and span[0] < span[1]:
-                        hits.append(Hit(rid, *span, norm.all_quoted(a, b), trigger=hay[a:b]))
+        folded, exact = self.needles[context]
+        low = hay.lower() if folded else ""
+        there = {w for w in folded if w in low} | {w for w in exact if w in hay}
+        live = [(rid, rx) for rid, rx, need in table if not any(map(there.isdisjoint, need))]
+        if not live:
+            return
+        for start, end in pieces:
+            if start >= end:
+                continue
+            for rid, rx in live:
+                for m in rx.finditer(hay, start, end, overlapped=True):
+                    a, b = m.span()
+                    kept = keep(rid, hay, a, b) if a < b else None
+                    if kept is None:
+                        continue
+                    if norm is None:
+                        hits.append(Hit(rid, kept, b, trigger=hay[kept:b]))
+                    elif (span := norm.source(kept, b)) and span[0] < span[1]:
+                        hits.append(Hit(rid, *span, norm.all_quoted(kept, b), trigger=hay[kept:b]))
 
 
 @lru_cache(maxsize=None)
@@ -177,20 +184,56 @@ def compiled(pattern: str):
     return regex.compile(p, regex.M | regex.U)
 
 
+#: Alternatives of one needed literal beyond which a pattern is simply tried.
+MAX_NEEDLES = 40
+
+
+#: Alternatives of one needed literal beyond which it is not asked for.
+MAX_NEEDLES = 40
+
+
 @lru_cache(maxsize=None)
-def needles(pattern: str) -> tuple[str, ...]:
-    """A literal every match must hold (lower case), where one can be read off the pattern; else none."""
-    if "|" in regex.sub(r"\([^()]*\)", "", regex.sub(r"\([^()]*\)", "", pattern)):
-        return ()
-    bare = regex.sub(r"\(\?[a-z]+\)", "", pattern)
-    previous = None
-    while previous != bare:
-        previous = bare
-        bare = regex.sub(r"\((?:[^()\\]|\\.)*\)(?:\{[^}]*\}|\?)?", "\0", bare)
-    bare = regex.sub(r"\[(?:\\.|[^\]\\])*\](?:\{[^}]*\}|\?)?|\\[bBsSdDwW](?:\{[^}]*\}|\?)?|\\p\{[^}]*\}|\\x\{?[0-9A-Fa-f]+\}?|\.(?:\{[^}]*\}|\?)?|.\?|.\{[^}]*\}|[\^$]", "\0", bare)
-    bare = regex.sub(r"\\(.)", r"\1", bare)
-    parts = [x.lower() for x in bare.split("\0") if len(x) >= 2 and "\\" not in x]
-    return (max(parts, key=len),) if parts else ()
+def needles(pattern: str) -> tuple[frozenset[str], ...]:
+    """Sets of literals of each of which every match holds at least one, the most telling first (lower case where the pattern folds case)."""
+    p = regex.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08X}", pattern)
+    options = _needed(list(sre.parse(regex.sub(r"\\p\{[^}]*\}", r"\\w", p))))
+    if folds_case(pattern):
+        options = [frozenset(x.lower() for x in o) for o in options]
+    return tuple(dict.fromkeys(sorted(options, key=_telling, reverse=True)))[:3]
+
+
+def folds_case(pattern: str) -> bool:
+    return bool(regex.match(r"\(\?[a-z]*i[a-z]*\)", pattern))
+
+
+def _telling(option: frozenset[str]) -> tuple[int, int]:
+    return min(map(len, option)), -len(option)
+
+
+def _needed(nodes: list) -> list[frozenset[str]]:
+    """What the parts of a sequence need, each as a set of alternatives."""
+    options: list[frozenset[str]] = []
+    run: list[str] = []
+    for op, arg in [*nodes, ("END", None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run.append(chr(arg))
+            continue
+        if name == "AT":
+            continue
+        if run:
+            options.append(frozenset(["".join(run)]))
+            run.clear()
+        if name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            options.append(frozenset(chr(x) for _, x in arg))
+        elif name == "SUBPATTERN":
+            options += _needed(list(arg[3]))
+        elif name == "BRANCH":
+            arms = [max(_needed(list(x)), key=_telling, default=frozenset()) for x in arg[1]]
+            options += [frozenset().union(*arms)] if all(arms) else []
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            options += _needed(list(arg[2]))
+    return [o for o in options if len(o) <= MAX_NEEDLES]
 
 
 def exempted(hay: str, a: int, b: int, phrases: tuple[str, ...], reach: int = 60) -> bool:

@@ -7,7 +7,7 @@ waivers by a range join on the rule, duplicates by a grouped minimum, the gate b
 aggregation.  Every aggregation combines map-side, so no key is hot, and only hits are shuffled.
 
 Defined results: null content gives status ``unsupported_input``; an empty document has no
-finding; a null profile counts as the default profile; extra columns of the input pass by.
+finding; more findings than the limit give ``instrumentation_error``, with coverage; a null profile counts as the default profile; extra columns of the input pass by.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom import policy
+from glyphloom.functions.analyze import MAX_FINDINGS, RELATIONS, Settings
 from glyphloom.functions.guards import MAX_BYTES
 from glyphloom.operators.waivers import decide
 from glyphloom.plans.session import cut, spread
@@ -50,17 +52,22 @@ def _ddl(schema: pa.Schema) -> str:
 
 @dataclass(frozen=True)
 class Deployment:
-    """Settings of a deployment: who may waive, demoted rules, license wording, allowed comment markers."""
+    """Settings of a deployment: who may waive, demoted rules, license wording, allowed comment markers,
+    the names its product goes by (subjects of a capability denial), and the limit of findings a document."""
 
     waiver_authority: str = "human"
     demote: tuple[str, ...] = ()
     expected_license_wording: str | None = None
     exempt_comment_markers: tuple[str, ...] = ()
+    product_names: tuple[str, ...] = ()
+    max_findings: int = MAX_FINDINGS
 
     def check(self) -> "Deployment":
         rules = policy.rules()
         if self.waiver_authority not in ("human", "orchestrator-agent"):
             raise ValueError(f"unknown waiver authority {self.waiver_authority}")
+        if self.max_findings < 0:
+            raise ValueError("max_findings must not be negative")
         for r in self.demote:
             if r not in rules:
                 raise ValueError(f"cannot demote unknown rule {r}")
@@ -79,39 +86,72 @@ class Analysis:
     sections: DataFrame
     families: DataFrame
     read: DataFrame = field(repr=False, default=None)
+    suggest: bool = False
 
 
-def read_documents(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", deployment: Deployment = Deployment(), max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text") -> DataFrame:
-    """The reading stage: one row of nested relations a document."""
+def _lists(rows: list[list[dict]], kind: pa.ListType) -> pa.Array:
+    """Nested rows as one list array, built field by field."""
+    inner = kind.value_type
+    flat = [x for r in rows for x in r]
+    offsets = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+    if not pa.types.is_struct(inner):
+        return pa.ListArray.from_arrays(offsets, pa.array(flat, inner))
+    parts = [pa.array([x[f.name] for x in flat], f.type) for f in inner]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=list(inner)))
+
+
+def _record(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    columns = []
+    for f in schema:
+        values = [r[f.name] for r in rows]
+        columns.append(_lists(values, f.type) if pa.types.is_list(f.type) else pa.array(values, f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def read_documents(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", deployment: Deployment = Deployment(), max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text", want: tuple[str, ...] = RELATIONS, unsupported: str | None = None, passing: tuple[str, ...] = ()) -> DataFrame:
+    """The reading stage: one row of nested relations a document.
+
+    ``want`` names the nested relations to compute; one left out has no column, and without ``hits`` nothing is
+    normalised or scanned.  ``unsupported`` names a column that says why a row cannot be read (null where it can).
+    ``passing`` names columns of the input (timestamps, keys) that go through unread.
+    """
     deployment.check()
     if isinstance(profile, str) and profile not in policy.PROFILES:
         raise ValueError(f"unknown profile {profile}")
     if isinstance(input_format, str) and input_format not in policy.FORMATS:
         raise ValueError(f"unknown input format {input_format}")
+    if not set(want) <= set(RELATIONS):
+        raise ValueError(f"unknown relations {want}")
     prof = F.lit(profile) if isinstance(profile, str) else profile
     form = F.lit(input_format) if isinstance(input_format, str) else input_format
     rows = df.select(
         F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(prof, F.lit("general-writing")).alias("profile"),
         F.coalesce(form, F.lit("markdown")).alias("input_format"), F.col(content).cast("binary").alias("content"),
+        (F.col(unsupported) if unsupported else F.lit(None)).cast("string").alias("refused"), *(F.col(c).alias(f"pass_{c}") for c in passing),
     )
-    wording, markers = deployment.expected_license_wording, deployment.exempt_comment_markers
+    settings = Settings(max_bytes, deployment.max_findings, deployment.expected_license_wording, deployment.exempt_comment_markers, deployment.product_names)
+    schema = pa.schema([f for f in _SCHEMA if f.name in want or f.name not in RELATIONS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from glyphloom.functions.analyze import analyze_bytes
 
         for b in batches:
             out = []
-            for doc_id, p, f, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc_id, p, f, raw, refused in zip(*(c.to_pylist() for c in b.columns[:5]), strict=True):
                 p = p if p in policy.PROFILES else "general-writing"
-                if raw is None:
-                    row = analyze_bytes(b"", p, f) | {"status": "unsupported_input", "error": "no content"}
+                if raw is None or refused is not None:
+                    row = analyze_bytes(b"", p, f, settings, ()) | {"status": "unsupported_input", "error": refused or "no content"}
                 else:
-                    row = analyze_bytes(raw, p, f if f in policy.FORMATS else "markdown", max_bytes, wording, markers)
+                    row = analyze_bytes(raw, p, f if f in policy.FORMATS else "markdown", settings, want)
                 out.append({"doc_id": doc_id, "profile": p, "input_format": f, **row})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+                record = _record(out, schema)
+                for name, column in zip(b.schema.names[5:], b.columns[5:], strict=True):
+                    record = record.append_column(name.removeprefix("pass_"), column)
+                yield record
 
-    return spread(rows).mapInArrow(run, _ddl(_SCHEMA))
+    ddl = ", ".join([_ddl(schema), *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in passing)])
+    return spread(rows).mapInArrow(run, ddl)
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
@@ -161,17 +201,24 @@ def suggestion() -> Column:
     )
 
 
-def analyze(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", suggest: bool = False, waivers: DataFrame | None = None, deployment: Deployment = Deployment(), now: int | None = None, max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text", keep: bool = False) -> Analysis:
+def analyze(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", suggest: bool = False, waivers: DataFrame | None = None, deployment: Deployment = Deployment(), now: int | None = None, max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text", keep: bool = False, unsupported: str | None = None) -> Analysis:
     """Findings, verdicts, segments, sections and family rates of every document.
 
     ``waivers``: rule_id, span_start, span_end, signer_kind, expires (RFC 3339), optionally
     doc_id; ``now`` in unix seconds makes expired waivers fail.  Deliveries of one content under
-    one id count once; two contents under one id are two documents.  ``keep`` writes the reading
-    stage to the checkpoint folder, for callers that use several of the result relations.
+    one id count once; two contents under one id are two documents.  Each relation reads only what
+    it needs of a document; ``keep`` writes one full reading to the checkpoint folder instead, for
+    callers that use several of the relations.
     """
-    read = read_documents(df, profile, input_format, deployment, max_bytes, id_column, content)
+
+    def reading(*want: str) -> DataFrame:
+        return read_documents(df, profile, input_format, deployment, max_bytes, id_column, content, want, unsupported)
+
     if keep:
-        read = cut(read)
+        whole = cut(reading(*RELATIONS))
+        read, parts, heads = whole.drop("segments", "sections"), whole, whole
+    else:
+        read, parts, heads = reading("hits"), reading("segments"), reading("sections")
     doc_columns = [c for c in read.columns if c not in ("hits", "segments", "sections")]
     # one pass for both: a document without hits keeps one row without a rule
     found = resolve(read.select(*doc_columns, F.inline_outer(F.when(F.col("status") == "ok", F.col("hits")))), deployment)
@@ -206,8 +253,8 @@ def analyze(df: DataFrame, profile: str | Column = "general-writing", input_form
         "doc_id", "profile", "input_format", "sha256", "bytes", "byte_len", "word_count", "prose_bytes", "bullets", "linked_bullets", "task_bullets", "paragraph_words",
         "status", "error", "result_state", exit_code(F.col("result_state")).alias("exit_code"), "findings", F.concat(notes, "waiver_notes").alias("notes"),
     )
-    segments = read.select("doc_id", F.inline("segments")).distinct()
-    return Analysis(documents, findings, segments, read.select("doc_id", F.inline("sections")).distinct(), family_rates(findings), read)
+    segments = parts.select("doc_id", F.inline("segments")).distinct()
+    return Analysis(documents, findings, segments, heads.select("doc_id", F.inline("sections")).distinct(), family_rates(findings), read, suggest)
 
 
 def exit_code(state: Column) -> Column:

@@ -12,8 +12,10 @@ from glyphloom import policy
 
 HUMAN = "human"
 FAIL_CLOSED = ("instrumentation_error", "unsupported_input")
-#: A waiver table of at most this many rows is broadcast; a larger one is shuffled by rule.
+#: A waiver table of at most this many rows is broadcast; a larger one is shuffled by rule and document, or rule and cell.
 BROADCAST_ROWS = 50_000
+#: Bytes of a document in one cell of the range join.
+CELL = 4_096
 _TIME = re.compile(r"(\d{4})-(\d\d)-(\d\d)[Tt ](\d\d).(\d\d).(\d\d)(?:\.\d+)?(Z|z|[+-]\d\d:\d\d)?")
 
 
@@ -74,13 +76,19 @@ def decide(found: DataFrame, waivers: DataFrame | None, authority: str = HUMAN,
     per_doc = "doc_id" in w.columns
     w = w.select(F.col("rule_id").alias("w_rule"), *([F.col("doc_id").alias("w_doc")] if per_doc else []), "span_start", "span_end", "signer_kind", "expires", "w_ord")
     w = w.withColumn("t", expiry("expires"))
-    if w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        w = F.broadcast(w)
     key = ["doc_id", "sha256", "rule_id", "start", "end", "state", "seq"]
     on = (F.col("rule_id") == F.col("w_rule")) & (F.col("span_start") <= F.col("start")) & (F.col("span_end") >= F.col("end"))
     if per_doc:
         on = on & (F.col("doc_id") == F.col("w_doc"))
-    j = found.where("rule_id is not null").select(*key, "human_only").distinct().join(w, on)
+    one = found.where("rule_id is not null").select(*key, "human_only").distinct()
+    if w.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        j = one.join(F.broadcast(w), on)
+    elif per_doc:
+        j = one.join(w, on)
+    else:
+        # a waiver stands in the cell of every place it covers, so a finding meets only waivers around its own start
+        cells = F.sequence(F.floor(F.col("span_start") / CELL), F.floor(F.greatest("span_start", "span_end") / CELL))
+        j = one.withColumn("cell", F.floor(F.col("start") / CELL)).join(w.withColumn("w_cell", F.explode(cells)), on & (F.col("cell") == F.col("w_cell"))).drop("cell", "w_cell")
     reason = F.coalesce(
         F.when(F.lit(now is not None) & F.col("t").isNull(), F.concat(F.lit("waiver for "), "rule_id", F.lit(" has an unreadable expiry and is ignored"))),
         F.when(F.lit(now is not None) & (F.col("t") < F.lit(now or 0)), F.concat(F.lit("expired waiver for "), "rule_id", F.lit(" ignored"))),
@@ -111,15 +119,19 @@ def verify(documents: DataFrame, approvals: DataFrame, now: int, id_column: str
         F.col("waivers").alias("a_waivers"),
     )
     known = F.col("a_profile").isin(*policy.PROFILES)
-    joined = documents.select(F.col(id_column).alias("doc_id"), F.col(content).alias("text")).join(a, F.col("doc_id") == F.col("a_doc"))
-    read = read_documents(joined.select("doc_id", "text", "a_profile"), F.when(known, F.col("a_profile")), input_format)
-    hits = resolve(read.where("status = 'ok'").select("doc_id", "sha256", "profile", "word_count", F.inline("hits")), Deployment())
+    terms = a.drop("a_waivers")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        terms = F.broadcast(terms)  # no text is shuffled
+    joined = documents.select(F.col(id_column).alias("doc_id"), F.col(content).alias("text")).join(terms, F.col("doc_id") == F.col("a_doc"))
+    about = ("want_hash", "policy_digest", "a_profile", "demote")
+    read = read_documents(joined, F.when(known, F.col("a_profile")), input_format, want=("hits",), passing=about)
+    # one reading serves both: a document without hits keeps one row without a rule
+    hits = resolve(read.select("doc_id", "sha256", "profile", "word_count", "status", "error", *about, F.inline_outer(F.when(F.col("status") == "ok", F.col("hits")))), Deployment())
     w = a.select(F.col("a_doc").alias("doc_id"), F.posexplode_outer("a_waivers").alias("w_ord", "x")).where("x is not null").select("doc_id", "w_ord", "x.*")
     hits = decide(hits, w, "orchestrator-agent", now)
-    hits = hits.join(a.select(F.col("a_doc").alias("doc_id"), "demote"), "doc_id").withColumn(
-        "lifecycle", F.when(F.array_contains(F.coalesce("demote", F.array().cast("array<string>")), F.col("rule_id")), "advisory").otherwise(F.col("lifecycle"))
-    )
-    blocking = hits.where("not waived and lifecycle = 'blocking' and state in ('violation', 'candidate')").groupBy("doc_id").agg(F.array_sort(F.collect_set("rule_id")).alias("left_over"))
+    demoted = F.array_contains(F.coalesce("demote", F.array().cast("array<string>")), F.col("rule_id"))
+    blocking = ~F.col("waived") & (F.col("lifecycle") == "blocking") & F.col("state").isin("violation", "candidate") & ~demoted
+    out = hits.groupBy("doc_id", "sha256", "status", "error", "want_hash", "policy_digest", "a_profile").agg(F.array_sort(F.collect_set(F.when(blocking, F.col("rule_id")))).alias("left_over"))
     rules = spark.createDataFrame([(r.id, r.human_only) for r in policy.rules().values()], "rule_id string, human_only boolean")
     bad = w.withColumn("t", expiry("expires")).join(F.broadcast(rules), "rule_id", "left").withColumn("human_only", F.coalesce("human_only", F.lit(False)))
     bad = bad.select("doc_id", "w_ord", F.array_compact(F.array(
@@ -128,7 +140,7 @@ def verify(documents: DataFrame, approvals: DataFrame, now: int, id_column: str
         floor_reason(F.col("rule_id"), F.col("signer_kind"), F.col("human_only"), "orchestrator-agent"),
     )).alias("p")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("w_ord", "p"))), lambda x: x["p"])).alias("waiver_problems"))
     digest = policy.digest()
-    out = read.select("doc_id", "sha256", "status", "error").distinct().join(a, F.col("doc_id") == F.col("a_doc")).join(blocking, "doc_id", "left").join(bad, "doc_id", "left")
+    out = out.join(bad, "doc_id", "left")
     problems = F.concat(
         F.array_compact(F.array(
             F.when(F.col("sha256") != F.col("want_hash"), F.concat(F.lit("document hash mismatch: payload is "), "sha256", F.lit(", approval says "), "want_hash")),
@@ -137,7 +149,7 @@ def verify(documents: DataFrame, approvals: DataFrame, now: int, id_column: str
         )),
         F.coalesce("waiver_problems", F.array().cast("array<string>")),
         F.array_compact(F.array(
-            F.when(known & F.col("left_over").isNotNull(), F.concat(F.lit("unwaived blocking findings remain under profile "), "a_profile", F.lit(": "), F.array_join("left_over", ", "))),
+            F.when(known & (F.size("left_over") > 0), F.concat(F.lit("unwaived blocking findings remain under profile "), "a_profile", F.lit(": "), F.array_join("left_over", ", "))),
             F.when(known & (F.col("status") != "ok"), F.concat(F.lit("re-analysis under the approval failed closed: "), "error")),
         )),
     )

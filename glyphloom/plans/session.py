@@ -44,7 +44,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 #: Plan nodes after which the number of tasks is the shuffle's business.
-_WIDE = ("Aggregate", "Join", "Repartition", "Window", "Sort", "Distinct", "Deduplicate")
+_WIDE = ("Aggregate", "Join", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Window", "Sort", "Distinct", "Deduplicate")
+
+
+def _wide(df: DataFrame) -> bool:
+    """Whether a plan holds a node that shuffles, by the class names of its nodes."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() in _WIDE:
+            return True
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return False
 
 
 def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -55,18 +67,21 @@ def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     if columns:
         df = df.select(*columns)
-    if df.isStreaming:
-        return df
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(x in plan for x in _WIDE):
+    if df.isStreaming or _wide(df):
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in ``spark.checkpoint.dir``; sets a folder only where none is set (tests)."""
+    """Cuts lineage by a reliable checkpoint in ``spark.checkpoint.dir``.
+
+    Where no folder is set, a local session (tests) gets one of its own; on a cluster that is an error, as
+    a folder of one machine would be lost with it.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getConf().get("spark.checkpoint.dir", None) is None and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphloom-checkpoint-"))
     return df.checkpoint(eager=True)

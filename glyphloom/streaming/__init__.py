@@ -9,10 +9,11 @@ from glyphloom.operators.analysis import Deployment, read_documents, resolve
 
 
 def stream_findings(stream: DataFrame, profile: str = "general-writing", input_format: str = "markdown", deployment: Deployment = Deployment(), time_column: str | None = None) -> DataFrame:
-    """Findings of a stream of (doc_id, text[, time]) rows; no state is kept."""
-    read = read_documents(stream, profile, input_format, deployment)
-    return resolve(read.where("status = 'ok'").select("doc_id", "profile", "word_count", F.inline("hits")), deployment).select(
-        "doc_id", "rule_id", "family", "state", "lifecycle", "start", "end", "snippet"
+    """Findings of a stream of (doc_id, text[, time]) rows; no state is kept, and ``time_column`` goes along for ``family_counts``."""
+    times = (time_column,) if time_column else ()
+    read = read_documents(stream, profile, input_format, deployment, want=("hits",), passing=times)
+    return resolve(read.where("status = 'ok'").select("doc_id", "profile", "word_count", *times, F.inline("hits")), deployment).select(
+        "doc_id", *times, "rule_id", "family", "state", "lifecycle", "start", "end", "snippet"
     )
 
 

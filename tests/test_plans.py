@@ -1,6 +1,7 @@
 """DataFrame plans: resolution order, waivers, gate, native operators against brute force, edge cases of the inputs."""
 
 import datetime
+import json
 import random
 import re
 
@@ -150,17 +151,113 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want and (0, "A001") in got
 
 
+def test_stream_with_event_time(spark, tmp_path):
+    from glyphloom.streaming import family_counts, stream_findings
+
+    at = datetime.datetime(2025, 1, 1, 10)
+    rows = [(0, "We delve into this.", at), (1, "We delve.", at + datetime.timedelta(hours=5)), (2, "words", at + datetime.timedelta(hours=30))]
+    spark.createDataFrame(rows, "doc_id bigint, text string, t timestamp").write.parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("doc_id bigint, text string, t timestamp").parquet(str(tmp_path / "in"))
+    q = family_counts(stream_findings(src, "doc", time_column="t"), "t").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r["window"]["start"].hour, r["family"]): r["findings"] for r in spark.table("counted").collect()}
+    family = policy.rules()["A001"].family
+    assert got[10, family] == 1 and got[15, family] == 1
+
+
 def test_files_and_reports(spark, tmp_path):
     (tmp_path / "a.md").write_text("We delve into this.")
     (tmp_path / "b.rs").write_text("fn main() {}")
     files = readers.read_files(spark, str(tmp_path))
-    a = analysis.analyze(files, "doc", content="content")
-    assert a.documents.count() == 1 and '"rule_id":"A001"' in readers.report_json(a).first()["report"]
+    a = analysis.analyze(files, "doc", content="content", keep=True, unsupported="unsupported")
+    docs = {r["exit_code"]: r for r in a.documents.collect()}
+    assert set(docs) == {10, 40} and docs[40]["error"] == "program source by its name"
+    reports = [json.loads(r["report"]) for r in readers.report_json(a).collect()]
+    assert {r["result_state"] for r in reports} == {"violations_present", "unsupported_input"}
     readers.write(a, str(tmp_path / "out"))
     written = {r["rule_id"] for r in spark.read.parquet(str(tmp_path / "out/findings")).collect()}
     assert written == {"A001", "F001"}  # "We" is first person
 
 
+def test_json_report(spark):
+    text = "# One\n\nWe delve\x1b\x85 in, numerous times\\\\n.\n\n```\nx\n```\n"
+    a = analysis.analyze(frame(spark, [text, ""]), "doc", suggest=True, keep=True)
+    raw = {r["doc_id"]: r["report"] for r in readers.report_json(a).collect()}
+    r = json.loads(raw[0])
+    assert list(r) == ["schema_version", "tool_version", "policy", "document", "result_state", "note", "findings", "coverage"]
+    assert list(r["coverage"]) == ["sections", "segmentation", "density", "notes"] and r["coverage"]["sections"] == [{"title": "One", "level": 1, "start": 0, "end": len(text.encode())}]
+    assert {x["reason"] for x in r["coverage"]["segmentation"]["excluded"]} == {"structure", "code_fence"}
+    found = {f["rule_id"]: f for f in r["findings"]}
+    assert list(found["A009"])[:5] == ["rule_id", "family", "state", "lifecycle", "waived"] and found["A009"]["suggestion"]["replace_with"] == "many"
+    assert "suggestion" not in found["A001"] and found["A001"]["section"] == "One"
+    starts = [(f["spans"][0]["start"], f["spans"][0]["end"], f["rule_id"]) for f in r["findings"]]
+    assert starts == sorted(starts) and "\\u001B" in raw[0] and not re.search("[\x00-\x1f\x7f-\x9f]", raw[0])
+    assert json.loads(raw[1])["findings"] == [] and json.loads(raw[1])["result_state"] == "no_findings"
+    # escapes stay apart from written-out backslashes
+    rows = spark.createDataFrame([("a\n\\n\t\x9f",)], "s string")
+    s = rows.select(readers.visible(F.to_json(F.struct("s"))).alias("j")).first()["j"]
+    assert s == '{"s":"a\\u000A\\\\n\\u0009\\u009F"}' and json.loads(s)["s"] == "a\n\\n\t\x9f"
+
+
+def test_fails_closed_with_coverage(spark):
+    df = frame(spark, ["# A\n\n" + "very " * 30, "fine words"])
+    a = analysis.analyze(df, "doc", deployment=Deployment(max_findings=20), keep=True)
+    docs = {r["doc_id"]: r for r in a.documents.collect()}
+    assert docs[0]["exit_code"] == 30 and docs[0]["word_count"] == 31 and docs[0]["findings"] == 0 and docs[1]["exit_code"] == 0
+    assert a.segments.where("doc_id = 0").count() > 0 and a.sections.where("doc_id = 0").count() == 1
+    assert readers.load_config("max_findings = 7").max_findings == 7
+    for bad in ("max_findings = true", "max_findings = -1", "max_findings = 'x'"):
+        with pytest.raises(ValueError):
+            readers.load_config(bad)
+
+
+def test_a_slice_without_its_trigger_fails_closed(monkeypatch):
+    from glyphloom.functions import analyze as one
+    from glyphloom.functions.scan import Hit
+
+    monkeypatch.setattr(one, "find_hits", lambda *_: [Hit("A001", 0, 2, trigger="delve")])
+    row = one.analyze_bytes(b"We sort this.", "doc")
+    assert row["status"] == "instrumentation_error" and row["hits"] == [] and row["word_count"] == 3
+
+
+def test_product_names_are_subjects():
+    from glyphloom.functions.analyze import Settings, analyze_bytes
+
+    found = lambda **k: [h["rule_id"] for h in analyze_bytes(b"Loomkit reads text. Loomkit does not detect authorship.", "doc", settings=Settings(**k))["hits"]]
+    assert "C011" not in found() and "C011" in found(product_names=("loomkit",))
+    assert readers.load_config('product_names = ["loomkit"]').product_names == ("loomkit",)
+
+
+def test_each_relation_alone_equals_one_reading(spark):
+    texts = ["# A\n\nWe delve.\n\n## B\n\nvery good `x`", None, "", "a;b\n\n# C"]
+    kept, lazy = analysis.analyze(frame(spark, texts), "doc", keep=True), analysis.analyze(frame(spark, texts), "doc")
+    for name in ("documents", "findings", "segments", "sections", "families"):
+        assert sorted(map(str, getattr(kept, name).collect())) == sorted(map(str, getattr(lazy, name).collect()))
+    plan = lazy.segments._jdf.queryExecution().optimizedPlan().toString()
+    assert "hits" not in plan and "segments" in plan
+
+
+def test_many_waivers_without_a_document(spark, monkeypatch):
+    df = frame(spark, ["We delve into this. " * 400] * 2)
+    rows = [("A001", a, a + 12_000, "human", "2030-01-01T00:00:00Z", a) for a in range(-5, 9_000, 1_500)]
+    w = spark.createDataFrame(rows, "rule_id string, span_start bigint, span_end bigint, signer_kind string, expires string, w_ord bigint")
+    want = sorted(map(str, analysis.analyze(df, "doc", waivers=w, now=1_700_000_000).findings.collect()))
+    monkeypatch.setattr(waivers, "BROADCAST_ROWS", 2)
+    assert sorted(map(str, analysis.analyze(df, "doc", waivers=w, now=1_700_000_000).findings.collect())) == want
+
+
+def test_checkpoint_folder_is_the_clusters(spark):
+    from types import SimpleNamespace
+
+    from glyphloom.plans import session
+
+    none = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError):
+        session.cut(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc)))
+    assert not session._wide(spark.createDataFrame([(1,)], "SortJoinWindow int").selectExpr("SortJoinWindow + 1 AS Aggregate")) and session._wide(spark.range(3).distinct())
+
+
 def test_queries_have_unique_lower_names():
     q, o = queries.queries(), queries.oracle_sql()
     assert set(o) <= set(q) and all(k.startswith("sql_") for k in o) and {k for k in q if k.startswith("sql_")} == set(o)

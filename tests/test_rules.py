@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glyphloom import policy
-from glyphloom.functions.analyze import analyze_bytes, lint
+from glyphloom.functions.analyze import Settings, analyze_bytes, lint
 from glyphloom.functions.markdown import read_markdown, read_text
 from glyphloom.functions.normview import build
 from glyphloom.plans.seeds import CASES
@@ -90,14 +90,14 @@ def test_quoting_and_guard():
     assert analyze_bytes(source.encode(), "doc")["status"] == "unsupported_input"
     assert analyze_bytes(("use std::fmt;\n" * 7).encode(), "doc")["status"] == "ok"
     assert analyze_bytes(b"\xff", "doc")["error"].endswith("byte 0")
-    assert analyze_bytes(b"a" * 50, "doc", max_bytes=10)["status"] == "unsupported_input"
+    assert analyze_bytes(b"a" * 50, "doc", settings=Settings(max_bytes=10))["status"] == "unsupported_input"
     assert analyze_bytes(b"\xef\xbb\xbfa", "doc")["bom_stripped"] and analyze_bytes(b"a\r\nb\nc", "doc")["mixed_line_endings"]
     assert analyze_bytes(b"", "doc")["hits"] == []
 
 
 def test_license_section():
     text = b"# Tool\n\nWords.\n\n## License\n\nPublic domain.\n"
-    ids = lambda **k: [h["rule_id"] for h in analyze_bytes(text, "doc", **k)["hits"]]
+    ids = lambda **k: [h["rule_id"] for h in analyze_bytes(text, "doc", settings=Settings(**k))["hits"]]
     assert "K005" in ids() and "K005" in ids(license_wording="MIT") and "K005" not in ids(license_wording="Public  domain.")
 
 
