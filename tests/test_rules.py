@@ -95,6 +95,12 @@ def test_quoting_and_guard():
     assert analyze_bytes(b"", "doc")["hits"] == []
 
 
+def test_long_repeats_in_other_scripts_carry_their_trigger():
+    text = "Олувел: портовая служба копирует рецепт без задержки, № 435 (7,4 km). " * 6
+    row = analyze_bytes(text.encode(), "doc", "text")
+    assert row["status"] == "ok" and "U001" in [h["rule_id"] for h in row["hits"]]
+
+
 def test_license_section():
     text = b"# Tool\n\nWords.\n\n## License\n\nPublic domain.\n"
     ids = lambda **k: [h["rule_id"] for h in analyze_bytes(text, "doc", settings=Settings(**k))["hits"]]
