@@ -75,38 +75,58 @@ def markup_kinds(prepared: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- 2 repetition
 
-_REP = pa.schema([("prep_id", pa.int64()), ("origin", pa.string()), ("spaced", pa.bool_()), ("n_words", pa.int64()), ("repeated_share", pa.float64()), ("sentence_share", pa.float64()), ("bigram_share", pa.float64()), ("line_share", pa.float64())])
-REP_DDL = "prep_id bigint, origin string, spaced boolean, n_words bigint, repeated_share double, sentence_share double, bigram_share double, line_share double"
+REP_DDL = "prep_id bigint, origin string, spaced boolean, n_words bigint, repeated_share double, written_share double, sentence_share double, bigram_share double, line_share double"
+_REP = pa.schema([
+    ("prep_id", pa.int64()), ("origin", pa.string()), ("spaced", pa.bool_()), ("n_words", pa.int64()), ("repeated_share", pa.float64()), ("written_share", pa.float64()),
+    ("sentence_share", pa.float64()), ("bigram_share", pa.float64()), ("line_share", pa.float64()),
+])
 #: Failing limits of the rules, each a share of the document's content.
 RULES = {"repeated_share": 0.35, "sentence_share": 0.30, "bigram_share": 0.20, "line_share": 0.30}
+#: Hosts up to this many are broadcast; beyond it they are joined over ``HOST_SALTS`` salted copies, so that no host is a hot key.
+MAX_BROADCAST_HOSTS = 1_000_000
+HOST_SALTS = 16
 
 
 def repetition(prepared: DataFrame) -> DataFrame:
-    """Measures of every document, rule failures, and the verdict of its host joined back.
+    """Measures of every document, the verdict of its host joined back, and the verdict on the document.
 
     Rule failures are summed by ``origin`` (map-side first, so a hot origin is a few rows a
     task); rates are shrunk by a beta prior whose mean and strength come from the rates of
-    all hosts (method of moments).  A null origin is no host: it takes the prior mean.
+    all hosts (method of moments).  A null origin is no host: it takes the prior mean and the verdict ``unknown``.
+
+    What a word is has two readings (letter runs, or what stands between spaces).  Where the repeated share reaches
+    the limit under both, the document is repetitive; where it does so under one only, the verdict of its host
+    decides, and for an unknown host the share of letter runs.  Null and empty texts have no words and are never repetitive.
     """
 
     def each(prep_id, origin, text):
-        n, share, sent, top, lines = measures(text)
-        yield prep_id, origin, bool(text) and spaced(text), n, share, sent, top, lines
+        n, share, other, sent, top, lines = measures(text)
+        yield prep_id, origin, bool(text) and spaced(text), n, share, other, sent, top, lines
 
     docs = _map(prepared, ["prep_id", "origin", "text"], REP_DDL, _REP, each)
     rest = [c for c in docs.columns if c != "prep_id"]
     docs = docs.groupBy("prep_id").agg(*(F.max(c).alias(c) for c in rest))
     failed = sum((F.col(c) >= v).cast("int") for c, v in RULES.items())
-    docs = docs.withColumn("failures", failed).withColumn("is_repetitive", F.col("spaced") & (F.col("repeated_share") >= RULES["repeated_share"]))
-    docs = cut(docs)
+    docs = cut(docs.withColumn("failures", failed))
     hosts, prior = host_verdicts(docs)
-    out = docs.join(hosts, "origin", "left")
+    out = join_hosts(docs, hosts).withColumn("host_verdict", F.coalesce("host_verdict", F.lit("unknown")))
+    limit = RULES["repeated_share"]
+    one, other = F.col("repeated_share") >= limit, F.col("written_share") >= limit
+    judged = F.when(F.col("host_verdict") == "suspect", one | other).when(F.col("host_verdict") == "ordinary", one & other).otherwise(one)
     return out.select(
-        "prep_id", "origin", "spaced", "n_words", *RULES, "failures", "is_repetitive", F.coalesce("host_docs", F.lit(0)).alias("host_docs"),
-        F.coalesce("host_rate", F.lit(prior)).alias("host_rate"), F.coalesce("host_verdict", F.lit("unknown")).alias("host_verdict"),
+        "prep_id", "origin", "spaced", "n_words", "repeated_share", "written_share", *list(RULES)[1:], "failures", (F.col("spaced") & judged).alias("is_repetitive"),
+        F.coalesce("host_docs", F.lit(0)).alias("host_docs"), F.coalesce("host_rate", F.lit(prior)).alias("host_rate"), "host_verdict",
     )
 
 
+def join_hosts(docs: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Documents with the row of their host, if any: broadcast up to a counted bound, else an equi-join on host and salt."""
+    if hosts.limit(MAX_BROADCAST_HOSTS + 1).count() <= MAX_BROADCAST_HOSTS:
+        return docs.join(F.broadcast(hosts), "origin", "left")
+    copies = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOST_SALTS - 1))))
+    return docs.withColumn("salt", F.pmod(F.xxhash64("prep_id"), F.lit(HOST_SALTS)).cast("int")).join(copies, ["origin", "salt"], "left").drop("salt")
+
+
 def host_verdicts(docs: DataFrame, suspect: float = 0.25) -> tuple[DataFrame, float]:
     """Shrunk failure rate and verdict of every origin, and the prior mean: (fails + m k) / (docs + k).
 

@@ -57,21 +57,39 @@ def covered_mask(words: list[str], run: int = RUN) -> np.ndarray:
     return mask
 
 
+EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+
+
+def written_words(text: str) -> list[str]:
+    """The other reading of words: what stands between spaces, its outer punctuation aside (``don't`` and ``well-known`` are one)."""
+    return [w for x in INVISIBLE.sub("", text).casefold().split() if (w := EDGES.sub("", x))]
+
+
+def shares(text: str, words: list[str]) -> tuple[float, float]:
+    """Share of words in repeated runs by both readings of a word.
+
+    Every written word holds one or more of ``words``, so a text without a repeated run of these has none of those.
+    """
+    share = float(covered_mask(words).sum()) / len(words) if words else 0.0
+    if not share:
+        return 0.0, 0.0
+    other = written_words(text)
+    return share, float(covered_mask(other).sum()) / len(other) if other else 0.0
+
+
 def repeated_share(text: str | None) -> float:
     """Share of the words in repeated runs alone."""
     words = words_of(text) if text else []
     return float(covered_mask(words).sum()) / len(words) if words else 0.0
 
 
-def measures(text: str | None) -> tuple[int, float, float, float, float]:
-    """(words, share of words in repeated runs, repeated sentences, top bigram share, repeated lines)."""
-    if not text:
-        return 0, 0.0, 0.0, 0.0, 0.0
-    words = words_of(text)
+def measures(text: str | None) -> tuple[int, float, float, float, float, float]:
+    """(words, share of words in repeated runs, the same for written words, repeated sentences, top bigram share, repeated lines)."""
+    words = words_of(text) if text else []
     n = len(words)
     if not n:
-        return 0, 0.0, 0.0, 0.0, 0.0
-    share = float(covered_mask(words).sum()) / n
+        return 0, 0.0, 0.0, 0.0, 0.0, 0.0
+    share, other = shares(text, words)
 
     def repeated(parts: list[str]) -> float:
         seen: set[str] = set()
@@ -95,4 +113,4 @@ def measures(text: str | None) -> tuple[int, float, float, float, float]:
             counts[a, b] = counts.get((a, b), 0) + 1
         (a, b), k = max(counts.items(), key=lambda x: x[1])
         top = k * (len(a) + len(b)) / sum(map(len, words)) if k > 1 else 0.0
-    return n, share, sentences, top, lines
+    return n, share, other, sentences, top, lines

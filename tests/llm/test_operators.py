@@ -40,6 +40,35 @@ def test_repetition_and_hosts(spark):
     assert rows(ops.token_repetition(toks)) == {(1, 21, 14), (2, 1, 0)}
 
 
+def test_host_verdict_decides_where_the_words_do_not(spark, monkeypatch):
+    # one reading of "a-b" has two words, the other one: the shares lie on both sides of the limit
+    from glyphloom.llm.repetition import measures
+
+    run = "one two three four five six seven"
+    text = f"{run}. {run}. " + " ".join(f"w{chr(97 + i)}-v{chr(97 + i)}" for i in range(5)) + " so"
+    _, letters, written, *_ = measures(text)
+    assert letters < 0.35 <= written
+    bad, good = f"{run}. " * 6, "no word of this text comes twice in it at all"
+    rows_ = [(0, text, "spam"), (1, text, "fine"), (2, text, None)]
+    rows_ += [(10 + i, bad, "spam") for i in range(30)] + [(100 + i, f"{good} {i}", "fine") for i in range(60)]
+    df = spark.createDataFrame(rows_, "prep_id bigint, text string, origin string")
+    want = {0, *range(10, 40)}
+    found = lambda: {r["prep_id"] for r in ops.repetition(df).where("is_repetitive").collect()}
+    assert found() == want
+    monkeypatch.setattr(ops, "MAX_BROADCAST_HOSTS", 1)  # the salted join gives the same
+    assert found() == want
+    # without host verdicts the rows change
+    real = ops.host_verdicts
+    monkeypatch.setattr(ops, "host_verdicts", lambda d: (real(d)[0].withColumn("host_verdict", F.lit("ordinary")), 0.0))
+    assert found() == want - {0}
+
+
+def test_found_joins_the_hosts(spark, tmp_path):
+    prepared(spark, ["one two three four five six seven. " * 5]).write.parquet(str(tmp_path / "prepared.parquet"))
+    plan = queries.p2_found(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "host_verdict" in plan
+
+
 def test_levels(spark):
     rnd = random.Random(1)
     easy = lambda: " ".join(f"The {rnd.choice(['cat', 'dog', 'sun'])} is in the {rnd.choice(['hat', 'box', 'bed'])}." for _ in range(15))
