@@ -4,13 +4,14 @@
 in which headings (``## ``), list items (``- ``), code blocks (fenced, with their
 language) and formulas (``$..$``) stay marked, and names the kinds of element seen.
 
-Tags are read as a stream of events of the standard-library HTML parser.  Every
-source line gets its text-to-tag ratio; a Gaussian smooths the ratios along the
-lines and a threshold set by two-means clustering separates content regions from
-markup-only regions, whose wordless remains (separators, arrows) are dropped.
+The whole document goes through the standard-library HTML parser as one stream; its events carry their line.
+From them every line gets its text-to-tag ratio (characters of text for each tag, template or command); a Gaussian
+smooths the ratios along the lines, two-means clustering parts them, and the midpoint of the two clusters
+is the threshold.  Lines of markup under it (bars, menus, wrappers) leave the text with what little text they hold.
+Headings, list items, table cells, code and formulas stay wherever they stand, and so does a line without any markup.
 
 Defined results: null text gives null clean text and no element; an empty text
-stays empty; text without markup is returned as it is (line ends become ``\\n``).
+stays empty; text without markup is returned as it is (line ends become ``\n``).
 """
 
 from __future__ import annotations
@@ -53,18 +54,18 @@ HINT = re.compile(r"[<>&*_`~$\\|\[{=#+^]|''|^[ \t]*[-•][ \t]|^[ \t]*\d{1,3}[.)
 OPENER = re.compile(
     r"^ {0,3}(?P<fence>`{3,}|~{3,})(?P<info>[^\n]*)$"
     r"|\\begin\{(?P<env>" + CODE_ENVS + "|" + MATH_ENVS + r")\}(?P<opt>(?:\[[^\]\n]*\]|\{[^}\n]*\})*)"
-    r"|<(?P<tag>pre|source|syntaxhighlight|code|math)\b(?P<attr>[^>]{0,500})>"
-    r"|<(?P<span>span)\b[^>]{0,300}class=[\"']?[^\"'>]{0,100}\bmath\b[^>]{0,300}>"
+    r"|<(?P<tag>pre|source|syntaxhighlight|code|math)\b(?P<attr>[^<>]*)>"
+    r"|<(?P<span>span)\b(?P<sattr>[^<>]*)>"
     r"|(?P<dd>\$\$)|(?P<br>\\\[)|(?P<pa>\\\()"
-    r"|(?<![\\$\w])\$(?P<ibody>(?! )[^$\n]{1,200}?(?<! ))\$(?![\d$])"
+    r"|(?<![\\$\w])\$(?P<ibody>(?! )[^$\n]+?(?<! ))\$(?![\d$])"
     r"|(?<!`)(?P<tick>`{1,2})(?!`)",
     re.M | re.I,
 )
+MATH_CLASS = re.compile(r"class=[\"']?[^\"'>]*\bmath\b", re.I)
 MATH_ENV = re.compile("(?:" + MATH_ENVS + ")$")
 MATHY = re.compile(r"[\\^_=+<>/]|^[A-Za-z]$|^-?\d+$|[A-Za-z]\s*[-*]\s*[A-Za-z\d]")
 LISTING_LANGUAGE = re.compile(r"language\s*=\s*\{?([\w+#.-]+)", re.I)
 TAG_LANGUAGE = re.compile(r"(?:lang(?:uage)?|class)\s*=\s*[\"']?(?:language-|lang-)?([\w+#.-]+)", re.I)
-COMMENTS = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 
 ATX = re.compile(r"(#{1,6})[ \t]+(?=\S)")
 WIKI_HEAD = re.compile(r"(={1,6})(?=[^=])(?=.*[^=\s])(?:.*[^=])\1$")
@@ -124,113 +125,160 @@ class Converted:
             self.elements.append((kind, info))
 
 
+#: A tag, comment or declaration as it stands in the source.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^<>]*>|<(/?)([a-zA-Z][\w-]*)\b[^<>]*>", re.S | re.I)
+#: Templates and commands, the tags of wiki and LaTeX text.
+COMMANDS = re.compile(r"\{\{[^{}\n]*\}\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
+#: Elements whose body is read only up to their end tag; without one they are read as any other.
+CLOSED = frozenset("script style title textarea iframe xmp noembed noframes plaintext noscript".split())
+HIDDEN = frozenset(("script", "style"))
+KEEPING = LIST_TAGS | HEAD_TAGS | frozenset("table tr td th caption pre blockquote".split())
+#: Source lines that are structure of their own.
+STRUCTURAL = re.compile(
+    r"^ {0,3}(?:#{1,6}[ \t]|=|-{2,}|>|\[|\*[ \t]|\||!)|^[ \t]*(?:[-+•*]|\*{1,6}|\d{1,3}[.)])[ \t]|\\(?:part|chapter|(?:sub){0,2}section|(?:sub)?paragraph|item|begin|end)\b|\ue000"
+)
+LESS, AMPERSAND = "\ue004", "\ue005"
+#: Least distance of the clusters, in natural logarithms of characters a tag; nearer ones are one cluster.
+APART = 1.0
+#: A line with more characters a tag is content whatever the clusters say: where all lines are long, their midpoint lies among sentences.
+SPARSE = 10.0
+
+
 class _Events(HTMLParser):
-    """Streams tags into line breaks, heading and list marks; text goes through as it stands."""
+    """The document as (line, text) parts with line breaks, heading and list marks; tags counted by line."""
 
-    def __init__(self, out: Converted):
+    def __init__(self, out: Converted, lines: int):
         super().__init__(convert_charrefs=False)
-        self.doc, self.parts, self.heading = out, [], 0
+        self.doc = out
+        self.parts: list[tuple[int, str, bool]] = []
+        self.tags = [0] * lines
+        self.chars = [0] * lines
+        self.keep = [False] * lines
+        self.depth = 0
+
+    def line(self) -> int:
+        return min(self.getpos()[0], len(self.tags)) - 1
+
+    def mark(self, text: str, structure: bool) -> None:
+        at = self.line()
+        self.tags[at] += 1
+        self.keep[at] = self.keep[at] or structure
+        if text:
+            self.parts.append((at, text, True))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in HTML_TAGS:
-            self.parts.append(self.get_starttag_text() or "")
-            return
+        structure = tag in KEEPING
+        self.depth += structure and tag not in ("li", "dt", "dd")
         if tag in HEAD_TAGS:
-            self.heading = int(tag[1])
             self.doc.add("heading", tag[1])
-            self.parts.append("\n" + "#" * self.heading + "\ue002")
+            self.mark("\n" + "#" * int(tag[1]) + "\ue002", True)
         elif tag in LIST_TAGS:
-            if tag in ("li", "dt", "dd"):
-                self.parts.append("\n-\ue002")
             self.doc.add("list")
+            self.mark("\n-\ue002" if tag in ("li", "dt", "dd") else "", True)
         else:
             self.doc.add("other")
-            if tag in BREAKING:
-                self.parts.append("\n" if tag == "br" else "\n\n")
+            self.mark(("\n" if tag == "br" else "\n\n") if tag in BREAKING else " " if tag in ("td", "th") else "", structure)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        self.depth -= tag in KEEPING and tag not in ("li", "dt", "dd")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in HTML_TAGS:
-            self.parts.append(f"</{tag}>")
-            return
+        structure = tag in KEEPING
+        self.depth = max(0, self.depth - (structure and tag not in ("li", "dt", "dd")))
         if tag in HEAD_TAGS:
-            self.parts.append("\ue003\n")
             self.doc.kinds.add("heading")
+            self.mark("\ue003\n", True)
         elif tag in LIST_TAGS:
             self.doc.kinds.add("list")
-            self.parts.append("\n" if tag in ("ul", "ol", "dl") else "")
+            self.mark("\n" if tag in ("ul", "ol", "dl") else "", True)
         else:
             self.doc.add("other")
-            if tag in BREAKING:
-                self.parts.append("\n\n")
+            self.mark("\n\n" if tag in BREAKING else "", structure)
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
-
-    def handle_entityref(self, name: str) -> None:
-        self.parts.append(f"&{name};" if f"{name};" in html.entities.html5 else f"&{name}")
-
-    def handle_charref(self, name: str) -> None:
-        self.parts.append(f"&#{name};")
+        if self.cdata_elem in HIDDEN:
+            data = "\n" * data.count("\n")
+        at = self.line()
+        for k, piece in enumerate(data.split("\n")):
+            here = min(at + k, len(self.tags) - 1)
+            if k:
+                self.parts.append((here, "\n", True))
+            if piece:
+                commands = COMMANDS.findall(piece)
+                self.tags[here] += len(commands)
+                self.chars[here] += len(piece.strip()) - sum(map(len, commands))
+                self.keep[here] = self.keep[here] or self.depth > 0
+                self.parts.append((here, piece, False))
 
     def handle_comment(self, data: str) -> None:
         self.doc.add("other")
+        self.mark("", False)
+        self.parts.append((self.line(), "\n" * data.count("\n"), True))
 
     def handle_decl(self, decl: str) -> None:
         self.doc.add("other")
+        self.mark("", False)
 
-    def handle_pi(self, data: str) -> None:
-        self.doc.add("other")
-
-
-TAGLIKE = re.compile(r"</?([a-zA-Z][\w-]*)\b[^<>]*>|<!--|<!DOCTYPE", re.I)
 
+def event_source(text: str) -> str:
+    """The text as the parser reads it: bare names in known tags, every other ``<`` and every ``&`` put aside as characters."""
+    parts: list[str] = []
+    at = 0
+    closers: dict[str, int] = {}
+    for m in MARKUP.finditer(text):
+        name = (m[2] or "").lower()
+        if name and (name not in HTML_TAGS or m[0].lower().startswith(("<http:", "<https:"))):
+            continue
+        parts.append(text[at : m.start()].replace("<", LESS))
+        at = m.end()
+        breaks = "\n" * m[0].count("\n")
+        if not name:
+            comment = m[0][4:].removesuffix("-->").replace("-->", "").replace("--!>", "") if m[0].startswith("<!--") else None
+            parts.append(f"<!--{breaks if comment is not None else ''} -->" if comment is not None else f"<!DOCTYPE html{breaks}>")
+            continue
+        if name in CLOSED and not m[1]:
+            if name not in closers:
+                found = [x.start() for x in re.finditer(rf"</{name}\b[^<>]*>", text, re.I)]
+                closers[name] = found[-1] if found else -1
+            if closers[name] < m.start():
+                name = "span"
+        parts.append(f"<{m[1]}{name}{breaks}>")
+    parts.append(text[at:].replace("<", LESS))
+    return "".join(parts).replace("&", AMPERSAND)
 
-MARKS = re.compile(r"<[^<>\n]{1,300}>|\{\{[^{}\n]*\}\}|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 
+def content_lines(chars: list[int], tags: list[int], sigma: float = 1.0) -> list[bool]:
+    """Content flags of the lines: text-to-tag ratios, own or smoothed, against the midpoint of their two clusters.
 
-def line_content(lines: list[str], sigma: float = 1.0) -> list[bool]:
-    """Content flags of source lines: Gaussian-smoothed text-to-tag ratios above a two-means threshold."""
-    tags = [sum(len(m[0]) for m in MARKS.finditer(x)) for x in lines]
-    if not any(tags):
-        return [True] * len(lines)
-    ratio = [math.log1p((len(x.strip()) - t) / (1 + t)) for x, t in zip(lines, tags, strict=True)]
+    The threshold is never above ``SPARSE`` characters a tag.  Blank lines take no part.  Without tags, or where the clusters lie closer than ``APART``, every line is content.
+    """
+    full = [i for i, (c, t) in enumerate(zip(chars, tags, strict=True)) if c > 0 or t]
+    flags = [True] * len(chars)
+    if not any(tags) or len(full) < 2:
+        return flags
+    ratio = [math.log1p(max(0, chars[i]) / max(1, tags[i])) for i in full]
     reach = max(1, round(3 * sigma))
     kernel = [math.exp(-(d * d) / (2 * sigma * sigma)) for d in range(-reach, reach + 1)]
-    n = len(ratio)
     smooth = []
-    for i in range(n):
-        lo, hi = max(0, i - reach), min(n, i + reach + 1)
+    for i in range(len(ratio)):
+        lo, hi = max(0, i - reach), min(len(ratio), i + reach + 1)
         w = kernel[lo - i + reach : hi - i + reach]
         smooth.append(sum(a * b for a, b in zip(w, ratio[lo:hi], strict=True)) / sum(w))
     low, high = min(smooth), max(smooth)
     for _ in range(12):
         cut = (low + high) / 2
-        under = [s for s in smooth if s <= cut]
-        over = [s for s in smooth if s > cut]
+        under = [x for x in smooth if x <= cut]
+        over = [x for x in smooth if x > cut]
         if not under or not over:
             break
         low, high = sum(under) / len(under), sum(over) / len(over)
-    cut = (low + high) / 4  # markup-only lines lie near zero
-    return [s >= cut or r >= cut for s, r in zip(smooth, ratio, strict=True)]
-
-
-def _marks_only(line: str, out: Converted) -> str:
-    """A line of a markup-only region without what stands beside its tags, if that holds no word, no structure mark and no open markup.
-
-    The tags themselves stay for the event reader.  Words stay in every region, as headings and list items are short, too.
-    """
-    if any(rx.match(line) for rx in (UNDERLINE, RULE, TABLE_RULE, WIKI_TABLE)):
-        return line
-    rest = MARKS.sub("", line)
-    plain = html.unescape(rest)
-    if re.search(r"[\w<>{}\[\]()`\\$\ue000-\ue003]", plain):
-        return line
-    if plain != rest:
-        out.add("other")
-    return "".join(m[0] for m in MARKS.finditer(line))
+    if high - low < APART:
+        return flags
+    cut = min((low + high) / 2, math.log1p(SPARSE))
+    for i, s, r in zip(full, smooth, ratio, strict=True):
+        flags[i] = s > cut or r > cut
+    return flags
 
 
 def _language(info: str) -> str:
@@ -313,7 +361,7 @@ def convert(text: str | None) -> Converted:
                         lang = language(m["attr"], body)
                         new, end = code(html.unescape(re.sub(r"^\s*<code\b[^>]*>|</code\s*>\s*$", "", body)), lang), c.end()
             elif m["span"]:
-                c = closer("span", r"</span\s*>", m.end())
+                c = closer("span", r"</span\s*>", m.end()) if MATH_CLASS.search(m["sattr"]) else None
                 if c:
                     new, end = formula(source[m.end() : c.start()], False), c.end()
             elif m["dd"]:
@@ -367,27 +415,20 @@ def convert(text: str | None) -> Converted:
             i += 1
         held = "\n".join(res)
 
-    source_lines = held.split("\n")
-    content = line_content(source_lines)
-    out.content_share = sum(content) / max(1, len(content))
-    # markup-only regions: of their lines the tags go on, and no wordless remains
-    if not all(content):
-        held = "\n".join(x if keep else _marks_only(x, out) for x, keep in zip(source_lines, content, strict=True))
-
-    if COMMENTS.search(held):
-        out.add("other")
-        held = COMMENTS.sub("", held)
-    if TAGLIKE.search(held):
-        parser = _Events(out)
-        at = 0
-        # the parser is fed tag by tag: a lone "<" or a foreign tag stays text
-        for m in TAGLIKE.finditer(held):
-            if m[1] and m[1].lower() in HTML_TAGS and not m[0].lower().startswith(("<https", "<http")):
-                parser.parts.append(held[at : m.start()])
-                parser.feed(m[0])
-                at = m.end()
-        parser.parts.append(held[at:])
-        held = "".join(parser.parts)
+    if "<" in held or COMMANDS.search(held):
+        source_lines = held.split("\n")
+        events = _Events(out, len(source_lines))
+        events.feed(event_source(held))
+        events.close()
+        flags = content_lines(events.chars, events.tags)
+        drop = [
+            not ok and events.tags[i] > 0 and not events.keep[i] and not STRUCTURAL.search(source_lines[i]) for i, ok in enumerate(flags)
+        ]
+        out.content_share = 1 - sum(drop) / len(drop)
+        if any(d and COMMANDS.search(x) for d, x in zip(drop, source_lines, strict=True)):
+            out.add("other")
+        held = "".join(text for at, text, mark in events.parts if mark or not drop[at])
+        held = held.replace(LESS, "<").replace(AMPERSAND, "&")
         held = re.sub("(#{1,6}|-)\ue002\\s*", "\\1\ue002", held)
     if "&" in held:
         def entity(m: re.Match) -> str:

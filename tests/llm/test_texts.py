@@ -46,16 +46,51 @@ def test_markup_text():
     assert convert("a\r\nb").text == "a\nb"
 
 
-def test_wordless_remains_of_markup_regions():
-    bar = "<div class=\"bar\"><a href=\"/a\"></a> | <a href=\"/b\"></a> &raquo; <img src=\"c.png\"></div>"
+def test_markup_regions_leave_the_text(monkeypatch):
+    from glyphloom.llm import markup
+
+    bar = "<div class=\"bar\"><a href=\"/a\">Home</a> | <a href=\"/b\">Help</a> &raquo; <img src=\"c.png\"></div>"
     body = "These are the words of the page, which are long enough to be content."
-    c = convert("\n".join([bar] * 4 + [f"<p>{body}</p>", body] + [bar] * 4))
-    # smoothing keeps the line next to the content on either side
-    assert c.text.count("|") == c.text.count("\u00bb") == 2 and c.text.count(body) == 2 and c.kinds == {"other"} and 0 < c.content_share < 1
-    # in the same regions, structure and words stay
-    c = convert("\n".join([bar] * 3 + ["<h2>", "Big", "</h2>", bar, "<ul><li class=\"of-a-kind\">one", "</ul>", bar, "", "Next", "==", "", bar, "&alpha;<br><br><br><br>", "<!--", "\u00bb <b>no</b>", "-->", bar, f"<p>{body} {body}</p>"]))
-    got = [x for x in c.text.split("\n") if re.search(r"\w", x)]
-    assert c.kinds == {"heading", "list", "other"} and got == ["## Big", "- one", "# Next", "\u03b1", f"{body} {body}"] and c.text.count("|") <= 1
+    page = "\n".join([bar] * 4 + [f"<p>{body}</p>", body, "<p>Yes.</p>", body] + [bar] * 4)
+    c = convert(page)
+    # smoothing keeps the short paragraph among the content
+    assert c.text.split("\n\n") == [body, body, "Yes.", body] and c.kinds == {"other"} and 0 < c.content_share < 1
+    # in the same regions, structure stays: headings, items, cells, and lines without markup of their own
+    page = "\n".join([bar] * 3 + ["<h2>", "Big", "</h2>", bar, "<ul><li class=\"of-a-kind\">one", "</ul>", "<table><tr><td>1</td><td>2</td></tr></table>", bar, "", "Next", "==", "", bar, "menu", bar, f"<p>{body} {body}</p>", "{{bar|x}} {{y}}"])
+    c = convert(page)
+    got = [x.strip() for x in c.text.split("\n") if x.strip()]
+    assert c.kinds == {"heading", "list", "other"} and got[:2] == ["## Big", "- one"] and {"# Next", "menu", "1 2", f"{body} {body}"} < set(got) and c.text.count("Home") <= 1
+    # the selection is what decides it
+    monkeypatch.setattr(markup, "content_lines", lambda chars, tags: [True] * len(chars))
+    assert convert(page).text.count("Home") == 7 and convert(page).kinds == c.kinds
+
+
+def test_content_lines():
+    from glyphloom.llm.markup import content_lines
+
+    assert content_lines([], []) == [] and content_lines([5, 0, 9], [0, 0, 0]) == [True] * 3
+    assert content_lines([60, 60, 60], [2, 2, 2]) == [True] * 3  # one cluster
+    assert content_lines([600, 40, 600, 40], [2, 2, 2, 2]) == [True] * 4  # long and short sentences
+    assert content_lines([300, 300, 0, 2, 3, 2], [2, 2, 0, 4, 4, 4]) == [True, True, True, False, False, False]
+
+
+@pytest.mark.parametrize("text,kinds,clean", [
+    # no bound on formulas, attributes or tags
+    ("so $x = " + "y_1 + " * 100 + "z$ holds", {"formula"}, "so $x = " + "y_1 + " * 100 + "z$ holds"),
+    ("<pre " + "a='b' " * 200 + ">x = 1</pre>", {"code"}, "```\nx = 1\n```"),
+    ("<span " + "a='b' " * 200 + "class='math'>y</span> is", {"formula"}, "$y$ is"),
+    ("words <b " + "c='d' " * 200 + ">and</b> words", {"other"}, "words and words"),
+    # the stream takes whatever comes
+    ("words <b title=\"odd>and</b> words", {"other"}, "words and words"),
+    ("a < b <3 <foo> &c; <https://x.y> words", {"other"}, "a < b <3 <foo> &c; https://x.y words"),
+    ("words <!-- a > b\n<p>-- and", {"other"}, "words"),
+    ("words\n<script>if (a < b) { c() }</script>\nmore", {"other"}, "words\n\nmore"),
+    ("words <script> and no end", {"other"}, "words  and no end"),
+    ("<!DOCTYPE html>\n<title>A &amp; <i>b</title>\nwords", {"other"}, "A & b\n\nwords"),
+])
+def test_markup_stream(text, kinds, clean):
+    c = convert(text)
+    assert c.kinds == kinds and c.text == clean
 
 
 def test_repetition_against_brute_force():
