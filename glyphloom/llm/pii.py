@@ -3,7 +3,11 @@
 An Aho-Corasick automaton over a folded text (widths, look-alikes, accents and invisible
 characters evened out, offsets kept) finds anchors: at-signs, schemes, identifier and
 contact cues, street words, parts of personal names.  A local parser expands each anchor
-to both sides and validates what it finds.  Digit runs are anchors of the phone parser.
+to both sides, as far as its parts go, and validates what it finds.  Digits are anchors, too: the first
+of a run is what the parsers of phone numbers and bare identity numbers start from.  No parser looks through a
+window of fixed size; an address and a cue reach to the end of their line or sentence.  Names are read in
+every script: cased ones by their capitals, caseless ones (Han, kana, Arabic) by listed parts side by side or
+a listed part with an honorific or a cue.
 
 Defined results: null or empty text holds nothing; spans are 0-based half-open code-point
 offsets in the text as given; overlapping candidates keep the longer span, then the kind
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 from glyphloom.llm.textforms import ALIKE, COMPAT, INVISIBLE
@@ -66,8 +71,62 @@ NAME_CUES = re.compile(
     r"geehrte frau|geehrter herr|gehort|fragen sie nach|paket geht an|chere?|demandez|ecrivez a|part chez|au nom de|"
     r"请联系|尊敬的|联系人|担当は|電話して|致电)[\s:]*$"
 )
-CAP = r"[A-Z][a-z]+"
-UP = r"[A-Z]{3,}"
+# Capital and small letters of the cased scripts, as they stand after folding.
+CAPITALS = "A-ZÆØÞŁĐŒΑ-ΩЀ-ЯԱ-Ֆ"
+SMALL = "a-zæøþłđœßα-ωа-џա-և"
+CAP = f"[{CAPITALS}][{SMALL}]+"
+UP = f"[{CAPITALS}]{{3,}}"
+SPACELESS = re.compile("[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
+HONORIFIC = re.compile(r"[ ]?(?:様|さん|氏|先生|女士|小姐|君)")
+PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+FAMILY = rf"(?:{PARTICLE} )?(?:{CAP}|{UP})(?:-(?:{CAP}|{UP}))?"
+GIVEN_AFTER = re.compile(rf"(?:-{UP})? ({CAP})(?: [{CAPITALS}]\.(?![{CAPITALS}{SMALL}]))?")
+FAMILY_AFTER = re.compile(rf"(?:\s(?:[{CAPITALS}]\.\s)*)({FAMILY})")
+PARTICLE_AFTER = re.compile(rf"\s(?:[{CAPITALS}]\.\s)*{PARTICLE} ")
+INITIALS_AFTER = re.compile(rf"\s(?:[{CAPITALS}]\.\s)+")
+INITIAL_END = re.compile(rf"\s[{CAPITALS}]\.(?=\s*\Z|\s*[,;)\n])")
+DOUBLE_AFTER = re.compile(rf"-{CAP}(?: {FAMILY})?")
+JOINED_AFTER = re.compile(rf"-(?:{CAP}|{UP})")
+INITIALS_BEFORE = re.compile(rf"((?:(?<![{CAPITALS}{SMALL}0-9])[{CAPITALS}]\. ?)+)((?:{PARTICLE} )?)$")
+GIVEN_BEFORE = re.compile(rf"({CAP}) ((?:{PARTICLE} )?)$")
+CUED_BEFORE = re.compile(rf"(?<![{CAPITALS}{SMALL}0-9])({CAP}(?: [{CAPITALS}]\.)?) ((?:{PARTICLE} )?)$")
+TITLE_BEFORE = re.compile(r"(?i:\b(?:mr|mrs|ms|miss|dr|prof|frau|herrn?|mme|mlle|monsieur|madame|sr|sra)\.?\s)$")
+INITIAL = re.compile(rf"(?:[{CAPITALS}]\.)+")
+SENTENCE_END = re.compile(r"[\n;。！？]|[.!?] (?=[A-Z][a-z])")
+#: Longest phrase of ``NOT_PERSONAL`` and ``CALL_CUES``, white space and marks behind it aside.
+CUE_LENGTH = 32
+
+
+def letter(c: str) -> bool:
+    """A letter of a script that is written with spaces."""
+    return c.isalpha() and (c < "\x80" or not SPACELESS.match(c))
+
+
+def phrase_before(low: str, at: int) -> str:
+    """What may be a cue right before a place: marks and white space are passed over first, however many."""
+    b = at
+    while b > 0 and low[b - 1] in " \t\r\n:#.=;(":
+        b -= 1
+    return low[max(0, b - CUE_LENGTH) : at]
+
+
+def words_before(t: str, at: int, most: int = 8) -> str:
+    """The text of the last ``most`` words before a place on its line; initials count for nothing, and of a spaceless script what a cue can hold."""
+    b = at
+    spaceless = 0
+    while most > 0 and spaceless <= CUE_LENGTH:
+        q = b
+        while q > 0 and t[q - 1].isspace() and t[q - 1] != "\n":
+            q -= 1
+        r = q
+        while r > 0 and not t[r - 1].isspace() and spaceless <= CUE_LENGTH:
+            r -= 1
+            spaceless += t[r] >= "\x80" and SPACELESS.match(t[r]) is not None
+        if r == q:
+            break
+        most -= INITIAL.fullmatch(t, r, q) is None
+        b = r
+    return t[b:at]
 
 
 @dataclass
@@ -134,7 +193,7 @@ def learn_names(rows: list[tuple[str | None, str | None]], least: int = 3) -> Na
         if not part:
             continue
         t = plain(part.strip())[0].lower()
-        if len(t) < 2:
+        if len(t) < 2 and not SPACELESS.match(t):
             continue
         parts.setdefault(t, set()).add((kind or "").strip().lower())
     for kind in ("given", "family"):
@@ -202,6 +261,14 @@ ZH_ADDRESS = re.compile(
 )
 
 
+DIGITS = frozenset("0123456789")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+LEAD = re.compile(r".*(?:は|、|，|在|于|到|寄到|寄往|に|で|を|：|:|址)")
+DE_TIME = re.compile(r"(?:Am|Im) (?:\d|Markttag|Winter|Abend)")
+
+
 class Finder:
     """Holds the automaton and the parsers of one worker."""
 
@@ -209,6 +276,7 @@ class Finder:
         import ahocorasick
 
         self.model = model
+        self.longest = max(map(len, model.listed), default=0)
         self.auto = ahocorasick.Automaton()
         anchors: dict[str, set[str]] = {}
 
@@ -233,6 +301,8 @@ class Finder:
             add(w, "ja")
         for w in ("路", "街", "大道", "巷"):
             add(w, "zh")
+        for d in "0123456789":
+            add(d, "digit")
         for stems in self.model.stems.values():
             for s in stems:
                 add(s, "name")
@@ -259,16 +329,17 @@ class Finder:
                 ):
                     continue
                 spots.setdefault(k, []).append(start)
-        digits = any(c.isdigit() for c in t)
         found: list[tuple[int, int, str]] = []
         if "email" in spots:
             found += self._emails(t, spots["email"])
-        if digits:
+        if "digit" in spots:
+            # the first digit of each run
+            runs = [p for p in spots["digit"] if not (p and t[p - 1] in DIGITS)]
             if "id" in spots:
                 found += self._ids(t, low, spots["id"])
-            found += self._bare_ids(t, low)
+            found += self._bare_ids(t, low, runs)
             found += self._addresses(t, spots)
-            found += self._phones(t, low, self._mask(t, found))
+            found += self._phones(t, low, runs, self._mask(t, found))
         if "name" in spots:
             found += self._names(t, low, spots["name"], self._mask(t, found))
         rank = {k: i for i, k in enumerate(KINDS)}
@@ -301,16 +372,17 @@ class Finder:
 
     def _emails(self, t: str, spots: list[int]) -> list[tuple[int, int, str]]:
         out = []
-        done = -1
+        done = 0
         for p in spots:
             if p < done:
                 continue
-            a = max(0, p - 80)
-            for m in EMAIL.finditer(t, a, min(len(t), p + 160)):
-                if m.start() <= p + 2 and m.end() > p:
-                    out.append((m.start(), m.end(), "email"))
-                    done = m.end()
-                    break
+            a = p - (p > 0 and t[p] != " " and t[p - 1].isspace())
+            while a > done and t[a - 1] in LOCAL:
+                a -= 1
+            m = EMAIL.match(t, a)
+            if m and m.end() > p:
+                out.append((a, m.end(), "email"))
+                done = m.end()
         return out
 
     def _id_value(self, t: str, start: int, stop: int) -> tuple[int, int] | None:
@@ -336,51 +408,53 @@ class Finder:
         return None
 
     def _ids(self, t: str, low: str, spots: list[int]) -> list[tuple[int, int, str]]:
+        """A cue reaches to the next cue or to the end of its line or sentence."""
         out = []
-        for p in spots:
-            stop = min(len(t), p + 90)
-            line = re.search(r"[\n;。！？]|[.!?] (?=[A-Z][a-z])", t[p:stop])
-            if line:
-                stop = p + line.start()
-            hit = self._id_value(t, p, stop)
-            if hit and not NOT_PERSONAL.search(low[max(p, hit[0] - 20) : hit[0]]):
+        ends = [m.start() for m in SENTENCE_END.finditer(t)]
+        spots = sorted(set(spots))
+        for p, following in zip(spots, [*spots[1:], len(t)], strict=True):
+            k = bisect_left(ends, p)
+            hit = self._id_value(t, p, min(following, ends[k] if k < len(ends) else len(t)))
+            if hit and not NOT_PERSONAL.search(low[max(p, hit[0] - CUE_LENGTH) : hit[0]]):
                 out.append((*hit, "id_number"))
         return out
 
-    def _bare_ids(self, t: str, low: str) -> list[tuple[int, int, str]]:
+    def _bare_ids(self, t: str, low: str, runs: list[int]) -> list[tuple[int, int, str]]:
+        """Numbers whose form alone tells: two letters before the digits, or three groups."""
         out = []
-        for rx in ID_FORMS:
-            for m in rx.finditer(t):
-                if not NOT_PERSONAL.search(low[max(0, m.start() - 24) : m.start()]):
+        for p in runs:
+            for m in (ID_FORMS[0].match(t, max(0, p - 3)), ID_FORMS[0].match(t, max(0, p - 2)), ID_FORMS[1].match(t, p)):
+                if m and m.start() <= p < m.end() and not NOT_PERSONAL.search(phrase_before(low, m.start())):
                     out.append((m.start(), m.end(), "id_number"))
+                    break
         return out
 
     def _addresses(self, t: str, spots: dict[str, list[int]]) -> list[tuple[int, int, str]]:
+        """Addresses around street words; the parser of a language reads each line that holds one of its words once."""
         out = []
-        for kind, rx, back in (("en", EN_ADDRESS, 70), ("de", DE_ADDRESS, 40), ("fr", FR_ADDRESS, 14), ("es", ES_ADDRESS, 2), ("ja", JA_ADDRESS, 24), ("zh", ZH_ADDRESS, 24)):
-            done = -1
-            for p in spots.get(kind, ()):
-                if p < done:
+        for kind, rx in (("en", EN_ADDRESS), ("de", DE_ADDRESS), ("fr", FR_ADDRESS), ("es", ES_ADDRESS), ("ja", JA_ADDRESS), ("zh", ZH_ADDRESS)):
+            places = sorted(set(spots.get(kind, ())))
+            read = -1
+            for p in places:
+                if p < read:
                     continue
-                lo = max(0, p - back, done)
-                for m in rx.finditer(t, lo, min(len(t), p + 120)):
-                    if m.start() > p + 3:
-                        break
-                    if m.end() <= p:
-                        continue
+                line = t.rfind("\n", 0, p) + 1 if p else 0
+                read = t.find("\n", p) + 1 or len(t) + 1
+                for m in rx.finditer(t, line, read - 1):
                     a, b = m.start(), m.end()
+                    k = bisect_left(places, a - 3)
+                    if k == len(places) or places[k] >= b:
+                        continue
                     if kind in ("ja", "zh"):
-                        lead = re.match(r".*(?:は|、|，|在|于|到|寄到|寄往|に|で|を|：|:|址)", t[a : a + max(0, t[a:b].find("市"))])
+                        lead = LEAD.match(t[a : a + max(0, t[a:b].find("市"))])
                         if lead:
                             a += lead.end()
                         b = a + len(t[a:b].rstrip("-"))
-                    if kind == "de" and re.match(r"(?:Am|Im) (?:\d|Markttag|Winter|Abend)", t[a:b]):
+                    if kind == "de" and DE_TIME.match(t, a, b):
                         continue
                     if kind == "en":
                         b = self._trim_town(t, m)
                     out.append((a, b, "address"))
-                    done = b
-                    break
         return out
 
     @staticmethod
@@ -390,9 +464,18 @@ class Finder:
             return m.start("town") + m["town"].index(" ")
         return m.end()
 
-    def _phones(self, t: str, low: str, taken: bytearray) -> list[tuple[int, int, str]]:
+    def _phones(self, t: str, low: str, runs: list[int], taken: bytearray) -> list[tuple[int, int, str]]:
         out = []
-        for m in PHONE.finditer(t):
+        done = 0
+        for p in runs:
+            if p < done:
+                continue
+            # the sign and the bracket before the first digit belong to the number
+            starts = [p - k for k in (2, 1) if p >= k and set(t[p - k : p]) <= set("+(")] + [p]
+            m = next((m for x in starts if x >= done and (m := PHONE.match(t, x))), None)
+            if m is None:
+                continue
+            done = m.end()
             a, b = m.start(), m.end()
             v = m[0]
             if v.startswith("(") and ")" not in v:
@@ -403,7 +486,7 @@ class Finder:
             digits = re.sub(r"\D", "", v)
             if not 7 <= len(digits) <= 15:
                 continue
-            before = low[max(0, a - 28) : a]
+            before = phrase_before(low, a)
             if NOT_PERSONAL.search(before):
                 continue
             if b < len(t) and re.match(r"-?[A-Za-z]", t[b : b + 2]) and t[b : b + 1] < "\x80":
@@ -433,14 +516,20 @@ class Finder:
         done = -1
         model = self.model
         for p in sorted(set(spots)):
-            if p < done or (p and t[p - 1].isalpha() and t[p - 1] < "\x80"):
+            if p < done:
+                continue
+            if not t[p].isupper():
+                if not t[p].islower() and (hit := self._caseless(t, low, p)) and 1 not in taken[p : hit]:
+                    done = hit
+                    if not NOT_PERSON_AFTER.match(low, hit):
+                        out.append((p, hit, "name"))
+                continue
+            if p and letter(t[p - 1]):
                 continue
             e = p
-            while e < len(t) and t[e].isalpha() and t[e] < "\x80":
+            while e < len(t) and letter(t[e]):
                 e += 1
             word = t[p:e]
-            if not word[:1].isupper():
-                continue
             kinds = model.kinds(word)
             if not kinds or 1 in taken[p:e]:
                 continue
@@ -448,67 +537,78 @@ class Finder:
             done = max(b, e)
             if full is None:
                 continue
-            if NOT_PERSON_AFTER.match(low[b : b + 24]):
+            if NOT_PERSON_AFTER.match(low, b):
                 continue
             out.append((a, b, "name"))
         return out
 
+    def _listed(self, low: str, p: int) -> int:
+        """End of the longest listed part at ``p``, or ``p``."""
+        return next((p + n for n in range(min(self.longest, len(low) - p), 0, -1) if low[p : p + n] in self.model.listed), p)
+
+    def _caseless(self, t: str, low: str, p: int) -> int:
+        """End of a name in a script without capitals, or 0: listed parts side by side, or one with an honorific behind or a cue before it."""
+        spaced = letter(t[p])
+        if spaced and p and letter(t[p - 1]):
+            return 0
+        e = self._listed(low, p)
+        if e == p or spaced and e < len(t) and letter(t[e]):
+            return 0
+        parts = 1
+        while True:
+            q = e + (e < len(t) and t[e] in " ・·")
+            f = self._listed(low, q) if q > e or not spaced else q
+            if f == q or t[q].isupper() or t[q].islower() or letter(t[q]) and f < len(t) and letter(t[f]):
+                break
+            e, parts = f, parts + 1
+        if parts > 1 and (e - p > 2 or self.model.listed[low[p]] != self.model.listed[low[e - 1]]) or HONORIFIC.match(t, e):
+            return e
+        return e if e - p > 1 and NAME_CUES.search(phrase_before(low, p)) else 0
+
     def _word_kinds(self, w: str) -> set[str]:
         return self.model.kinds(w) if w[:1].isupper() else set()
 
     def _expand(self, t: str, p: int, e: int, kinds: set[str]) -> tuple[int, int, str | None]:
         """Grows a name part to the whole name; the third value is None when it names no person."""
         word = t[p:e]
-        before = t[max(0, p - 40) : p]
+        before = words_before(t, p)
         a, b = p, e
-        particle = "(?:" + "|".join(PARTICLES) + ")"
-        family = rf"(?:{particle} )?(?:{CAP}|{UP})(?:-(?:{CAP}|{UP}))?"
-        upper_family = word.isupper() and "family" in kinds
-        if upper_family:
-            m = re.match(rf"(?:-{UP})? ({CAP})(?: [A-Z]\.(?![A-Za-z]))?", t[e:])
+        if word.isupper() and "family" in kinds:
+            m = GIVEN_AFTER.match(t, e)
             if m and "given" in self._word_kinds(m[1]):
-                return a, e + m.end(), "family first"
+                return a, m.end(), "family first"
         if "given" in kinds:
-            m = re.match(rf"(?:\s(?:[A-Z]\.\s)*)({family})", t[e : e + 60])
+            m = FAMILY_AFTER.match(t, e)
             if m:
-                parts = re.findall(rf"{CAP}|{UP}", m[1])
-                hyphen = "-" in m[1]
-                known = [w for w in parts if "family" in self.model.kinds(w)]
-                if known and (not hyphen or len(known) >= 1):
-                    return a, e + m.end(), "given family"
-                if re.match(rf"\s(?:[A-Z]\.\s)*{particle} ", t[e : e + 20]):
-                    return a, e + m.end(), "given particle"
-                if re.match(r"\s(?:[A-Z]\.\s)+", t[e : e + 6]) and NAME_CUES.search(plain(before)[0].lower()):
-                    return a, e + m.end(), "given initial"
-            m = re.match(r"\s[A-Z]\.(?=$|[\s,;.)])", t[e : e + 5])
-            if m and re.match(r"\s[A-Z]\.(?:\s*$|\s*[,;)\n])", t[e : e + 7]):
-                return a, e + m.end(), "given initial"
-            if "family" not in kinds or not re.search(r"(?:[A-Z]\. )$", before):
-                nxt = re.match(r"[ -]([A-Za-z]+)", t[e:])
-                if NOT_PERSON_BEFORE.search(before.lower()) and "given" not in kinds:
-                    return a, b, None
-                if nxt and t[e] == "-":
-                    tail = re.match(rf"-{CAP}(?: {family})?", t[e:])
-                    if tail:
-                        return a, e + tail.end(), "double given"
+                if any("family" in self.model.kinds(w) for w in re.findall(rf"{CAP}|{UP}", m[1])):
+                    return a, m.end(), "given family"
+                if PARTICLE_AFTER.match(t, e):
+                    return a, m.end(), "given particle"
+                if INITIALS_AFTER.match(t, e) and NAME_CUES.search(plain(before)[0].lower()):
+                    return a, m.end(), "given initial"
+            m = INITIAL_END.match(t, e)
+            if m:
+                return a, m.end(), "given initial"
+            if "family" not in kinds or not re.search(rf"(?:[{CAPITALS}]\. )$", before):
+                tail = DOUBLE_AFTER.match(t, e)
+                if tail:
+                    return a, tail.end(), "double given"
                 if kinds == {"given"} or NAME_CUES.search(before.lower()):
                     return a, b, "given"
         if "family" in kinds:
-            tail = re.match(rf"-(?:{CAP}|{UP})", t[e:])
+            tail = JOINED_AFTER.match(t, e)
             if tail:
-                b = e + tail.end()
-            m = re.search(rf"((?:(?<![A-Za-z0-9])[A-Z]\. ?)+)((?:{particle} )?)$", before)
+                b = tail.end()
+            m = INITIALS_BEFORE.search(before)
             if m:
                 return p - (len(before) - m.start()), b, "initial family"
-            m = re.search(rf"({CAP}) ((?:{particle} )?)$", before)
+            m = GIVEN_BEFORE.search(before)
             if m and m[1].lower() not in TITLES and (self._word_kinds(m[1]) or m[2]) and not NOT_PERSON_BEFORE.search(m[0].lower()):
                 return p - (len(before) - m.start()), b, "given family"
-            m = re.search(rf"(?<![A-Za-z0-9])({CAP}(?: [A-Z]\.)?) ((?:{particle} )?)$", before)
+            m = CUED_BEFORE.search(before)
             if m and m[1].lower() not in TITLES and NAME_CUES.search(before[: m.start()].lower()):
                 return p - (len(before) - m.start()), b, "unlisted given"
-            if re.search(r"(?i:\b(?:mr|mrs|ms|miss|dr|prof|frau|herrn?|mme|mlle|monsieur|madame|sr|sra)\.?\s)$", before):
-                return a, b, "titled"
-            if re.match(r"(?:様|さん|氏|先生|女士|小姐|君)", t[b : b + 2]):
+            if TITLE_BEFORE.search(before) or HONORIFIC.match(t, b):
                 return a, b, "titled"
         return a, b, None
 

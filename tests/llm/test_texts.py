@@ -328,6 +328,31 @@ def test_personal_details(text, found):
     assert f.find(None) == [] and pii.redact(None, []) is None
 
 
+FAR = "which I had to renew again in the spring because of the long trip that my sister and I were planning to the coast"
+
+
+@pytest.mark.parametrize("text,found", [
+    # no window: long parts, and cues far from their number
+    ("Mail " + "a" * 120 + "@" + "sub-domain." * 30 + "example now", [("email", "a" * 120 + "@" + "sub-domain." * 30 + "example")]),
+    (f"The passport {FAR} has the number 55 1234 567. Bye", [("id_number", "55 1234 567")]),
+    (f"The passport {FAR}. The number 55 1234 567 is none", []),
+    ("Order no.:          " + " " * 60 + "000-54-1779 left.", []),
+    ("At 13 " + " ".join(["Westernhamptonshirefordbridge"] * 4) + " Terrace, Zihami", [("address", "13 " + " ".join(["Westernhamptonshirefordbridge"] * 4) + " Terrace, Zihami")]),
+    ("Call +(44) 1632 960696 or (212) 555-0131", [("phone", "+(44) 1632 960696"), ("phone", "(212) 555-0131")]),
+    ("Met J. R. R. T. A. B. C. D. E. F. Kravevik and Tavinka " + "Kravbury" + "x" * 80 + "-Kravevik", [("name", "J. R. R. T. A. B. C. D. E. F. Kravevik"), ("name", "Tavinka " + "Kravbury" + "x" * 80 + "-Kravevik")]),
+    # names of every script
+    ("Письмо для Ольга Смирнова, а не Смирнов мост.", [("name", "Ольга Смирнова")]),
+    ("昨天王小明来了。王府井很大。小明说好。请联系小明。", [("name", "王小明"), ("name", "小明")]),
+    ("田中・花子と田中さん。田中橋は古い。", [("name", "田中・花子"), ("name", "田中")]),
+    ("كتب ليلى حداد رسالة وليلى", [("name", "ليلى حداد")]),
+    ("Ολγα Παππου ηρθε", [("name", "Ολγα Παππου")]),
+])
+def test_personal_details_without_windows_and_in_every_script(text, found):
+    more = [("Ольга", "given"), ("Смирнова", "family"), ("王", "family"), ("小明", "given"), ("田中", "family"), ("花子", "given"), ("ليلى", "given"), ("حداد", "family"), ("Όλγα", "given"), ("Παππού", "family")]
+    got = pii.Finder(pii.learn_names(NAMES + more)).find(text)
+    assert [(k, text[a:b]) for k, a, b in got] == found
+
+
 def test_budgets():
     targets = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)]
     leaves = {("a", "en"): 600, ("a", "de"): 400, ("b", "en"): 100, ("c", "fr"): 1000}
@@ -365,12 +390,12 @@ def test_diversity_reads_the_whole_text():
     assert readability.features(opening + " The cat sat down." * 25)[at] < readability.features(varied)[at] - 0.1
 
 
-@pytest.mark.parametrize("unit", ["a. B ", "(a. b", "“a. b” ", "「あ。い」", "あ…い", "なぜ？と", "กา กา", "a ... b", "! . ", "1. ", "= ", " ", "\n", "# x\n", "- x\n", "<b>x</b> ", "<pre ", "$x ", "a@b.cd ", "Tavinka Kravevik ", "555-0101 ", "the same six words come again here. ", "ﾀﾞ", "​", "&amp;", "[[x", "{{x}} ", "| a |\n"])
+@pytest.mark.parametrize("unit", ["a. B ", "(a. b", "“a. b” ", "「あ。い」", "あ…い", "なぜ？と", "กา กา", "a ... b", "! . ", "1. ", "= ", " ", "\n", "# x\n", "- x\n", "<b>x</b> ", "<pre ", "$x ", "a@b.cd ", "Tavinka Kravevik ", "555-0101 ", "小明的", "请Tavinka的", "passport ", "Dr. ", "a.", "(at)", "1 Old Street ", "the same six words come again here. ", "ﾀﾞ", "​", "&amp;", "[[x", "{{x}} ", "| a |\n"])
 def test_long_texts_end_soon(unit):
     import time
 
     text = unit * (300_000 // len(unit))
-    finder = pii.Finder(pii.learn_names(NAMES))
+    finder = pii.Finder(pii.learn_names([*NAMES, ("小明", "given")]))
     index = leakage.build_index([(1, "the same six words come again here and some more of them follow")])
     for f in (convert, measures, lambda t: view_sentences(t, [0]), textforms.fold, finder.find, lambda t: leakage.leaks(t, index), readability.features):
         began = time.time()
