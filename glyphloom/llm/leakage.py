@@ -21,6 +21,8 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+import xxhash
+
 from glyphloom.llm.textforms import fold
 
 SHARE = 0.5
@@ -75,7 +77,7 @@ def build_index(items: list[tuple[int, str | None]]) -> ItemIndex:
         n = run_length(len(w))
         lengths.add(n)
         for i in range(len(w) - n + 1):
-            grams.setdefault(hash_gram(w[i : i + n]), []).append((k, i))
+            grams.setdefault(" ".join(w[i : i + n]), []).append((k, i))
     return ItemIndex(ids, words, grams, sorted(lengths))
 
 
@@ -87,8 +89,10 @@ def pieces(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def hash_gram(words: list[str]) -> str:
-    return " ".join(words)
+def gram_key(words: list[str]) -> int:
+    """A 64-bit key of an n-gram, for joins; what meets by chance is turned away by the verifier."""
+    k = xxhash.xxh64_intdigest(" ".join(words))
+    return k - (1 << 64) if k >> 63 else k
 
 
 def places(item: list[str]) -> dict[str, int]:

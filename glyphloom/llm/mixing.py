@@ -12,14 +12,10 @@ import hashlib
 import math
 from dataclasses import dataclass, field
 
-#: Parameter: the domain each source belongs to; a source not listed is its own domain.
-DOMAINS = {
-    "subtitles": "speech", "assembly": "speech", "lectures": "speech", "webcrawl": "web", "forum": "web",
-    "manuals": "technical", "patents": "technical", "newswire": "press", "letters": "literary", "folklore": "literary",
-    "glosses": "literary",
-}
 TOKENIZER = "byte_bpe_50k.tiktoken"
 TOKENIZER_DIR = "/opt/tokenizers"
+#: Parameter that belongs to the tokenizer: how it splits a text before it joins bytes.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @dataclass
@@ -105,22 +101,16 @@ def leaf_plans(root: Node) -> list[tuple[str, str, int, int]]:
     return out
 
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, str], object] = {}
 
 
-def encoder(path: str):
-    """A tiktoken encoder from a public rank file (a parameter; nothing is trained or copied)."""
-    if path not in _encoders:
+def encoder(path: str, pattern: str = SPLIT_PATTERN):
+    """A tiktoken encoder from a public rank file and its split pattern (parameters; nothing is trained or copied)."""
+    if (path, pattern) not in _encoders:
         import tiktoken
 
-        try:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        except ImportError:
-            pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        name = hashlib.md5(path.encode()).hexdigest()
-        _encoders[path] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        name = hashlib.md5(f"{path} {pattern}".encode()).hexdigest()
+        _encoders[path, pattern] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[path, pattern]

@@ -303,11 +303,21 @@ def sentence_spans(views: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- 5 look-alikes
 
 
-def look_keys(df: DataFrame, column: str, keep_text: bool = False) -> DataFrame:
-    """(prep_id[, canonical_text, skeleton], raw_key, look_key) by SQL that DuckDB runs inside the Arrow batches."""
+def look_keys(df: DataFrame, column: str, keep_text: bool = False, passing: tuple[str, ...] = ()) -> DataFrame:
+    """(prep_id[, passing columns, canonical_text, skeleton], raw_key, look_key), a row a row, by SQL that DuckDB runs inside the Arrow batches.
+
+    A null text has no form and gives no row; an empty one keeps an empty form.
+    """
     texts = "canonical_text string, skeleton string, " if keep_text else ""
-    rows = spread(df.where(F.col(column).isNotNull()).select("prep_id", F.col(column).alias("text")))
-    return rows.mapInArrow(lambda b: textforms.key_batches(b, keep_text), f"prep_id bigint, {texts}raw_key string, look_key string")
+    along = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in passing)
+    rows = spread(df.where(F.col(column).isNotNull()).select("prep_id", *passing, F.col(column).alias("text")))
+    return rows.mapInArrow(lambda b: textforms.key_batches(b, keep_text, passing), f"prep_id bigint, {along}{texts}raw_key string, look_key string")
+
+
+def canonical_texts(prepared: DataFrame) -> DataFrame:
+    """(prep_id, received_us, canonical_text, skeleton, look_key) of every delivered row; no text is exchanged."""
+    rows = prepared.withColumn("received_us", F.unix_micros("received_at"))
+    return look_keys(rows, "text", keep_text=True, passing=("received_us",)).drop("raw_key")
 
 
 def look_members(prepared: DataFrame, views: DataFrame) -> DataFrame:
@@ -333,86 +343,148 @@ def look_alike_pairs(prepared: DataFrame, views: DataFrame) -> DataFrame:
     return pairs.select("field_name", "prep_id_a", "prep_id_b").distinct()
 
 
-def look_classes(prepared: DataFrame) -> DataFrame:
-    """One row a document: its class (smallest prep_id of the same look), the class size and the number of spellings."""
-    m = look_keys(prepared, "text").distinct()
-    by = m.groupBy("look_key").agg(F.min("prep_id").alias("class_id"), F.count_distinct("prep_id").alias("n_documents"), F.count_distinct("raw_key").alias("n_spellings"))
-    return m.join(by, "look_key").select("prep_id", "class_id", "n_documents", "n_spellings").distinct()
+def look_classes(prepared: DataFrame, views: DataFrame) -> DataFrame:
+    """One row a field and document: its class (smallest prep_id of the same look), the class size and the number of spellings.
+
+    Classes are aggregated map-side first; members meet the one row of their class in an equi-join, whose hot
+    looks AQE splits on the members' side.
+    """
+    m = cut(look_members(prepared, views))
+    by = m.groupBy("field_name", "look_key").agg(F.min("prep_id").alias("class_id"), F.count_distinct("prep_id").alias("n_documents"), F.count_distinct("raw_key").alias("n_spellings"))
+    return m.join(by, ["field_name", "look_key"]).select("field_name", "prep_id", "class_id", "n_documents", "n_spellings").distinct()
+
+
+def look_links(prepared: DataFrame, views: DataFrame) -> DataFrame:
+    """(field_name, class_id, spelling_id, n_documents): one row a spelling of every class with several.
+
+    ``spelling_id`` is the smallest prep_id that is spelled so, ``class_id`` the smallest of the class; together with the
+    members' own classes these pairs of representatives carry every link, whatever the number of copies.
+    """
+    one = look_members(prepared, views).groupBy("field_name", "look_key", "raw_key").agg(F.min("prep_id").alias("spelling_id"), F.count("*").alias("n_documents"))
+    spellings = F.array_sort(F.collect_list(F.struct("spelling_id", "n_documents")))
+    classes = one.groupBy("field_name", "look_key").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("k"), spellings.alias("s")).where("k > 1")
+    return classes.select("field_name", "class_id", F.inline("s"))
 
 
 # ---------------------------------------------------------------- 6 leakage
 
-#: Broadcast bound of the item index; beyond it the items are scanned in blocks of this many words.
-MAX_INDEX_WORDS = 2_000_000
+#: Item words up to which one index is broadcast (some 100 MB in a worker); beyond it n-grams of items and documents meet in a join.
+MAX_INDEX_WORDS = 200_000
+#: Salts of the candidates of one document beyond the bound.
+CANDIDATE_SALTS = 16
 _LEAK = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_words", pa.int64()), ("item_words", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 LEAK_DDL = "doc_id bigint, item_id bigint, matched_words bigint, item_words bigint, first_word bigint, last_word bigint"
+_GRAM = pa.schema([("id", pa.int64()), ("gram", pa.int64())])
 
 
-def item_blocks(items: DataFrame) -> list:
-    """Broadcast indexes of the items.  The item words are counted first; beyond ``MAX_INDEX_WORDS`` the items go out in blocks."""
-    sc = items.sparkSession.sparkContext
-    rows = items.where("item_id is not null and text is not null").select("item_id", "text", F.size(F.split("text", r"\s+")).cast("bigint").alias("n"))
-    total = rows.agg(F.sum(F.greatest("n", F.length("text") / 8))).first()[0] or 0
-    blocks = max(1, int(-(-total // MAX_INDEX_WORDS)))
-    out = []
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else rows
-        out.append(sc.broadcast(leakage.build_index([(r["item_id"], r["text"]) for r in part.collect()])))
-    return out
+def usable_items(items: DataFrame) -> DataFrame:
+    return items.where("item_id is not null and text is not null").select("item_id", "text")
+
+
+def item_index(items: DataFrame):
+    """The broadcast index of the items, or None where their words, counted first, are more than ``MAX_INDEX_WORDS``."""
+    rows = usable_items(items)
+    total = rows.agg(F.sum(F.greatest(F.size(F.split("text", r"\s+")), F.length("text") / 8))).first()[0] or 0
+    if total > MAX_INDEX_WORDS:
+        return None
+    return items.sparkSession.sparkContext.broadcast(leakage.build_index([(r["item_id"], r["text"]) for r in rows.collect()]))
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched_words, item_words, first_word, last_word) of every leaked passage; one scan a block of items."""
-    out = None
-    for shared in item_blocks(items):
+    """(doc_id, item_id, matched_words, item_words, first_word, last_word) of every leaked passage.
 
-        def each(doc_id, text, shared=shared):
-            for item_id, matched, n, a, b in leakage.leaks(text, shared.value):
-                yield doc_id, item_id, matched, n, a, b
+    Null or empty documents and items leak nothing.  Items within the bound are a broadcast hash set that one scan of the
+    documents looks up; more items are found by ``joined_leaks``, with the same rows.
+    """
+    shared = item_index(items)
+    if shared is None:
+        return joined_leaks(documents, items)
 
-        found = _map(documents, ["doc_id", "text"], LEAK_DDL, _LEAK, each)
-        out = found if out is None else out.unionByName(found)
-    return out
+    def each(doc_id, text):
+        for item_id, matched, n, a, b in leakage.leaks(text, shared.value):
+            yield doc_id, item_id, matched, n, a, b
+
+    return _map(documents, ["doc_id", "text"], LEAK_DDL, _LEAK, each)
+
+
+def joined_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """The same for any number of items, without a broadcast: hashed n-grams of documents and items meet in a join.
+
+    Documents and items that share an n-gram are candidates, folded to distinct pairs before any text is fetched.  A
+    document goes out with its candidate items in ``CANDIDATE_SALTS`` salted groups and is verified as in the scan.
+    """
+    rows = usable_items(items)
+    sizes = _map(rows, ["text"], "n int", pa.schema([("n", pa.int32())]), lambda t: [(leakage.run_length(len(w)),)] if (w := leakage.leak_words(t)) else [])
+    lengths = sorted(r["n"] for r in sizes.distinct().collect())  # a few small numbers, whatever the items
+
+    def own(item_id, text):
+        w = leakage.leak_words(text)
+        if w:
+            n = leakage.run_length(len(w))
+            yield from {(item_id, leakage.gram_key(w[i : i + n])) for i in range(len(w) - n + 1)}
+
+    def all_(doc_id, text):
+        w = leakage.leak_words(text)
+        yield from {(doc_id, leakage.gram_key(w[i : i + n])) for n in lengths for i in range(len(w) - n + 1)}
+
+    ddl = "id bigint, gram bigint"
+    of_items = _map(rows, ["item_id", "text"], ddl, _GRAM, own).select(F.col("id").alias("item_id"), "gram")
+    of_docs = _map(documents.where("doc_id is not null"), ["doc_id", "text"], ddl, _GRAM, all_).select(F.col("id").alias("doc_id"), "gram")
+    pairs = of_docs.join(of_items, "gram").select("doc_id", "item_id").distinct()
+    salt = F.pmod(F.xxhash64("item_id"), F.lit(CANDIDATE_SALTS))
+    groups = pairs.join(rows.withColumnRenamed("text", "item_text"), "item_id").groupBy("doc_id", salt.alias("salt")).agg(F.collect_list(F.struct("item_id", "item_text")).alias("found"))
+    # two contents under one id are two rows here, each verified against the candidates of both
+    ready = documents.select("doc_id", "text").join(groups, "doc_id")
+
+    def each(doc_id, text, found):
+        index = leakage.build_index([(x["item_id"], x["item_text"]) for x in found])
+        for item_id, matched, n, a, b in leakage.leaks(text, index):
+            yield doc_id, item_id, matched, n, a, b
+
+    return _map(ready, ["doc_id", "text", "found"], LEAK_DDL, _LEAK, each)
 
 
 def decontaminated(documents: DataFrame, items: DataFrame, drop_share: float = 0.5) -> DataFrame:
     """One row a document: leaked spans removed, or the text null where they are more than ``drop_share`` of its words.
 
-    All blocks of items are read in one pass over each document, so no text is shuffled or joined.
+    Within the bound of the index the document is scanned and cut in one pass, so no text is shuffled; beyond it the
+    spans of ``joined_leaks`` are joined back.  A null text stays null and is kept.
     """
-    blocks = item_blocks(items)
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("item_ids", pa.list_(pa.int64())), ("action", pa.string())])
+    ddl = "doc_id bigint, text string, item_ids array<bigint>, action string"
 
-    def each(doc_id, text):
-        found = [x for shared in blocks for x in leakage.leaks(text, shared.value)]
+    def cut_out(doc_id, text, found):
         if not found or text is None:
-            yield doc_id, text, None, "kept"
-            return
+            return doc_id, text, None, "kept"
         ids = sorted({x[0] for x in found})
         gone = {i for x in found for i in range(x[3], x[4])}
         pieces = leakage.pieces(text)
         if len(gone) > drop_share * sum(n for n, _ in pieces):
-            yield doc_id, None, ids, "removed"
-            return
+            return doc_id, None, ids, "removed"
         at, kept = 0, []
         for n, piece in pieces:
             if not (n and gone.issuperset(range(at, at + n))):
                 kept.append(piece)
             at += n
-        yield doc_id, "".join(kept).strip(), ids, "cut"
+        return doc_id, "".join(kept).strip(), ids, "cut"
 
-    return _map(documents, ["doc_id", "text"], "doc_id bigint, text string, item_ids array<bigint>, action string", schema, each)
+    shared = item_index(items)
+    if shared is not None:
+        return _map(documents, ["doc_id", "text"], ddl, schema, lambda i, t: [cut_out(i, t, leakage.leaks(t, shared.value))])
+    spans = joined_leaks(documents, items).groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "matched_words", "item_words", "first_word", "last_word")).alias("found"))
+    ready = documents.select("doc_id", "text").join(spans, "doc_id", "left")
+    return _map(ready, ["doc_id", "text", "found"], ddl, schema, lambda i, t, f: [cut_out(i, t, [tuple(x.values()) for x in f or ()])])
 
 
 # ---------------------------------------------------------------- 7 mixing
 
 
-def token_sizes(documents: DataFrame, tokenizer: str) -> DataFrame:
+def token_sizes(documents: DataFrame, tokenizer: str, pattern: str = mixing.SPLIT_PATTERN) -> DataFrame:
     """(doc_id, source, lang, n_tokens) with even source and language codes; a null or empty text has no tokens."""
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("n_tokens", pa.int64())])
 
     def run(batches: Batches) -> Batches:
-        enc = mixing.encoder(tokenizer)
+        enc = mixing.encoder(tokenizer, pattern)
         for b in batches:
             ids, source, lang, texts = (b.column(i).to_pylist() for i in range(4))
             yield _batch(schema, [ids, source, lang, [len(enc.encode_ordinary(t)) if t else 0 for t in texts]])
@@ -424,17 +496,18 @@ def token_sizes(documents: DataFrame, tokenizer: str) -> DataFrame:
     return spread(even).mapInArrow(run, "doc_id bigint, source string, lang string, n_tokens bigint")
 
 
-#: Hash buckets of an epoch's order; only the bucket at a leaf's edge is sorted row by row.
-EPOCH_BUCKETS = 4096
+#: Records that one hash bucket of an epoch's order holds on average; only the bucket at a leaf's edge is sorted row by row.
+BUCKET_ROWS = 20_000
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: float | None = None, seed: int = 17, domains: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: float | None = None, seed: int = 17, domains: dict[str, str] | None = None, stretch: float = 1.0, pattern: str = mixing.SPLIT_PATTERN) -> tuple[DataFrame, DataFrame]:
     """(mix, shares).  mix: doc_id, source, lang, n_tokens, uses.  shares: one row a target source.
 
-    ``total_tokens`` null means the largest total at which every source that has records
-    reaches its target within its cap.  A null ``max_repeats`` counts as 1; a fractional one is
-    rounded down, as a record is used a whole number of times.  Sources without a target are
-    left out.  Leaf totals on the driver are at most targets x two-letter language codes.
+    ``total_tokens`` null means ``stretch`` times the largest total at which every source that has records
+    reaches its target within its cap; beyond 1 the short sources give what they have and their shortage goes to
+    siblings in the tree, then to other domains.  ``domains`` names the domain of a source; one not named is its own.
+    A null ``max_repeats`` counts as 1; a fractional one is rounded down, as a record is used a whole number of
+    times.  Sources without a target are left out.  Leaf totals on the driver are at most targets x two-letter language codes.
     """
     spark = documents.sparkSession
     goal = [
@@ -445,26 +518,30 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens:
     whole = sum(s for _, s, _ in goal) or 1.0
     goal = [(n, s / whole, c) for n, s, c in goal]
     known = spark.createDataFrame([(n,) for n, _, _ in goal], "source string")
-    sized = cut(token_sizes(documents, tokenizer).join(F.broadcast(known), "source", "left_semi").where("n_tokens > 0"))
-    leaves = {(r["source"], r["lang"]): r["n"] for r in sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()}
-    root = mixing.build_tree(goal, leaves, mixing.DOMAINS if domains is None else domains)
-    asked = mixing.feasible_total(goal, leaves) if total_tokens is None else float(total_tokens)
+    sized = cut(token_sizes(documents, tokenizer, pattern).join(F.broadcast(known), "source", "left_semi").where("n_tokens > 0"))
+    totals = sized.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k")).collect()
+    leaves = {(r["source"], r["lang"]): r["n"] for r in totals}
+    root = mixing.build_tree(goal, leaves, domains or {})
+    asked = mixing.feasible_total(goal, leaves) * stretch if total_tokens is None else float(total_tokens)
     mixing.share_out(root, asked)
-    plans = spark.createDataFrame(mixing.leaf_plans(root), "source string, lang string, whole int, rest bigint")
-    # the order of the last, partial epoch of a leaf
+    buckets = {(r["source"], r["lang"]): -(-r["k"] // BUCKET_ROWS) for r in totals}
+    plans = spark.createDataFrame([(*p, buckets[p[:2]]) for p in mixing.leaf_plans(root)], "source string, lang string, whole int, rest bigint, buckets bigint")
+    # the order of the last, partial epoch of a leaf: hash buckets, then hashes
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    rows = sized.join(F.broadcast(plans), ["source", "lang"]).withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(EPOCH_BUCKETS)))
+    rows = sized.join(F.broadcast(plans), ["source", "lang"]).withColumn("h", h).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.col("buckets")))
     sums = rows.where("rest > 0").groupBy("source", "lang", "rest", "bucket").agg(F.sum("n_tokens").alias("t"))
-    run = F.sum("t").over(Window.partitionBy("source", "lang").orderBy("bucket"))
-    edges = sums.withColumn("upto", run).select("source", "lang", "bucket", (F.col("upto") - F.col("t")).alias("below"), "upto")
-    marked = rows.join(edges, ["source", "lang", "bucket"], "left")
-    inside = F.col("upto") <= F.col("rest")
-    edge = (F.col("upto") > F.col("rest")) & (F.col("below") < F.col("rest"))
-    order = Window.partitionBy("source", "lang", "bucket").orderBy("h", "doc_id")
-    at_edge = marked.where(edge).withColumn("after", F.col("below") + F.sum("n_tokens").over(order))
+    upto = F.sum("t").over(Window.partitionBy("source", "lang").orderBy("bucket"))
+    over = sums.withColumn("upto", upto).where("upto > rest")
+    # one row a leaf: its edge bucket and the tokens before it; without one the whole leaf goes in
+    edges = over.groupBy("source", "lang").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("t")).alias("below")), "bucket").alias("edge"))
+    marked = rows.join(F.broadcast(edges), ["source", "lang"], "left")
+    at_edge = (F.col("rest") > 0) & (F.col("bucket") == F.col("edge.bucket"))
+    inside = (F.col("rest") > 0) & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket")))
+    order = Window.partitionBy("source", "lang").orderBy("h", "doc_id")
+    after = F.col("edge.below") + F.sum("n_tokens").over(order)
     # the record at the edge goes in when that brings the leaf nearer to its budget
-    taken = at_edge.withColumn("extra", (F.col("after") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).drop("after")
-    plain = marked.where(~F.coalesce(edge, F.lit(False))).withColumn("extra", F.coalesce(inside, F.lit(False)).cast("int"))
+    taken = marked.where(at_edge).withColumn("after", after).withColumn("extra", (F.col("after") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int")).drop("after")
+    plain = marked.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", inside.cast("int"))
     out = plain.unionByName(taken).withColumn("uses", F.col("whole") + F.col("extra")).where("uses > 0")
     chosen = out.select("doc_id", "source", "lang", "n_tokens", "uses")
     have: dict[str, int] = {}

@@ -12,6 +12,14 @@ from glyphloom.plans.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = f"{mixing.TOKENIZER_DIR}/{mixing.TOKENIZER}"
+#: Parameter of the mix over these tables: the domain of each source.
+DOMAINS = {
+    "subtitles": "speech", "assembly": "speech", "lectures": "speech", "webcrawl": "web", "forum": "web",
+    "manuals": "technical", "patents": "technical", "newswire": "press", "letters": "literary", "folklore": "literary",
+    "glosses": "literary",
+}
+#: How far the stretched mix goes beyond the total at which every source still reaches its share.
+STRETCH = 2.0
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,12 +65,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
-    rows = ops.look_keys(table(prepare(spark), d, "prepared"), "text", keep_text=True)
-    return rows.select("prep_id", "canonical_text", "skeleton", "look_key").distinct()
+    return ops.canonical_texts(table(prepare(spark), d, "prepared"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    return ops.look_classes(table(prepare(spark), d, "prepared"))
+    prepare(spark)
+    return ops.look_classes(table(spark, d, "prepared"), table(spark, d, "norm_views"))
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    prepare(spark)
+    return ops.look_links(table(spark, d, "prepared"), table(spark, d, "norm_views"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,14 +88,25 @@ def p6_decontaminated(spark: SparkSession, d: str) -> DataFrame:
     return ops.decontaminated(table(spark, d, "documents"), table(spark, d, "bench_items"))
 
 
-def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+def _mix(spark: SparkSession, d: str, stretch: float = 1.0) -> tuple[DataFrame, DataFrame]:
     prepare(spark)
-    return ops.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)[0]
+    return ops.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER, domains=DOMAINS, stretch=stretch)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    prepare(spark)
-    return ops.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)[1]
+    return _mix(spark, d)[1]
+
+
+def p7_stretched(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, STRETCH)[0]
+
+
+def p7_stretched_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d, STRETCH)[1]
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +122,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         p1_found, p1_clean_text, p2_found, p2_repetition, p2_token_share, p3_found, p3_levels, p4_found, p5_found, p5_canonical,
-        p5_classes, p6_found, p6_decontaminated, p7_mix, p7_shares, p8_found, p8_redacted,
+        p5_classes, p5_links, p6_found, p6_decontaminated, p7_mix, p7_shares, p7_stretched, p7_stretched_shares, p8_found, p8_redacted,
     )}
 
 
@@ -117,9 +141,12 @@ def oracle_sql() -> dict[str, str]:
         SELECT DISTINCT a.field_name AS field_name, a.prep_id AS prep_id_a, b.prep_id AS prep_id_b
         FROM m a JOIN m b ON a.field_name = b.field_name AND a.look = b.look AND a.prep_id < b.prep_id AND a.raw_key <> b.raw_key""",
         "p5_canonical": f"""
-        SELECT DISTINCT prep_id, canonical_text, skeleton, md5(skeleton) || ':' || length(skeleton) AS look_key
-        FROM (SELECT prep_id, {canon} AS canonical_text, {skeleton} AS skeleton FROM prepared WHERE text IS NOT NULL)""",
-        "p5_classes": keyed.replace("UNION ALL", "-- ").split("-- ")[0] + """)
-        SELECT DISTINCT m.prep_id AS prep_id, class_id, n_documents, n_spellings
-        FROM m JOIN (SELECT look, min(prep_id) AS class_id, count(DISTINCT prep_id) AS n_documents, count(DISTINCT raw_key) AS n_spellings FROM m GROUP BY look) k ON m.look = k.look""",
+        SELECT prep_id, epoch_us(received_at) AS received_us, canonical_text, skeleton, md5(skeleton) || ':' || length(skeleton) AS look_key
+        FROM (SELECT prep_id, received_at, {canon} AS canonical_text, {skeleton} AS skeleton FROM prepared WHERE text IS NOT NULL)""",
+        "p5_classes": keyed + """
+        SELECT DISTINCT m.field_name AS field_name, m.prep_id AS prep_id, class_id, n_documents, n_spellings
+        FROM m JOIN (SELECT field_name, look, min(prep_id) AS class_id, count(DISTINCT prep_id) AS n_documents, count(DISTINCT raw_key) AS n_spellings FROM m GROUP BY ALL) k
+        ON m.look = k.look AND m.field_name = k.field_name""",
+        "p5_links": keyed + """, s AS (SELECT field_name, look, raw_key, min(prep_id) AS spelling_id, count(DISTINCT prep_id) AS n_documents FROM m GROUP BY ALL)
+        SELECT field_name, class_id, spelling_id, n_documents FROM (SELECT *, min(spelling_id) OVER w AS class_id, count(*) OVER w AS k FROM s WINDOW w AS (PARTITION BY field_name, look)) WHERE k > 1""",
     }

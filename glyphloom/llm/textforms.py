@@ -37,29 +37,56 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
              "ǆ": "dž", "ǉ": "lj", "ǌ": "nj", "ĳ": "ij", "Ĳ": "IJ", "‼": "!!", "⁇": "??", "⁈": "?!", "⁉": "!?"}
 
 
-def _single_forms() -> dict[str, str]:
-    """Compatibility characters whose form is one other character: width variants, letter-like and styled letters."""
-    out: dict[str, str] = {}
-    ranges = [(0xFF01, 0xFF9D), (0xFFE0, 0xFFEE), (0x2100, 0x214F), (0x1D400, 0x1D7FF), (0x2460, 0x24FF), (0x2160, 0x217F)]
-    for a, b in ranges:
-        for o in range(a, b + 1):
-            c = chr(o)
-            k = unicodedata.normalize("NFKC", c)
+# Blocks of compatibility characters with the shape of ordinary ones: width variants, letter-like and
+# styled letters, numerals, squared units, Arabic presentation forms.
+FORM_BLOCKS = ((0xFF01, 0xFF9D), (0xFFA1, 0xFFDC), (0xFFE0, 0xFFEE), (0x2100, 0x214F), (0x2160, 0x217F), (0x2460, 0x24FF), (0x3371, 0x33DF), (0xFB50, 0xFDFB), (0xFE80, 0xFEFC), (0x1D400, 0x1D7FF))
+
+
+def ordinary(c: str) -> str:
+    """The ordinary form of a compatibility character: one step for width variants (half-width Hangul stays a letter of its own), else NFKC."""
+    kind, _, codes = unicodedata.decomposition(c).partition(" ")
+    if kind in ("<narrow>", "<wide>"):
+        return "".join(chr(int(x, 16)) for x in codes.split())
+    return unicodedata.normalize("NFKC", c)
+
+
+def forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Compatibility characters whose form is one other character, and those of several letters."""
+    one: dict[str, str] = {}
+    more: dict[str, str] = {}
+    for a, b in FORM_BLOCKS:
+        for c in map(chr, range(a, b + 1)):
+            k = ordinary(c)
             if len(k) == 1 and k != c:
-                out[c] = k
+                one[c] = k
+            elif len(k) > 1 and not k[0].isspace() and not (0x2100 <= ord(c) < 0x2160 or 0x2460 <= ord(c) <= 0x24FF):
+                more[c] = k
+    return one, more
+
+
+def accented(alike: dict[str, str]) -> dict[str, str]:
+    """Composed letters over a look-alike base (Cyrillic yo, Greek omicron with tonos): the Latin letter with the same accent."""
+    out: dict[str, str] = {}
+    for c in map(chr, (*range(0x370, 0x530), *range(0x1F00, 0x2000))):
+        base = unicodedata.normalize("NFD", c)
+        if len(base) > 1 and base[0] in alike:
+            to = unicodedata.normalize("NFC", alike[base[0]] + base[1:])
+            if len(to) == 1:
+                out[c] = to
     return out
 
 
-def tables() -> tuple[dict[str, str], dict[str, str]]:
-    compat = _single_forms()
+def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
+    compat, more = forms()
     compat.update({c: " " for c in SPACES})
     compat.update({c: "-" for c in HYPHENS})
     compat.update(MARKS)
     alike = dict(zip(CYRILLIC + GREEK + ARMENIAN, CYRILLIC_TO + GREEK_TO + ARMENIAN_TO, strict=True))
-    return compat, {k: v for k, v in alike.items() if k not in ROUGH}
+    alike = {k: v for k, v in alike.items() if k not in ROUGH}
+    return compat, alike | accented(alike), {k: v for k, v in (more | LIGATURES).items() if k not in INVISIBLE}
 
 
-COMPAT, ALIKE = tables()
+COMPAT, ALIKE, SEVERAL = tables()
 COMPAT = {k: v for k, v in COMPAT.items() if k not in INVISIBLE}
 
 
@@ -72,15 +99,19 @@ def form_sql(column: str) -> tuple[str, str]:
     e = f"regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), chr(13), chr(10), 'g')"
     e = f"regexp_replace({e}, '[' || {_quote(INVISIBLE)} || ']', '', 'g')"
     e = f"translate({e}, {_quote(''.join(COMPAT))}, {_quote(''.join(COMPAT.values()))})"
-    for a, b in LIGATURES.items():
-        e = f"replace({e}, {_quote(a)}, {_quote(b)})"
+    spelled = "t"
+    for a, b in SEVERAL.items():
+        spelled = f"replace({spelled}, {_quote(a)}, {_quote(b)})"
+    # characters of several letters are rare: the replacements run only over texts that hold one
+    held = _quote("[" + "".join(SEVERAL) + "]")
+    e = f"list_transform([{e}], lambda t: CASE WHEN regexp_matches(t, {held}) THEN {spelled} ELSE t END)[1]"
     skeleton = f"translate({e}, {_quote(''.join(ALIKE))}, {_quote(''.join(ALIKE.values()))})"
     trim = "regexp_replace(regexp_replace(nfc_normalize({}), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n+$', '')"
     return trim.format(e), trim.format(skeleton)
 
 
 _DROP = {ord(c): None for c in INVISIBLE}
-_ONE = {**_DROP, **{ord(k): v for k, v in COMPAT.items()}, **{ord(k): v for k, v in LIGATURES.items()}}
+_ONE = {**_DROP, **{ord(k): v for k, v in COMPAT.items()}, **{ord(k): v for k, v in SEVERAL.items()}}
 _ALL = {**_ONE, **{ord(k): v for k, v in ALIKE.items()}}
 
 
@@ -106,14 +137,15 @@ def duck():
     return _connection
 
 
-def key_batches(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """(prep_id, text) batches to (prep_id, raw_key, look_key[, canonical_text, skeleton]) by embedded SQL."""
+def key_batches(batches: Iterator[pa.RecordBatch], keep_text: bool, passing: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
+    """(prep_id, passing columns, text) batches to (prep_id, passing columns[, canonical_text, skeleton], raw_key, look_key) by embedded SQL."""
     con = duck()
     canon, skeleton = form_sql("text")
+    along = "".join(f'"{c}", ' for c in passing)
     texts = "canon AS canonical_text, skel AS skeleton," if keep_text else ""
     sql = (
-        f"SELECT prep_id, {texts} md5(text) AS raw_key, md5(skel) || ':' || length(skel) AS look_key "
-        f"FROM (SELECT prep_id, text, {canon if keep_text else 'NULL'} AS canon, {skeleton} AS skel FROM part)"
+        f"SELECT prep_id, {along}{texts} md5(text) AS raw_key, md5(skel) || ':' || length(skel) AS look_key "
+        f"FROM (SELECT prep_id, {along}text, {canon if keep_text else 'NULL'} AS canon, {skeleton} AS skel FROM part)"
     )
     for batch in batches:
         con.register("part", pa.Table.from_batches([batch]))

@@ -101,8 +101,23 @@ def test_look_alikes_against_brute_force(spark):
     got = rows(ops.look_alike_pairs(p.union(p), v))
     want = {(f, i, j) for f in ("prepared_text", "norm_text") for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and a is not None and b is not None and a != b and fold(a) == fold(b)}
     assert got == want and want
-    classes = {r["prep_id"]: r for r in ops.look_classes(p).collect()}
-    assert len(classes) == 60 and all(classes[i]["class_id"] <= i for i in classes)
+    classes = {r["prep_id"]: r for r in ops.look_classes(p.union(p), v).where("field_name = 'norm_text'").collect()}
+    look = {i: min(j for j, b in enumerate(texts) if b is not None and fold(b) == fold(a)) for i, a in enumerate(texts) if a is not None}
+    assert {i: r["class_id"] for i, r in classes.items()} == look
+    # representatives and membership carry the same links as the pairs
+    links = ops.look_links(p.union(p), v).where("field_name = 'norm_text'").collect()
+    first = {t: min(j for j, b in enumerate(texts) if b == t) for t in set(texts) - {None}}
+    several = {c for c in look.values() if len({texts[i] for i in look if look[i] == c}) > 1}
+    assert {(r["class_id"], r["spelling_id"], r["n_documents"]) for r in links} == {(look[i], i, texts.count(t)) for t, i in first.items() if look[i] in several}
+    assert ops.look_links(p.limit(0), v.limit(0)).count() == ops.look_classes(p.limit(0), v.limit(0)).count() == 0
+
+
+def test_canonical_texts_stay_where_they_are(spark):
+    df = prepared(spark, ["caf\u00e9", "cafe\u0301", None, "\u2163 \ufb01"]).withColumn("received_at", F.lit(datetime.datetime(2025, 1, 1)))
+    out = ops.canonical_texts(df.union(df))
+    got = sorted((r["prep_id"], r["canonical_text"]) for r in out.collect())
+    assert got == sorted([(0, "caf\u00e9"), (1, "caf\u00e9"), (3, "IV fi")] * 2)
+    assert "received_us" in out.columns
 
 
 def test_leaks(spark):
@@ -114,8 +129,11 @@ def test_leaks(spark):
     assert clean[1]["action"] == "removed" and clean[4]["action"] == "kept" and clean[2]["text"] is None and len(clean) == 5
     old = ops.MAX_INDEX_WORDS
     try:
-        ops.MAX_INDEX_WORDS = 50  # the items go out in blocks
-        assert rows(ops.leaked_items(docs, items).select("doc_id", "item_id")) == {(1, 7), (1, 8), (5, 7), (5, 8)}
+        whole, cut_ = rows(ops.leaked_items(docs.union(docs), items)), {str(r) for r in ops.decontaminated(docs, items).collect()}
+        ops.MAX_INDEX_WORDS = 50  # the items meet the documents in a join
+        assert ops.item_index(items) is None and rows(ops.leaked_items(docs.union(docs), items)) == whole
+        assert {str(r) for r in ops.decontaminated(docs, items).collect()} == cut_
+        assert ops.joined_leaks(docs.limit(0), items).count() == ops.joined_leaks(docs, items.limit(0)).count() == 0
     finally:
         ops.MAX_INDEX_WORDS = old
     assert ops.leaked_items(docs, items.limit(0)).count() == 0
@@ -146,6 +164,32 @@ def test_mix(spark, mixed):
     assert other != {r["doc_id"] for r in used}
 
 
+def test_stretched_mix_moves_shortages_to_siblings_first(spark, mixed):
+    targets = spark.createDataFrame([("a", 0.5, 3.0), ("c", 0.3, 3.0), ("d", 0.2, 1.0)], "source string, target_share double, max_repeats double")
+    run = lambda stretch, domains: {r["source"]: r for r in ops.mix(mixed, targets, queries.TOKENIZER, stretch=stretch, domains=domains)[1].collect()}
+    plain = run(1.0, {"c": "x", "d": "x"})
+    assert all(abs(r["reached_share"] - r["target_share"]) < 0.03 for r in plain.values())
+    both, apart = run(1.5, {"c": "x", "d": "x"}), run(1.5, {"a": "x", "d": "x"})
+    total = sum(r["used_tokens"] for r in both.values())
+    assert total == pytest.approx(1.5 * sum(r["used_tokens"] for r in plain.values()), rel=0.03)
+    for got, sibling in ((both, "c"), (apart, "a")):
+        # the short source gives what it has; its sibling takes the rest, the other domain keeps its share
+        assert got["d"]["used_tokens"] == got["d"]["source_tokens"] and got["d"]["reached_share"] < 0.15
+        share = {"a": 0.5, "c": 0.3}
+        assert got[sibling]["reached_share"] > share[sibling] + 0.05
+        other = "a" if sibling == "c" else "c"
+        assert got[other]["reached_share"] == pytest.approx(share[other], abs=0.02)
+
+
+def test_mix_with_many_buckets(spark, mixed, monkeypatch):
+    targets = spark.createDataFrame([("a", 0.4, 1.0), ("b", 0.3, 2.0), ("c", 0.3, 4.0)], "source string, target_share double, max_repeats double")
+    one = ops.mix(mixed, targets, queries.TOKENIZER)[1].collect()
+    monkeypatch.setattr(ops, "BUCKET_ROWS", 5)
+    many = ops.mix(mixed, targets, queries.TOKENIZER)
+    assert all(abs(x["used_tokens"] - y["used_tokens"]) <= 120 for x, y in zip(sorted(one), sorted(many[1].collect())))
+    assert many[0].count() == many[0].select("doc_id").distinct().count()
+
+
 def test_mix_shortage_and_empty(spark, mixed):
     targets = spark.createDataFrame([("a", 0.5, 1.0), ("d", 0.5, 2.0)], "source string, target_share double, max_repeats double")
     mix, shares = ops.mix(mixed, targets, queries.TOKENIZER, total_tokens=15_000, domains={"a": "x", "d": "x"})

@@ -219,6 +219,9 @@ def test_look_alike_forms():
     for other in (unicodedata.normalize("NFD", plain), plain.replace("e", "е"), plain.replace(" ", "\u00a0"), "The\u200b caf\u00e9 fi\u00adsh, no. 5 - ok",
                   "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in plain), plain.replace("fi", "ﬁ"), plain.replace("-", "\u2011")):
         assert other != plain and textforms.fold(other) == plain
+    # letters with accents over a look-alike, half-width Hangul, presentation forms, forms of several letters
+    for other, same in (("котёл", "котëл"), ("pr\u0450s", "pr\u00e8s"), ("\uffa1\uffc2", "\u3131\u314f"), ("\ufe91\ufe8e\ufe8f", "\u0628\u0627\u0628"), ("\ufefb", "\u0644\u0627"), ("\u2163 5 \u338f", "IV 5 kg"), ("\u03cc", "\u00f3")):
+        assert textforms.fold(other) == textforms.fold(same), (other, same)
     assert textforms.fold("ﾀﾞｶ") == "ダカ" and textforms.fold("№ 5") == "№ 5" and textforms.canonical("дом") == "дом"
 
 
