@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -55,76 +56,95 @@ def english(text: str) -> bool:
     words = [w.lower() for w in WORD.findall(text)]
     if not words or sum(map(len, words)) < 0.9 * letters:
         return False
-    counts = {lang: sum(w in stop for w in words) for lang, stop in FUNCTION_WORDS.items()}
+    seen = Counter(words)
+    counts = {lang: sum(map(seen.__getitem__, stop)) for lang, stop in FUNCTION_WORDS.items()}
     en = counts.pop("en")
     return en * 20 >= len(words) and en > max(counts.values())
 
 
 def tokens(text: str) -> list[str]:
-    return [w.lower() for w in WORD.findall(text)]
+    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
 
 
 def syllables(word: str) -> int:
     return max(1, len(re.findall(r"[aeiouy]+", word)) - (word.endswith("e") and not word.endswith("le")))
 
 
-_facts: dict[str, tuple[int, int, bool, int, int, int, int]] = {}
+#: Facts of the words met so far, a row a word: length, syllables, learned suffix, counter, subordinator, connective, coordinator.
+MAX_FACTS = 200_000
+_slots: dict[str, int] = {}
+_facts = np.zeros((MAX_FACTS, 7))
 
 
-def word_facts(word: str) -> tuple[int, int, bool, int, int, int, int]:
-    """(length, syllables, learned suffix, counter, subordinator, connective, coordinator); the table is bounded."""
-    f = _facts.get(word)
-    if f is None:
-        if len(_facts) > 200_000:
-            _facts.clear()
-        f = _facts[word] = (
-            len(word), syllables(word), bool(SUFFIX.search(word)), bucket(word), word in SUBORDINATORS, word in CONNECTIVES, word in COORDINATORS
-        )
-    return f
+def word_slots(words: list[str]) -> np.ndarray:
+    """Rows of the words in the table of facts, which starts anew when it could not hold them all."""
+    global _facts
+    if len(_slots) + len(words) > len(_facts):
+        _slots.clear()
+        if len(words) > len(_facts):
+            _facts = np.zeros((len(words), 7))
+    out = np.empty(len(words), dtype=np.int64)
+    for i, w in enumerate(words):
+        k = _slots.get(w)
+        if k is None:
+            k = _slots[w] = len(_slots)
+            _facts[k] = (len(w), syllables(w), SUFFIX.search(w) is not None, bucket(w), w in SUBORDINATORS, w in CONNECTIVES, w in COORDINATORS)
+        out[i] = k
+    return out
 
 
-def diversity(words: list[str], size: int = 100) -> float:
-    """Mean type-token ratio over all consecutive windows of ``size`` words; of the whole where there are fewer."""
-    n = len(words)
+def diversity(ids: np.ndarray, size: int = 100) -> float:
+    """Mean type-token ratio over all consecutive windows of ``size`` words (as numbers); of the whole where there are fewer."""
+    n = len(ids)
     size = min(size, n)
     last = n - size
-    seen: dict[str, int] = {}
-    types = 0
-    for i, w in enumerate(words):
-        # a word is a new type in the windows that begin after its last occurrence and hold it
-        types += max(0, min(i, last) - max(seen.get(w, -1), i - size))
-        seen[w] = i
-    return types / (size * (last + 1))
+    order = np.argsort(ids, kind="stable")
+    before = np.full(n, -1)
+    same = ids[order[1:]] == ids[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    # a word is a new type in the windows that begin after its last occurrence and hold it
+    at = np.arange(n)
+    types = np.maximum(0, np.minimum(at, last) - np.maximum(before, at - size)).sum()
+    return float(types) / (size * (last + 1))
+
+
+def quantile(x: np.ndarray, q: float) -> float:
+    """Linear quantile, as numpy's, without its overhead on short arrays."""
+    x = np.sort(x)
+    at = q * (len(x) - 1)
+    k = int(at)
+    return float(x[k] + (x[min(k + 1, len(x) - 1)] - x[k]) * (at - k))
 
 
 def features(text: str, counts: np.ndarray | None = None, total: float = 1.0) -> np.ndarray:
-    rows = []
-    words_all: list[str] = []
-    facts: list[tuple] = []
+    words: list[str] = []
+    sizes: list[int] = []
+    commas: list[int] = []
     for s in SENTENCE.split(text):
         w = tokens(s) if s else ()
-        if len(w) < 3:
-            continue
-        f = [word_facts(x) for x in w]
-        words_all += w
-        facts += f
-        sub = sum(x[4] for x in f)
-        com = s.count(",") + s.count(";")
-        rows.append((len(w), sub, sum(x[5] for x in f), sum(x[6] for x in f), com, sub + com * 0.5, sum(x[0] >= 10 for x in f) / len(w)))
-    if not rows:
+        if len(w) >= 3:
+            words += w
+            sizes.append(len(w))
+            commas.append(s.count(",") + s.count(";"))
+    if not words:
         return np.zeros(len(NAMES))
-    r = np.array(rows, dtype=float)
-    a = np.array([x[:4] for x in facts], dtype=float)
-    wl = a[:, 0]
-    sy = np.array([word_facts(x)[1] for x in set(words_all)], dtype=float)
-    rare = np.zeros(1) if counts is None else -np.log((counts[a[:, 3].astype(np.int64)] + 1.0) / (total + RARITY_BUCKETS))
-    n = r[:, 0]
+    ids = word_slots(words)
+    f = _facts[ids]
+    n, comma = np.array(sizes, dtype=float), np.array(commas, dtype=float)
+    starts = np.cumsum([0, *sizes[:-1]])
+    # sums by sentence: subordinators, connectives, coordinators, long words
+    sub, con, coo, long_ = np.add.reduceat(np.column_stack([f[:, 4:7], f[:, 0] >= 10]), starts).T
+    depth = sub + comma * 0.5
+    wl = f[:, 0]
+    sy = _facts[np.unique(ids), 1]
+    rare = np.zeros(1) if counts is None else -np.log((counts[f[:, 3].astype(np.int64)] + 1.0) / (total + RARITY_BUCKETS))
+    words_n, long10 = n.sum(), (wl >= 10).mean()
     return np.array([
-        np.log(n.mean()), np.log(np.quantile(n, 0.9)), wl.mean(), (wl >= 10).mean(), (wl >= 8).mean(), (wl <= 4).mean(),
-        rare.mean(), np.quantile(rare, 0.9), diversity(words_all), r[:, 1].sum() / n.sum() * 10, r[:, 1].max(),
-        r[:, 2].mean(), r[:, 3].sum() / n.sum() * 10, r[:, 4].mean(), r[:, 5].mean(), np.quantile(r[:, 5], 0.9),
-        a[:, 2].mean(), sy.mean(), (sy >= 4).mean(), np.log(n.mean()) * (wl >= 10).mean(), (n <= 8).mean(),
-        ((r[:, 6] > 0.3) | (r[:, 5] > 3)).mean(),
+        np.log(n.mean()), np.log(quantile(n, 0.9)), wl.mean(), long10, (wl >= 8).mean(), (wl <= 4).mean(),
+        rare.mean(), quantile(rare, 0.9), diversity(ids), sub.sum() / words_n * 10, sub.max(),
+        con.mean(), coo.sum() / words_n * 10, comma.mean(), depth.mean(), quantile(depth, 0.9),
+        f[:, 2].mean(), sy.mean(), (sy >= 4).mean(), np.log(n.mean()) * long10, (n <= 8).mean(),
+        ((long_ / n > 0.3) | (depth > 3)).mean(),
     ])
 
 

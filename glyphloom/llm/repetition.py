@@ -10,6 +10,7 @@ from glyphloom.llm.textforms import INVISIBLE as FORMS_INVISIBLE
 
 RUN = 6
 LETTERS = re.compile("(?:[^\\W_]|[\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u135d-\u135f])+")
+PLAIN = re.compile(r"[a-z0-9]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 INVISIBLE = re.compile("[" + FORMS_INVISIBLE + "]")
 SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f]")
@@ -17,6 +18,8 @@ SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3
 
 def words_of(text: str) -> list[str]:
     """Case-folded words, punctuation and invisible characters aside; combining marks stay with their letters."""
+    if text.isascii():
+        return PLAIN.findall(text.lower())
     text = INVISIBLE.sub("", text).casefold()
     return LETTERS.findall(text)
 

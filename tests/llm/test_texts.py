@@ -380,13 +380,31 @@ def test_ordinal_model_separates():
     assert readability.features("").shape == (len(readability.NAMES),)
 
 
+def test_features_by_hand(monkeypatch):
+    import numpy as np
+
+    f = dict(zip(readability.NAMES, readability.features("The old cat, because it sat, was fat. And however it ran away now; so be it!")))
+    # sentences of 8 and 9 words; one subordinator, one connective, "and" and "so" as coordinators
+    want = {"len_mean": np.log(8.5), "len_p90": np.log(8.9), "subord": 10 / 17, "subord_max": 1, "connect": 0.5, "coord": 20 / 17, "comma": 1.5, "depth": (2 + 0.5) / 2, "simple_share": 0.5}
+    assert all(f[k] == pytest.approx(v) for k, v in want.items())
+    x = np.random.RandomState(1).rand(37)
+    assert all(readability.quantile(x[:n], 0.9) == pytest.approx(np.quantile(x[:n], 0.9)) for n in range(1, 37))
+    # a full table of words starts anew and gives the same
+    text = " ".join(f"word{a}{b} is here." for a in "abcdef" for b in "ghijkl").replace("0", "")
+    whole = readability.features(text)
+    monkeypatch.setattr(readability, "_facts", np.zeros((5, 7)))
+    readability._slots.clear()
+    assert np.allclose(readability.features(text), whole)
+    readability._slots.clear()
+
+
 def test_diversity_reads_the_whole_text():
     rnd = random.Random(9)
     for _ in range(100):
         words = [f"w{rnd.randrange(rnd.randrange(1, 90))}" for _ in range(rnd.randrange(1, 300))]
         k = min(100, len(words))
         windows = [len(set(words[a : a + k])) / k for a in range(len(words) - k + 1)]
-        assert readability.diversity(words) == pytest.approx(sum(windows) / len(windows))
+        assert readability.diversity(readability.word_slots(words)) == pytest.approx(sum(windows) / len(windows))
     opening = " ".join(f"{a}{b} goes on {b}{a}." for a in ("ab", "cd", "ef", "gh", "ij") for b in ("kl", "mn", "op", "qr", "st"))
     at = readability.NAMES.index("ttr")
     varied = opening + " " + " ".join(f"{a}{b} goes on {b}{a}." for a in ("uv", "wx", "yz", "ba", "dc") for b in ("fe", "hg", "ji", "lk", "nm"))
