@@ -53,12 +53,13 @@ def in_context(r: policy.Rule, context: str) -> bool:
 class Engine:
     """Automata and patterns of one profile: rules that are off are left out before anything is scanned."""
 
-    def __init__(self, profile: str):
+    def __init__(self, profile: str | None):
+        """``profile`` null leaves every rule on."""
         import ahocorasick
 
         self.profile = profile
         self.rules = policy.rules()
-        self.on = {i for i, r in self.rules.items() if r.stance(profile) != "off"}
+        self.on = {i for i, r in self.rules.items() if profile is None or r.stance(profile) != "off"}
         self.words: dict[tuple[str, bool], object] = {}
         self.patterns: dict[str, list[tuple[str, object, tuple[frozenset[str], ...]]]] = {}
         for context in ("norm", "raw", "prose", "link", "code"):
@@ -104,6 +105,11 @@ class Engine:
         self._patterns(src, [(s, e) for s, e, fenced, info in doc.code if not (fenced and (info.split() or [""])[0] in TEXT_INFOS)], "code", None, hits)
         return widest(hits)
 
+    def scan_view(self, norm: NormView, hits: list[Hit]) -> None:
+        """The scans of the norm view alone."""
+        self._words(norm.text, "norm", norm, 0, hits)
+        self._patterns(norm.text, [(0, len(norm.text))], "norm", norm, hits)
+
     def _holds(self, text: str, context: str) -> bool:
         """Whether any case-sensitive word of a context stands anywhere in a text."""
         auto = self.words.get((context, True))

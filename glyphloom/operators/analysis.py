@@ -234,22 +234,15 @@ def analyze(df: DataFrame, profile: str | Column = "general-writing", input_form
         "doc_id", "profile", "rule_id", "family", "state", "lifecycle", "waived", "start", "end", "view", "container", "snippet", "section", "provenance",
         fix.alias("replace_with"), message.alias("message"), "word_count",
     )
-    open_ = ~F.col("waived") & (F.col("lifecycle") == "blocking")
-    gate = found.groupBy("doc_id", "sha256").agg(
-        *(F.first(c).alias(c) for c in doc_columns if c not in ("doc_id", "sha256")),
-        F.bool_or(open_ & (F.col("state") == "violation")).alias("has_violation"), F.bool_or(open_ & (F.col("state") == "candidate")).alias("has_candidate"),
-        F.count("rule_id").alias("findings"), F.bool_or(F.col("rule_id") == "J001").alias("adversarial"),
+    gated = found.groupBy("doc_id", "sha256").agg(
+        *(F.first(c).alias(c) for c in doc_columns if c not in ("doc_id", "sha256")), *gate_columns(), F.bool_or(F.col("rule_id") == "J001").alias("adversarial"),
         F.array_distinct(F.flatten(F.collect_list("waiver_notes"))).alias("waiver_notes"),
     )
-    state = (
-        F.when(F.col("status") != "ok", F.col("status")).when(F.col("has_violation"), "violations_present")
-        .when(F.col("has_candidate"), "candidates_present").otherwise("no_findings")
-    )
     notes = F.array_compact(F.array(
         F.when(F.col("bom_stripped"), "leading byte order mark stripped; offsets index the rest"), F.when(F.col("mixed_line_endings"), "mixed line endings"),
         F.when(F.col("adversarial"), "injection pattern present: every candidate needs a human reader"),
     ))
-    documents = gate.withColumn("result_state", state).select(
+    documents = gated.withColumn("result_state", F.when(F.col("status") != "ok", F.col("status")).otherwise(gate_state())).select(
         "doc_id", "profile", "input_format", "sha256", "bytes", "byte_len", "word_count", "prose_bytes", "bullets", "linked_bullets", "task_bullets", "paragraph_words",
         "status", "error", "result_state", exit_code(F.col("result_state")).alias("exit_code"), "findings", F.concat(notes, "waiver_notes").alias("notes"),
     )
@@ -257,6 +250,25 @@ def analyze(df: DataFrame, profile: str | Column = "general-writing", input_form
     return Analysis(documents, findings, segments, heads.select("doc_id", F.inline("sections")).distinct(), family_rates(findings), read, suggest)
 
 
+def gate_columns() -> list[Column]:
+    """Aggregates of the gate: unwaived blocking violations and candidates, and all findings."""
+    open_ = ~F.col("waived") & (F.col("lifecycle") == "blocking")
+    return [
+        F.bool_or(open_ & (F.col("state") == "violation")).alias("has_violation"), F.bool_or(open_ & (F.col("state") == "candidate")).alias("has_candidate"),
+        F.count("rule_id").alias("findings"),
+    ]
+
+
+def gate_state() -> Column:
+    return F.when(F.col("has_violation"), "violations_present").when(F.col("has_candidate"), "candidates_present").otherwise("no_findings")
+
+
+def gate(found: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, result_state, exit_code, findings) of resolved findings with their ``waived``."""
+    out = found.groupBy(*keys).agg(*gate_columns()).withColumn("result_state", gate_state())
+    return out.select(*keys, "result_state", exit_code(F.col("result_state")).cast("bigint").alias("exit_code"), "findings")
+
+
 def exit_code(state: Column) -> Column:
     """30 instrumentation, 40 unsupported, 10 violations, 20 candidates, 0 clean."""
     return (

@@ -5,7 +5,7 @@ Each takes DataFrames and returns one; each has the same statement in SQL in ``q
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,26 +59,40 @@ def term_hits(df: DataFrame, key: str, text: Column, delivery: str | None = None
     return out.drop(delivery).distinct() if delivery else out
 
 
-def sql_patterns() -> list[tuple[str, str]]:
-    """(rule, pattern) that both Java and RE2 read alike: no look-around, no property classes, no wide escapes."""
+#: Emoji shown as such by default: the ranges of a property that neither engine knows, in a class that both read.
+@lru_cache(maxsize=1)
+def emoji_class() -> str:
+    import regex
+
+    at = [o for o in range(0x2000, 0x20000) if regex.match(r"\p{Emoji_Presentation}", chr(o))]
+    starts = [o for o in at if o - 1 not in set(at)]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{next(o for o in range(a, 0x20001) if o not in set(at)) - 1:X}}}" for a in starts) + "]"
+
+
+def sql_patterns() -> list[tuple[str, str, bool]]:
+    """(rule, pattern, whether it is read off the ASCII view) of every pattern, in a form that Java and RE2 read alike.
+
+    Word characters and boundaries differ between the engines beyond ASCII, so patterns of ASCII text alone see a view
+    in which other characters are spaces; patterns that name other characters see the text itself.  For the presence of a match
+    a look-around beside a word character is that character.
+    """
     out = []
     for r in policy.rules().values():
         for p in r.patterns:
-            if "(?<" in p or "(?=" in p or r"\p{" in p or r"\x{" in p or not p.isascii() or r"\x27" in p:
-                continue
             flags = "i" if p.startswith(("(?i)", "(?im)")) else ""
-            body = p.removeprefix("(?im)").removeprefix("(?i)").removeprefix("(?m)")
-            out.append((r.id, f"(?m{flags}){body}"))
+            body = p.removeprefix("(?im)").removeprefix("(?i)").removeprefix("(?m)").replace(r"(?<=\w)", r"\w").replace(r"(?=\w)", r"\w").replace(r"\p{Emoji_Presentation}", emoji_class())
+            ascii_ = body.isascii() and r"\x{" not in body
+            out.append((r.id, f"(?m{flags}){body}", ascii_))
     return out
 
 
 def pattern_documents(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(rule_id, documents): documents in which any pattern of a rule matches, in one pass over the text."""
-    by: dict[str, list[str]] = {}
-    for r, p in sql_patterns():
-        by.setdefault(r, []).append(p)
-    flags = [reduce(lambda a, b: a | b, [text.rlike(p) for p in ps]).alias(r) for r, ps in by.items()]
-    once = df.select(key, *flags).groupBy(key).agg(*[F.bool_or(r).alias(r) for r in by])
+    df = df.select(key, text.alias("raw"), ascii_view(text).alias("plain"))
+    by: dict[str, list[Column]] = {}
+    for r, p, ascii_ in sql_patterns():
+        by.setdefault(r, []).append(F.col("plain" if ascii_ else "raw").rlike(p))
+    once = df.select(key, *[reduce(lambda a, b: a | b, ps).alias(r) for r, ps in by.items()]).groupBy(key).agg(*[F.bool_or(r).alias(r) for r in by])
     wide = once.agg(*[F.count_if(F.col(r)).alias(r) for r in by])
     return wide.select(F.explode(F.create_map(*[x for r in by for x in (F.lit(r), F.col(r))])).alias("rule_id", "documents"))
 
@@ -118,10 +132,10 @@ def headings(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def sections(h: DataFrame, key: str) -> DataFrame:
-    """Section of each heading: up to the next heading of the same or a higher level, by a range join inside the document."""
-    a, b = h.alias("a"), h.select(F.col(key).alias("k2"), F.col("line_no").alias("l2"), F.col("level").alias("v2")).alias("b")
-    j = a.join(b, (F.col(key) == F.col("k2")) & (F.col("l2") > F.col("line_no")) & (F.col("v2") <= F.col("level")), "left")
-    return j.groupBy(key, "line_no", "level", "title").agg(F.min("l2").alias("end_line"))
+    """Section of each heading: up to the next heading of the same or a higher level, in one pass from the last heading back."""
+    back = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = [F.last(F.when(F.col("level") <= v, F.col("line_no")), ignorenulls=True).over(back) for v in range(1, 7)]
+    return h.select(key, "line_no", "level", "title", F.element_at(F.array(*ends), F.col("level").cast("int")).alias("end_line"))
 
 
 def uniform_paragraphs(df: DataFrame, key: str, text: Column, least: int = 5, cv_percent: int = 20) -> DataFrame:
@@ -143,24 +157,25 @@ def long_sentences(df: DataFrame, key: str, text: Column, limit: int = 45) -> Da
     return df.select(key, parts.alias("p")).select(key, F.size("p").cast("bigint").alias("sentences"), F.size(F.filter("p", lambda n: n > limit)).cast("bigint").alias("long_sentences"))
 
 
-def shingle_repeats(toks: DataFrame, k: int = 8) -> DataFrame:
-    """Repeated word shingles inside a document, as a set: a shuffle on (document, shingle hash) with partial counts, no self-join."""
-    t = toks.where("word is not null").groupBy("prep_id", "tok_no").agg(F.max("word").alias("word"), F.max("seg").alias("seg"))
+def _shingles(toks: DataFrame, k: int) -> DataFrame:
+    """(prep_id, shingle, n) of ``k`` words in a row within a segment; a null word breaks the row, duplicate token rows count once."""
+    t = toks.groupBy("prep_id", "tok_no").agg(F.max("word").alias("word"), F.max("seg").alias("seg"))
     w = Window.partitionBy("prep_id").orderBy("tok_no")
-    words = [F.lead("word", i).over(w) for i in range(k)]
-    s = t.select("prep_id", F.when(F.lead("seg", k - 1).over(w) == F.col("seg"), F.concat_ws(" ", *words)).alias("shingle"))
-    c = s.where("shingle is not null").groupBy("prep_id", "shingle").agg(F.count("*").alias("n"))
+    whole = (F.lead("seg", k - 1).over(w) == F.col("seg")) & (F.count("word").over(w.rowsBetween(0, k - 1)) == k)
+    s = t.select("prep_id", F.when(whole, F.concat_ws(" ", *[F.lead("word", i).over(w) for i in range(k)])).alias("shingle"))
+    return s.where("shingle is not null").groupBy("prep_id", "shingle").agg(F.count("*").alias("n"))
+
+
+def shingle_repeats(toks: DataFrame, k: int = 8) -> DataFrame:
+    """Repeated word shingles inside a document, as a set: a shuffle on (document, shingle) with partial counts, no self-join."""
+    c = _shingles(toks, k)
     return c.groupBy("prep_id").agg(F.sum("n").alias("shingles"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("repeats"))
 
 
 def top_repeats(toks: DataFrame, k: int = 8, top: int = 20) -> DataFrame:
     """The ``top`` most frequent repeated shingles of each document, ties by the shingle itself."""
-    t = toks.where("word is not null").groupBy("prep_id", "tok_no").agg(F.max("word").alias("word"), F.max("seg").alias("seg"))
-    w = Window.partitionBy("prep_id").orderBy("tok_no")
-    s = t.select("prep_id", F.when(F.lead("seg", k - 1).over(w) == F.col("seg"), F.concat_ws(" ", *[F.lead("word", i).over(w) for i in range(k)])).alias("shingle"))
-    c = s.where("shingle is not null").groupBy("prep_id", "shingle").agg(F.count("*").alias("n")).where("n > 1")
     rank = F.row_number().over(Window.partitionBy("prep_id").orderBy(F.desc("n"), "shingle"))
-    return c.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= top)
+    return _shingles(toks, k).where("n > 1").withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= top)
 
 
 def source_lines(df: DataFrame, key: str, text: Column, code: DataFrame) -> DataFrame:
@@ -192,15 +207,22 @@ def stance_counts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(profile, stance, rules, documents): how many rules of each stance meet how many documents."""
     from glyphloom.operators.analysis import stance_table
 
-    by = docs.where("profile is not null").groupBy("profile").agg(F.count("*").alias("documents"))
+    by = docs.groupBy(F.coalesce("profile", F.lit("general-writing")).alias("profile")).agg(F.count("*").alias("documents"))
     s = stance_table(spark).groupBy("profile", "stance").agg(F.count("*").alias("rules"))
     return by.join(F.broadcast(s), "profile").select("profile", "stance", "rules", "documents")
 
 
 def waived_regions(regions: DataFrame, waivers: DataFrame) -> DataFrame:
-    """Range containment join: regions wholly inside a waived span of their kind; the first waiver in order counts."""
-    r = regions.select("prep_id", "region_no", "byte_start", "byte_end", region_kind(F.col("kind")).alias("kind")).where("kind is not null").distinct()
-    j = r.join(F.broadcast(waivers), (F.col("kind") == F.col("w_kind")) & (F.col("span_start") <= F.col("byte_start")) & (F.col("span_end") >= F.col("byte_end")))
+    """Range containment join: every region with the first waiver in order whose span of its kind holds it wholly, or null.
+
+    A region without a kind is ``unknown``.  The waivers are broadcast up to ``BROADCAST_ROWS``, counted first, else joined by kind.
+    """
+    from glyphloom.operators.waivers import BROADCAST_ROWS
+
+    if waivers.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        waivers = F.broadcast(waivers)
+    r = regions.select("prep_id", "region_no", "byte_start", "byte_end", F.coalesce(region_kind(F.col("kind")), F.lit("unknown")).alias("kind")).distinct()
+    j = r.join(waivers, (F.col("kind") == F.col("w_kind")) & (F.col("span_start") <= F.col("byte_start")) & (F.col("span_end") >= F.col("byte_end")), "left")
     return j.groupBy("prep_id", "region_no", "kind").agg(F.min("w_ord").alias("waiver"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphloom import policy
+from glyphloom import policy, view_queries
 from glyphloom.operators import analysis, native, waivers
 from glyphloom.plans.seeds import SENTENCES
 from glyphloom.plans.session import prepare, spread, table
@@ -40,8 +40,8 @@ _GRAMS = f"""w AS (SELECT prep_id, regexp_extract_all(lower(text), '[a-z0-9''-]+
  hits AS (SELECT prep_id, rule_id, family, count(*) AS hits FROM g JOIN (VALUES {_TERMS}) t(rule_id, family, gram) USING (gram) GROUP BY ALL)"""
 _KIND = """CASE WHEN k0 = 'code_block' THEN 'code_fence' ELSE k0 END"""
 _KINDS = "rk AS (SELECT *, lower(regexp_replace(regexp_replace(kind, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[ -]', '_', 'g')) AS k0 FROM regions)"
-_TOKS = "t AS (SELECT prep_id, tok_no, max(word) AS word, max(seg) AS seg FROM toks WHERE word IS NOT NULL GROUP BY ALL)"
-_SHINGLE = f"""{_TOKS}, s AS (SELECT prep_id, CASE WHEN lead(seg, 7) OVER w = seg THEN concat_ws(' ', {', '.join(f'lead(word, {i}) OVER w' for i in range(8))}) END AS shingle
+_TOKS = "t AS (SELECT prep_id, tok_no, max(word) AS word, max(seg) AS seg FROM toks GROUP BY ALL)"
+_SHINGLE = f"""{_TOKS}, s AS (SELECT prep_id, CASE WHEN lead(seg, 7) OVER w = seg AND {' AND '.join(f'lead(word, {i}) OVER w IS NOT NULL' for i in range(8))} THEN concat_ws(' ', {', '.join(f'lead(word, {i}) OVER w' for i in range(8))}) END AS shingle
  FROM t WINDOW w AS (PARTITION BY prep_id ORDER BY tok_no)), c AS (SELECT prep_id, shingle, count(*) AS n FROM s WHERE shingle IS NOT NULL GROUP BY ALL)"""
 
 
@@ -135,8 +135,7 @@ def sql_term_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sql_pattern_documents(spark: SparkSession, d: str) -> DataFrame:
-    s = _seeded(spark, d)
-    return native.pattern_documents(s.select("prep_id", native.ascii_view(F.col("text")).alias("a")), "prep_id", F.col("a"))
+    return native.pattern_documents(_seeded(spark, d), "prep_id", F.col("text"))
 
 
 def sql_widest_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -242,13 +241,17 @@ _RATE = "(CASE WHEN words > 0 THEN findings * 10000 // words ELSE 0 END)"
 
 def _pattern_sql() -> str:
     by: dict[str, list[str]] = {}
-    for r, p in native.sql_patterns():
-        by.setdefault(r, []).append(p)
-    cols = ", ".join(f"count(*) FILTER (WHERE {' OR '.join(f'regexp_matches(a, {_sql(p)})' for p in ps)}) AS {r}" for r, ps in by.items())
-    return f"WITH {_SEEDED}, v AS (SELECT regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g') AS a FROM seeded), c AS (SELECT {cols} FROM v) SELECT rule_id, documents FROM (UNPIVOT c ON COLUMNS(*) INTO NAME rule_id VALUE documents)"
+    for r, p, ascii_ in native.sql_patterns():
+        by.setdefault(r, []).append(f"regexp_matches({'a' if ascii_ else 't'}, {_sql(p)})")
+    cols = ", ".join(f"count(*) FILTER (WHERE {' OR '.join(ps)}) AS {r}" for r, ps in by.items())
+    return f"WITH {_SEEDED}, v AS (SELECT text AS t, regexp_replace(text, '[^\\x00-\\x7f]', ' ', 'g') AS a FROM seeded), c AS (SELECT {cols} FROM v) SELECT rule_id, documents FROM (UNPIVOT c ON COLUMNS(*) INTO NAME rule_id VALUE documents)"
 
 
 def oracle_sql() -> dict[str, str]:
+    return native_sql() | view_queries.oracle_sql()
+
+
+def native_sql() -> dict[str, str]:
     heads = f"""{_ONE}, l AS (SELECT prep_id, unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13), ''), chr(10)), 1) - 1 AS line_no FROM one),
  h AS (SELECT prep_id, line_no, length(regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \\t]+[^\\s]', 1)) AS level,
   trim(regexp_replace(regexp_replace(line, '^ {{0,3}}#{{1,6}}[ \\t]+', ''), '[ \\t]+#+[ \\t]*$', '')) AS title FROM l WHERE regexp_extract(line, '^ {{0,3}}(#{{1,6}})[ \\t]+[^\\s]', 1) <> '')"""
@@ -284,8 +287,8 @@ def oracle_sql() -> dict[str, str]:
  k AS (SELECT prep_id, trim(regexp_replace(line, '[\\t\\r]', ' ', 'g')) AS t FROM o WHERE NOT EXISTS (SELECT 1 FROM code_regions c WHERE c.prep_id = o.prep_id AND c.byte_start < o.s + strlen(o.line) + 1 AND o.s < c.byte_end))
  SELECT prep_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(t, '^(#\\[|#!\\[|//)') OR regexp_matches(t, '^[{{}}()\\[\\];,]+$') OR (regexp_matches(t, '[{{}};(),\\]]$') AND (regexp_matches(t, '^(pub |pub\\(crate\\) |async |unsafe )?(fn|struct|enum|impl|trait|mod|use|const|static|type|let|match|extern)\\b') OR contains(t, '::') OR contains(t, '->') OR contains(t, '=>')))) AS source_lines
  FROM k WHERE t <> '' GROUP BY prep_id""",
-        "sql_stance_counts": f"WITH {_ONE}, b AS (SELECT profile, count(*) AS documents FROM one WHERE profile IS NOT NULL GROUP BY profile), s AS (SELECT profile, stance, count(*) AS rules FROM (VALUES {_STANCE_SQL}) v(rule_id, profile, stance) GROUP BY ALL) SELECT profile, stance, rules, documents FROM b JOIN s USING (profile)",
-        "sql_waived_regions": f"WITH {_KINDS}, r AS (SELECT DISTINCT prep_id, region_no, byte_start, byte_end, {_KIND} AS kind FROM rk WHERE kind IS NOT NULL) SELECT prep_id, region_no, r.kind, min(o)::BIGINT AS waiver FROM r JOIN (VALUES {', '.join(map(str, WAIVED))}) w(o, kind, a, b) ON r.kind = w.kind AND a <= byte_start AND b >= byte_end GROUP BY ALL",
+        "sql_stance_counts": f"WITH {_ONE}, b AS (SELECT coalesce(profile, 'general-writing') AS profile, count(*) AS documents FROM one GROUP BY 1), s AS (SELECT profile, stance, count(*) AS rules FROM (VALUES {_STANCE_SQL}) v(rule_id, profile, stance) GROUP BY ALL) SELECT profile, stance, rules, documents FROM b JOIN s USING (profile)",
+        "sql_waived_regions": f"WITH {_KINDS}, r AS (SELECT DISTINCT prep_id, region_no, byte_start, byte_end, coalesce({_KIND}, 'unknown') AS kind FROM rk) SELECT prep_id, region_no, r.kind, min(o)::BIGINT AS waiver FROM r LEFT JOIN (VALUES {', '.join(map(str, WAIVED))}) w(o, kind, a, b) ON r.kind = w.kind AND a <= byte_start AND b >= byte_end GROUP BY ALL",
         "sql_code_languages": "WITH c AS (SELECT DISTINCT prep_id, code_no, lower(regexp_extract(coalesce(info, ''), '^[ {.]*([A-Za-z0-9+#-]*)', 1)) AS language, fenced FROM code_regions) SELECT language, count(*) AS blocks, count(*) FILTER (WHERE fenced) AS fenced_blocks, count(*) FILTER (WHERE language IN ('text', 'txt', 'plain', 'plaintext', 'md', 'markdown', 'prose')) AS text_blocks FROM c GROUP BY language",
         "sql_view_blocks": "WITH v AS (SELECT DISTINCT prep_id, norm_text, block_starts FROM norm_views), b AS (SELECT prep_id, strlen(norm_text)::BIGINT AS size, unnest(block_starts) AS start, generate_subscripts(block_starts, 1) - 1 AS n FROM v) SELECT prep_id, n::BIGINT AS n, start, coalesce(lead(start) OVER (PARTITION BY prep_id ORDER BY n), size) AS \"end\" FROM b",
         "sql_removed_characters": "WITH v AS (SELECT DISTINCT prep_id, len(zero_width_removed)::BIGINT AS n FROM norm_views WHERE len(zero_width_removed) > 0) SELECT n, count(*) AS views FROM v GROUP BY n",
@@ -293,4 +296,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Query]:
-    return {k: f for k, f in globals().items() if k.startswith(("ref_", "sql_")) and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("ref_", "sql_")) and callable(f)} | view_queries.queries()
