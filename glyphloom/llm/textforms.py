@@ -94,17 +94,23 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def form_sql(column: str) -> tuple[str, str]:
-    """DuckDB expressions (canonical form, skeleton) of a text column."""
+RARE = {k: v for k, v in SEVERAL.items() if k not in LIGATURES}
+_RARE_CLASS = _quote("[" + "".join(RARE) + "]")
+
+
+def form_sql(column: str, rare: dict[str, str] = RARE) -> tuple[str, str]:
+    """DuckDB expressions (canonical form, skeleton) of a text column; ``rare`` holds the forms of several letters that can occur."""
     e = f"regexp_replace(replace({column}, chr(13) || chr(10), chr(10)), chr(13), chr(10), 'g')"
     e = f"regexp_replace({e}, '[' || {_quote(INVISIBLE)} || ']', '', 'g')"
     e = f"translate({e}, {_quote(''.join(COMPAT))}, {_quote(''.join(COMPAT.values()))})"
-    spelled = "t"
-    for a, b in SEVERAL.items():
-        spelled = f"replace({spelled}, {_quote(a)}, {_quote(b)})"
-    # characters of several letters are rare: the replacements run only over texts that hold one
-    held = _quote("[" + "".join(SEVERAL) + "]")
-    e = f"list_transform([{e}], lambda t: CASE WHEN regexp_matches(t, {held}) THEN {spelled} ELSE t END)[1]"
+    for a, b in LIGATURES.items():
+        e = f"replace({e}, {_quote(a)}, {_quote(b)})"
+    if rare:
+        spelled = "t"
+        for a, b in rare.items():
+            spelled = f"replace({spelled}, {_quote(a)}, {_quote(b)})"
+        # the replacements run only over texts that hold one
+        e = f"list_transform([{e}], lambda t: CASE WHEN regexp_matches(t, {_RARE_CLASS}) THEN {spelled} ELSE t END)[1]"
     skeleton = f"translate({e}, {_quote(''.join(ALIKE))}, {_quote(''.join(ALIKE.values()))})"
     trim = "regexp_replace(regexp_replace(nfc_normalize({}), '[ \\t]+(\\n|$)', '\\1', 'g'), '\\n+$', '')"
     return trim.format(e), trim.format(skeleton)
@@ -140,17 +146,25 @@ def duck():
 def key_batches(batches: Iterator[pa.RecordBatch], keep_text: bool, passing: tuple[str, ...] = ()) -> Iterator[pa.RecordBatch]:
     """(prep_id, passing columns, text) batches to (prep_id, passing columns[, canonical_text, skeleton], raw_key, look_key) by embedded SQL."""
     con = duck()
-    canon, skeleton = form_sql("text")
     along = "".join(f'"{c}", ' for c in passing)
     texts = "canon AS canonical_text, skel AS skeleton," if keep_text else ""
-    sql = (
-        f"SELECT prep_id, {along}{texts} md5(text) AS raw_key, md5(skel) || ':' || length(skel) AS look_key "
-        f"FROM (SELECT prep_id, {along}text, {canon if keep_text else 'NULL'} AS canon, {skeleton} AS skel FROM part)"
-    )
+    known: dict[tuple[str, ...], str] = {}
+
+    def statement(present: tuple[str, ...]) -> str:
+        if present not in known:
+            canon, skeleton = form_sql("text", {c: RARE[c] for c in present})
+            known[present] = (
+                f"SELECT prep_id, {along}{texts} md5(text) AS raw_key, md5(skel) || ':' || length(skel) AS look_key "
+                f"FROM (SELECT prep_id, {along}text, {canon if keep_text else 'NULL'} AS canon, {skeleton} AS skel FROM part)"
+            )
+        return known[present]
+
     for batch in batches:
         con.register("part", pa.Table.from_batches([batch]))
         try:
-            relation = con.sql(sql)
+            # the statement names only the rare forms that a batch holds: planning all of them would cost more than the batch
+            held = con.sql(f"SELECT DISTINCT unnest(regexp_extract_all(text, {_RARE_CLASS})) AS c FROM part WHERE regexp_matches(text, {_RARE_CLASS}) ORDER BY c").fetchall()
+            relation = con.sql(statement(tuple(c for c, in held)))
             result = relation.to_arrow_table() if hasattr(relation, "to_arrow_table") else relation.arrow()
         finally:
             con.unregister("part")
