@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -46,23 +47,34 @@ def find_hits(doc: Doc, norm: NormView, profile: str, settings: Settings = Setti
     return s.run(doc, norm, s.e.scan(doc, norm), mixed, bom)
 
 
-def container(doc: Doc, norm: NormView, h: Hit) -> str:
-    if any(x.start <= h.start < x.end for x in doc.headings):
-        return "heading"
-    if any(s <= h.start and h.end <= e for s, e, _, _ in doc.code):
-        return "fenced-code"
-    k = norm.at_source(h.start)
-    if k is not None:
-        if norm.flags[k] & QUOTED:
-            return "blockquote"
-        if norm.flags[k] & HEADING:
-            return "heading"
-    return "prose"
+class Places:
+    """What holds a place of a document, looked up in tables sorted by their starts."""
 
+    def __init__(self, doc: Doc, norm: NormView):
+        self.norm = norm
+        self.headings = sorted((h.start, h.end) for h in doc.headings)
+        self.code = sorted((s, e) for s, e, _, _ in doc.code)
+        self.sections = sorted((s, level, title) for title, level, s, _ in doc.sections)
 
-def section(doc: Doc, at: int) -> str | None:
-    inside = [(level, s, title) for title, level, s, e in doc.sections if s <= at < e]
-    return max(inside, key=lambda x: x[:2])[2] if inside else None
+    def container(self, h: Hit) -> str:
+        k = bisect_right(self.headings, (h.start, float("inf"))) - 1
+        if k >= 0 and h.start < self.headings[k][1]:
+            return "heading"
+        k = bisect_right(self.code, (h.start, float("inf"))) - 1
+        if k >= 0 and h.end <= self.code[k][1]:
+            return "fenced-code"
+        k = self.norm.at_source(h.start)
+        if k is not None:
+            if self.norm.flags[k] & QUOTED:
+                return "blockquote"
+            if self.norm.flags[k] & HEADING:
+                return "heading"
+        return "prose"
+
+    def section(self, at: int) -> str | None:
+        """Title of the deepest section around a place: that of the last heading before it."""
+        k = bisect_right(self.sections, (at, 7, "")) - 1
+        return self.sections[k][2] if k >= 0 else None
 
 
 def analyze_bytes(raw: bytes, profile: str, input_format: str = "markdown", settings: Settings = Settings(), want: tuple[str, ...] = RELATIONS) -> dict:
@@ -108,12 +120,13 @@ def analyze_bytes(raw: bytes, profile: str, input_format: str = "markdown", sett
     if lost is not None:
         row |= {"status": "instrumentation_error", "error": f"{lost.rule}: source bytes {off(lost.start)}..{off(lost.end)} do not carry what matched"}
         return row
+    places = Places(doc, norm)
     for i, h in enumerate(hits):
         text = p.text[h.start : h.end]
         row["hits"].append({
             "seq": i, "rule_id": h.rule, "start": off(h.start), "end": off(h.end), "quoted": h.quoted, "force_candidate": h.force_candidate,
             "force_hint": h.force_hint, "detail": h.detail, "matched": text, "snippet": text[:SNIPPET].encode()[:SNIPPET].decode(errors="ignore"),
-            "container": container(doc, norm, h), "section": section(doc, h.start),
+            "container": places.container(h), "section": places.section(h.start),
         })
     return row
 

@@ -98,7 +98,10 @@ def close(doc: Doc) -> Doc:
         at = e
     if at < len(text):
         doc.regions.append((at, len(text), "structure"))
-    for i, h in enumerate(doc.headings):
-        end = next((x.start for x in doc.headings[i + 1 :] if x.level <= h.level), len(text))
-        doc.sections.append((h.text, h.level, h.start, end))
+    # from the last heading back: where the next heading of each level stands
+    following = [len(text)] * 7
+    for h in reversed(doc.headings):
+        doc.sections.append((h.text, h.level, h.start, min(following[: h.level + 1])))
+        following[h.level] = h.start
+    doc.sections.reverse()
     return doc

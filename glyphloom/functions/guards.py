@@ -60,10 +60,13 @@ def field_line(t: str) -> bool:
 
 def source_lines(text: str, code: list[tuple[int, int]]) -> tuple[int, int]:
     """(source-shaped lines, non-blank lines) outside the code blocks."""
-    shaped = lines = 0
+    shaped = lines = at = 0
+    code = sorted(code)
     for m in re.finditer(r"[^\n]*(?:\n|\Z)", text):
         t = m[0].strip()
-        if t and not any(s < m.end() and m.start() < e for s, e in code):
+        while at < len(code) and code[at][1] <= m.start():
+            at += 1
+        if t and not (at < len(code) and code[at][0] < m.end()):
             lines += 1
             shaped += code_line(t)
     return shaped, lines

@@ -25,6 +25,7 @@ QUOTE = re.compile(r" {0,3}> ?")
 ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])(?=[ \t]|$)")
 NOTE = re.compile(r" {0,3}\[\^([^\]\s]+)\]:[ \t]*")
 DELIM = re.compile(r"(?=[^\n]{0,80}-)[ \t]{0,60}(?:\|[ \t]*)?:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*(?:\|[ \t]*)?$")
+LINE_END = re.compile(r"\r\n|\n|\r")
 REFDEF = re.compile(
     r" {0,3}\[((?:[^\[\]\\]|\\.){1,999})\]:[ \t]*(?:\n[ \t]*)?(<[^<>\n]*>|[^\s<][^\s]*)"
     r"(?:(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t]*(?=\n|$)"
@@ -90,7 +91,7 @@ class Reader:
         return self.text[line[0] : line[1]]
 
     def next_line(self, end: int) -> int:
-        m = re.compile(r"\r\n|\n|\r").match(self.text, end)
+        m = LINE_END.match(self.text, end)
         return m.end() if m else end
 
     @staticmethod
@@ -429,24 +430,26 @@ class Reader:
             self.doc.paragraph_words.append(self.doc.words - before)
 
     def take_refs(self, body: list[Line]) -> list[Line]:
-        while body:
-            s = self.text[body[0][0] : body[-1][1]] if all(
-                self.next_line(a[1]) == b[0] for a, b in zip(body, body[1:])
-            ) else self.s(body[0])
-            m = REFDEF.match(s)
+        """Takes the reference definitions off the front of a paragraph.  Lines that run on are read as one text, others one by one."""
+        # the last line after which the text does not run on into the next one
+        gap = next((i for i in range(len(body) - 2, -1, -1) if self.next_line(body[i][1]) != body[i + 1][0]), -1)
+        k = 0
+        while k < len(body):
+            at = body[k][0]
+            m = REFDEF.match(self.text, at, body[-1][1] if k > gap else body[k][1])
             if not m or not m[1].strip() or m[1].startswith("^"):
-                return body
-            at = body[0][0]
-            ds, de = at + m.start(2), at + m.end(2)
-            dest = m[2]
+                break
+            ds, de, dest = m.start(2), m.end(2), m[2]
             if dest.startswith("<"):
                 ds, de, dest = ds + 1, de - 1, dest[1:-1]
             title = unescape(m[3][1:-1]) if m[3] is not None else None
-            name = label(m[1])
-            self.defs.append((name, at + len(s) - len(s.lstrip(" ")), at + m.end(), ds, de, unescape(dest), title))
-            rest = [x for x in body if x[0] > at + m.end()]
-            body = rest
-        return body
+            lead = at
+            while self.text[lead] == " ":
+                lead += 1
+            self.defs.append((label(m[1]), lead, m.end(), ds, de, unescape(dest), title))
+            while k < len(body) and body[k][0] <= m.end():
+                k += 1
+        return body[k:]
 
     # tables
 

@@ -15,6 +15,8 @@ from glyphloom.functions.shapes import Span
 
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}'’]+")
 BARRIER = "\ufffd"
+#: Words up to which a set of tuples is asked first.
+SMALL = 4_000
 #: Fixed value: earlier places of one window that are compared, the nearest first.
 NEAREST = 32
 
@@ -45,6 +47,8 @@ class Repeats:
         seen: dict[str, int] = {}
         text = norm.text.replace("’", "'")
         words = _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+        if len(words) <= SMALL and len(set(zip(*(words[d:] for d in range(k))))) == max(0, len(words) - k + 1):
+            words = []  # most short texts repeat nothing, which a set of their windows tells sooner than arrays
         self.ids = np.array([seen.setdefault(w, len(seen)) for w in words], dtype=np.int64)
         self.windows = window_ids(self.ids, k) if len(words) > k else self.ids[:0]
 

@@ -81,9 +81,16 @@ class Engine:
             self.patterns[context] = [
                 (r.id, compiled(p), needles(p)) for r in self.rules.values() if r.id in self.on and in_context(r, context) for p in r.patterns
             ]
-        # literals asked for in the lower-cased text, and in the text as it stands
-        asked = lambda ps, fold: sorted({w for _, rx, need in ps if folds_case(rx.pattern) == fold for o in need for w in o})
-        self.needles = {c: (asked(ps, True), asked(ps, False)) for c, ps in self.patterns.items()}
+        # one automaton a context over the literals that patterns ask for, in lower case; it only says which patterns to try
+        self.needles: dict[str, object] = {}
+        for context, ps in self.patterns.items():
+            literals = sorted({w.lower() for _, _, need in ps for o in need for w in o})
+            auto = self.needles[context] = ahocorasick.Automaton()
+            for w in literals:
+                auto.add_word(w, w)
+            if literals:
+                auto.make_automaton()
+            self.patterns[context] = [(rid, rx, tuple(frozenset(w.lower() for w in o) for o in need)) for rid, rx, need in ps]
 
     def scan(self, doc: Doc, norm: NormView) -> list[Hit]:
         src, hits = doc.text, []
@@ -163,9 +170,8 @@ class Engine:
         table = self.patterns[context]
         if not pieces or not table:
             return
-        folded, exact = self.needles[context]
-        low = hay.lower() if folded else ""
-        there = {w for w in folded if w in low} | {w for w in exact if w in hay}
+        auto = self.needles[context]
+        there = {w for _, w in auto.iter(hay.lower())} if len(auto) else set()
         live = [(rid, rx) for rid, rx, need in table if not any(map(there.isdisjoint, need))]
         if not live:
             return

@@ -1,5 +1,7 @@
 """Rule behaviour on single documents: seed pairs, generated predicates, thresholds, mutations, invariants."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -159,10 +161,67 @@ def test_every_slice_carries_its_trigger(text):
         assert all(carries(doc, norm, h) for h in find_hits(doc, norm, profile))
 
 
-@pytest.mark.parametrize("unit,size", [("​a", 60_000), ("е", 60_000), ("5", 200_000), (" ", 200_000), ("delve ", 9_000), ("&#8203;", 20_000), ("the same nine word phrase again and again here. ", 4_000), ("[", 20_000), ("*a ", 20_000), ("> ", 3_000), ("<div ", 20_000)])
-def test_long_inputs_end_soon(unit, size):
-    import time
+SIZE = 2 * 1024 * 1024 - 64
+FULL = lambda unit: unit.encode() * (SIZE // len(unit.encode()))
+LONG = [
+    # (content, profile, seconds, status): whole inputs near the size limit within 30 s, runs that tempt a pattern within 2 s
+    (FULL("a\u200b"), "general-writing", 30, "instrumentation_error"),
+    (FULL("d\u0435lve "), "general-writing", 30, "instrumentation_error"),
+    (b"delve " * 9000 + FULL("&amp;")[: SIZE - 54_000], "general-writing", 30, "ok"),
+    (FULL("\u0435"), "general-writing", 30, "ok"),
+    (("\u0435" * 16_384 + "a" + "\u0435" * 16_383).encode(), "general-writing", 30, "ok"),
+    (b"the same nine word phrase again and again here. " * 37_000, "general-writing", 60, "ok"),
+    (b"turn1news" + b"5" * 262_144, "doc", 2, "ok"),
+    (b"The catch?" + b" " * 262_144, "general-writing", 2, "ok"),
+]
+
+
+@pytest.mark.parametrize("case", range(len(LONG)))
+def test_long_inputs_end_in_time(case):
+    raw, profile, seconds, status = LONG[case]
+    analyze_bytes(b"warm", profile)
+    began = time.time()
+    assert analyze_bytes(raw, profile)["status"] == status and time.time() - began < seconds
+
 
+@pytest.mark.parametrize("unit", ["[", "*a ", "> ", "<div ", "&#8203;", "- ", "`", "| a ", "<!-- ", "[a](", "\\", "# ", "1. ", "a, not b ", "x: y ", "from a to b ", "# a\n", "[a]: b\n", "```\n", "the vantage of ", "was made by the ", "**a** "])
+def test_long_markup_ends_in_time(unit):
     began = time.time()
-    row = analyze_bytes((unit * size).encode()[: 2 * 1024 * 1024 - 64].decode(errors="ignore").encode(), "general-writing")
-    assert row["status"] in ("ok", "instrumentation_error") and time.time() - began < 60
+    assert analyze_bytes(FULL(unit)[:262_144], "doc")["status"] in ("ok", "instrumentation_error") and time.time() - began < 30
+
+
+@pytest.mark.parametrize("text", ["the same nine word phrase again and again here. " * 37_000, " ".join(f"w{i}" for i in range(250_000))])
+def test_repeats_take_little_memory(text):
+    import tracemalloc
+
+    from glyphloom.functions.normview import NormView
+    from glyphloom.functions.repeats import Repeats
+
+    view = NormView(text)
+    tracemalloc.start()
+    Repeats(view, 8, 10).longest(20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * 1024 * 1024
+
+
+def test_repeats_against_brute_force():
+    import random
+
+    from glyphloom.functions.normview import NormView
+    from glyphloom.functions.repeats import Repeats
+
+    rnd = random.Random(2)
+    for _ in range(300):
+        words = [rnd.choice("abc") for _ in range(rnd.randrange(0, 60))]
+        runs = Repeats(NormView(" ".join(words)), 4, 5).runs()
+        end = 0
+        for x, y, n in runs:
+            # equal, apart, long enough, maximal to the right, and the later copies follow one another
+            assert words[x : x + n] == words[y : y + n] and x + n <= y and n >= 5 and y >= end - n
+            assert y + n == len(words) or x + n == y or words[x + n] != words[y + n]
+            end = y + n
+        # a long repeat is never missed
+        text = " ".join(words)
+        if not runs:
+            assert not any(words[i : i + 5] == words[j : j + 5] for i in range(len(words) - 4) for j in range(i + 5, len(words) - 4)), text
