@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.llm import mixing, operators as ops, textforms
+from glyphloom.llm import mixing, operators as ops, repetition, textforms
 from glyphloom.plans.session import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,7 +136,24 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL
             SELECT DISTINCT 'norm_text', prep_id, md5(norm_text), {norm} FROM norm_views WHERE norm_text IS NOT NULL
         )"""
+    # words: runs of letters, digits and the marks that stay with them; invisible characters out
+    kept, spaceless = "[\\p{L}\\p{N}" + repetition.MARKS + "]+", repetition.SPACELESS.pattern
+    words = f"regexp_extract_all(lower(regexp_replace(text, '[' || {textforms._quote(textforms.INVISIBLE)} || ']', '', 'g')), {textforms._quote(kept)})"
+
+    def covered(rows: str, n: int = repetition.RUN) -> str:
+        """(prep_id, n_words, repeated_words) of (prep_id, words) rows: words in runs of ``n`` that occurred before, each counted once."""
+        return f"""r AS ({rows}), g AS (SELECT prep_id, i, array_to_string(words[i : i + {n - 1}], ' ') AS gram FROM (SELECT prep_id, words, unnest(range(1, len(words) - {n - 2})) AS i FROM r)),
+ f AS (SELECT *, min(i) OVER (PARTITION BY prep_id, gram) AS first FROM g), c AS (SELECT DISTINCT prep_id, i + k AS at FROM f, (SELECT unnest(range(0, {n})) AS k) WHERE i > first),
+ k AS (SELECT prep_id, count(*) AS repeated_words FROM c GROUP BY prep_id), shares AS (SELECT r.prep_id AS prep_id, len(words)::BIGINT AS n_words, coalesce(repeated_words, 0)::BIGINT AS repeated_words FROM r LEFT JOIN k ON r.prep_id = k.prep_id)"""
+
+    one = f"SELECT prep_id, any_value({words}) AS words, any_value(text) AS text FROM prepared WHERE text IS NOT NULL GROUP BY prep_id"
+    letters = "length(regexp_replace(text, '[^\\p{L}]', '', 'g'))"
     return {
+        # the share of letter runs, which decides wherever both readings of a word agree on the limit
+        "p2_found": f"""WITH {covered(one)} SELECT prep_id FROM shares JOIN r USING (prep_id)
+        WHERE n_words > 0 AND repeated_words >= {ops.RULES['repeated_share']} * n_words AND length(regexp_replace(text, {textforms._quote('[^' + spaceless[1:])}, '', 'g')) * 4 < {letters}""",
+        "p2_token_share": f"""WITH t AS (SELECT prep_id, tok_no, max(word) AS word FROM toks WHERE prep_id IS NOT NULL AND tok_no IS NOT NULL GROUP BY ALL),
+        {covered("SELECT prep_id, list(coalesce(word, chr(1) || tok_no::VARCHAR) ORDER BY tok_no) AS words FROM t GROUP BY prep_id")} SELECT prep_id, n_words, repeated_words FROM shares""",
         "p5_found": keyed + """
         SELECT DISTINCT a.field_name AS field_name, a.prep_id AS prep_id_a, b.prep_id AS prep_id_b
         FROM m a JOIN m b ON a.field_name = b.field_name AND a.look = b.look AND a.prep_id < b.prep_id AND a.raw_key <> b.raw_key""",

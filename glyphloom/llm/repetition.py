@@ -9,7 +9,9 @@ import numpy as np
 from glyphloom.llm.textforms import INVISIBLE as FORMS_INVISIBLE
 
 RUN = 6
-LETTERS = re.compile("(?:[^\\W_]|[\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u135d-\u135f])+")
+# Combining marks that belong to the letter before them.
+MARKS = "\u0300-\u036f\u0591-\u05c7\u0610-\u061a\u064b-\u065f\u0670\u0900-\u0903\u093a-\u094f\u0951-\u0957\u0962\u0963\u135d-\u135f"
+LETTERS = re.compile(rf"(?:[^\W_]|[{MARKS}])+")
 PLAIN = re.compile(r"[a-z0-9]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 INVISIBLE = re.compile("[" + FORMS_INVISIBLE + "]")

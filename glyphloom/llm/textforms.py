@@ -118,7 +118,8 @@ def form_sql(column: str, rare: dict[str, str] = RARE) -> tuple[str, str]:
 
 _DROP = {ord(c): None for c in INVISIBLE}
 _ONE = {**_DROP, **{ord(k): v for k, v in COMPAT.items()}, **{ord(k): v for k, v in SEVERAL.items()}}
-_ALL = {**_ONE, **{ord(k): v for k, v in ALIKE.items()}}
+# both steps in one: a compatibility form may be a look-alike itself (a styled Greek capital)
+_ALL = {**{k: v and "".join(ALIKE.get(c, c) for c in v) for k, v in _ONE.items()}, **{ord(k): v for k, v in ALIKE.items() if ord(k) not in _ONE}}
 
 
 def fold(text: str) -> str:

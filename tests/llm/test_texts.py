@@ -225,6 +225,21 @@ def test_look_alike_forms():
     assert textforms.fold("ﾀﾞｶ") == "ダカ" and textforms.fold("№ 5") == "№ 5" and textforms.canonical("дом") == "дом"
 
 
+def test_embedded_sql_equals_the_python_fold():
+    import pyarrow as pa
+
+    rnd = random.Random(21)
+    odd = [*textforms.COMPAT, *textforms.ALIKE, *textforms.SEVERAL, *textforms.INVISIBLE, *"ab \u0301\u0308\n", *"\u0430\u0435\u03bf", "\r\n", "\t"]
+    texts = ["".join(rnd.choice(odd) for _ in range(rnd.randrange(0, 40))) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"prep_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    rows = [r for b in textforms.key_batches(iter([batch]), True) for r in b.to_pylist()]
+    assert [r["prep_id"] for r in rows] == list(range(len(texts)))
+    tidy = lambda s: re.sub(r"[ \t]+(\n|\Z)", r"\1", s).rstrip("\n")
+    even = [t.replace("\r\n", "\n").replace("\r", "\n") for t in texts]
+    assert [r["skeleton"] for r in rows] == [tidy(textforms.fold(t)) for t in even]
+    assert [r["canonical_text"] for r in rows] == [tidy(textforms.canonical(t)) for t in even]
+
+
 def brute_alignment(item, doc, share):
     """Longest common subsequence over every window of the document, without any filter."""
     n = len(item)
