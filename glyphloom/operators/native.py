@@ -33,18 +33,17 @@ def term_rows() -> list[tuple[str, str, str, int]]:
     return out
 
 
-def ngrams(df: DataFrame, key: list[str], text: Column, n: int = NGRAM) -> DataFrame:
-    """(key columns, gram) of every run of 1 to ``n`` words, built in the row without a join or a shuffle."""
+def phrase_places(df: DataFrame, key: list[str], text: Column, phrases: DataFrame, n: int = NGRAM) -> DataFrame:
+    """(key columns, columns of ``phrases``) of every place at which a phrase (column ``gram``, at most ``n`` words) stands.
+
+    Words meet the first words of the phrases in a broadcast join; only from those places runs of words are built,
+    in the row, and joined with the phrases.  Nothing is shuffled.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORDS})"), 1)
-    df = df.select(*key, words.alias("w")).where(F.size("w") > 0)
-    grams = [
-        F.transform(
-            F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>")),
-            (lambda k: lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))(k),
-        )
-        for k in range(1, n + 1)
-    ]
-    return df.select(*key, F.explode(F.concat(*grams)).alias("gram"))
+    heads = phrases.select(F.split("gram", " ")[0].alias("head")).distinct()
+    at = df.select(*key, words.alias("w")).select(*key, "w", F.posexplode("w").alias("i", "head")).join(F.broadcast(heads), "head", "left_semi")
+    grams = [F.when(F.size("w") - F.col("i") >= k, F.array_join(F.slice("w", F.col("i") + 1, F.lit(k)), " ")) for k in range(1, n + 1)]
+    return at.select(*key, F.explode(F.array_compact(F.array(*grams))).alias("gram")).join(F.broadcast(phrases), "gram")
 
 
 def term_hits(df: DataFrame, key: str, text: Column, delivery: str | None = None) -> DataFrame:
@@ -55,7 +54,7 @@ def term_hits(df: DataFrame, key: str, text: Column, delivery: str | None = None
     keys = [key, delivery] if delivery else [key]
     spark = df.sparkSession
     terms = spark.createDataFrame([(r, f, t) for r, f, t, _ in term_rows()], "rule_id string, family string, gram string")
-    out = ngrams(df, keys, text).join(F.broadcast(terms), "gram").groupBy(*keys, "rule_id", "family").agg(F.count("*").alias("hits"))
+    out = phrase_places(df, keys, text, terms).groupBy(*keys, "rule_id", "family").agg(F.count("*").alias("hits"))
     return out.drop(delivery).distinct() if delivery else out
 
 
@@ -253,7 +252,7 @@ def swap_hits(df: DataFrame, key: str, text: Column, delivery: str) -> DataFrame
     """(key, term, plain, hits) of words with a plainer replacement: equi-join of the n-grams with the swap table."""
     rows = [(w, p) for r in policy.rules().values() for w, p in r.swaps.items()]
     swaps = df.sparkSession.createDataFrame(rows, "gram string, plain string")
-    out = ngrams(df, [key, delivery], text).join(F.broadcast(swaps), "gram").groupBy(key, delivery, "gram", "plain").agg(F.count("*").alias("hits"))
+    out = phrase_places(df, [key, delivery], text, swaps).groupBy(key, delivery, "gram", "plain").agg(F.count("*").alias("hits"))
     return out.select(key, F.col("gram").alias("term"), "plain", "hits").distinct()
 
 
