@@ -65,9 +65,9 @@ class Places:
             return "fenced-code"
         k = self.norm.at_source(h.start)
         if k is not None:
-            if self.norm.flags[k] & QUOTED:
+            if self.norm.has(k, QUOTED):
                 return "blockquote"
-            if self.norm.flags[k] & HEADING:
+            if self.norm.has(k, HEADING):
                 return "heading"
         return "prose"
 

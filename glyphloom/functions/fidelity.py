@@ -30,16 +30,11 @@ def render_key(s: str) -> str:
     return lower_ascii(" ".join(ALNUM_RUN.sub(fold, s).split()))
 
 
-def view_text(norm: NormView, start: int, end: int) -> str:
-    """Text of the view that came from a source range."""
-    return "".join(c for c, a, b in zip(norm.text, norm.first, norm.last) if a < end and b > start)
-
-
 def carries(doc: Doc, norm: NormView, h: Hit) -> bool:
     """Whether the slice, the view over it, or a decoded link destination holds the trigger."""
     if not h.trigger or h.trigger in doc.text[h.start : h.end]:
         return True
     want = render_key(h.trigger)
-    if not want or want in render_key(doc.text[h.start : h.end]) or want in render_key(view_text(norm, h.start, h.end)):
+    if not want or want in render_key(doc.text[h.start : h.end]) or want in render_key(norm.from_source(h.start, h.end)):
         return True
     return any(h.trigger in text for s, e, text in doc.decoded if s <= h.start and h.end <= e)

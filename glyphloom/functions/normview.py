@@ -1,4 +1,4 @@
-"""The normalised view of a document: reading text with, for every character, the source range it came from."""
+"""The normalised view of a document: reading text and, run by run, the source ranges it came from."""
 
 from __future__ import annotations
 
@@ -22,45 +22,79 @@ _ALIKE = regex.compile("[" + "".join(LOOKALIKES) + "]")
 
 @dataclass
 class NormView:
+    """Text in runs: run ``i`` begins at ``starts[i]`` of the view and came from source [src[i], end[i]).
+
+    A straight run maps character by character; the characters of any other run all came from the whole of its range.
+    """
+
     text: str = ""
-    first: list[int] = field(default_factory=list)
-    last: list[int] = field(default_factory=list)
+    starts: list[int] = field(default_factory=list)
+    src: list[int] = field(default_factory=list)
+    end: list[int] = field(default_factory=list)
     flags: list[int] = field(default_factory=list)
+    straight: list[bool] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
     lines: list[int] = field(default_factory=list)
     removed: list[int] = field(default_factory=list)
-    #: union of all flags: a flag that no character has needs no look at the characters
+    #: union of all flags: a flag that no run has needs no look at the runs
     bits: int = 0
     _sorted: bool | None = None
 
+    @classmethod
+    def plain(cls, text: str, blocks: list[int]) -> "NormView":
+        """A view that is its own source."""
+        return cls(text, [0], [0], [len(text)], [0], [True], blocks, blocks)
+
+    def _run(self, at: int) -> int:
+        return bisect_right(self.starts, at) - 1
+
     def source(self, a: int, b: int) -> tuple[int, int] | None:
         if a >= b or b > len(self.text):
             return None
-        s, e = self.first[a], self.last[b - 1]
+        i, j = self._run(a), self._run(b - 1)
+        s = self.src[i] + a - self.starts[i] if self.straight[i] else self.src[i]
+        e = self.src[j] + b - self.starts[j] if self.straight[j] else self.end[j]
         return (s, e) if e >= s else None
 
     def at_source(self, at: int) -> int | None:
         """First character of the view that came from source offset ``at``."""
         if self._sorted is None:
-            self._sorted = all(map(le, self.last, islice(self.last, 1, None)))
-        k = bisect_right(self.last, at) if self._sorted else 0
-        while k < len(self.first) and not (self.first[k] <= at < self.last[k]):
-            if self._sorted and self.first[k] > at:
+            reach = [s + 1 if straight else e for s, e, straight in zip(self.src, self.end, self.straight)]
+            self._sorted = all(map(le, self.end, islice(reach, 1, None)))
+        for i in range(bisect_right(self.end, at) if self._sorted else 0, len(self.src)):
+            if self.src[i] <= at < self.end[i]:
+                return self.starts[i] + (at - self.src[i] if self.straight[i] else 0)
+            if self._sorted and self.src[i] > at:
                 return None
-            k += 1
-        return k if k < len(self.first) else None
+        return None
+
+    def from_source(self, start: int, end: int) -> str:
+        """Text of the view that came from a source range."""
+        out = []
+        for i, (n, s, e) in enumerate(zip(self.starts, self.src, self.end)):
+            if s < end and e > start:
+                stop = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.text)
+                out.append(self.text[n + max(0, start - s) : n + min(e, end) - s] if self.straight[i] else self.text[n:stop])
+        return "".join(out)
+
+    def _flags(self, a: int, b: int) -> list[int]:
+        return self.flags[self._run(a) : self._run(b - 1) + 1] if a < b else []
+
+    def has(self, at: int, bit: int) -> bool:
+        return bool(self.bits & bit) and bool(self.flags[self._run(at)] & bit)
 
     def all_quoted(self, a: int, b: int) -> bool:
-        return a >= b or bool(self.bits & QUOTED) and all(f & QUOTED for f in self.flags[a:b])
+        return a >= b or bool(self.bits & QUOTED) and all(f & QUOTED for f in self._flags(a, b))
 
     def any_flag(self, a: int, b: int, bit: int) -> bool:
-        return bool(self.bits & bit) and any(f & bit for f in self.flags[a:b])
+        return bool(self.bits & bit) and any(f & bit for f in self._flags(a, b))
 
     def quoted_before(self) -> np.ndarray | None:
         """Number of quoted characters before every place of the view; None where nothing is quoted."""
         if not self.bits & QUOTED:
             return None
-        return np.concatenate([[0], np.cumsum(np.array(self.flags, dtype=np.int64) & QUOTED)])
+        sizes = np.diff([*self.starts, len(self.text)])
+        return np.concatenate([[0], np.cumsum(np.repeat(np.array(self.flags, dtype=np.int64) & QUOTED, sizes))])
 
     def opens(self, at: int) -> bool:
         """Whether a block, line or sentence opens at ``at``; leading decoration is looked past."""
@@ -87,27 +121,34 @@ class NormView:
 class _Builder:
     def __init__(self, src: str):
         self.src = src
-        self.chars: list[str] = []
-        self.first: list[int] = []
-        self.last: list[int] = []
-        self.flags: list[int] = []
+        self.parts: list[str] = []
+        self.size = 0
         self.view = NormView()
 
+    def _add(self, a: int, b: int, to: str, flags: int, straight: bool) -> None:
+        v = self.view
+        if straight and v.src and v.straight[-1] and v.end[-1] == a and v.flags[-1] == flags:
+            v.end[-1] = b
+        else:
+            v.starts.append(self.size)
+            v.src.append(a)
+            v.end.append(b)
+            v.flags.append(flags)
+            v.straight.append(straight)
+            v.bits |= flags
+        self.parts.append(to)
+        self.size += len(to)
+
     def same(self, a: int, b: int, flags: int) -> None:
         if a < b:
-            self.chars.extend(self.src[a:b])
-            self.first.extend(range(a, b))
-            self.last.extend(range(a + 1, b + 1))
-            self.flags.extend([flags] * (b - a))
-            self.view.bits |= flags
+            self._add(a, b, self.src[a:b], flags, True)
 
     def mapped(self, a: int, b: int, to: str, flags: int) -> None:
-        for c in to:
-            self.chars.append(c)
-            self.first.append(a)
-            self.last.append(b)
-            self.flags.append(flags)
-        self.view.bits |= flags
+        if to:
+            self._add(a, b, to, flags, False)
+
+    def closes_line(self) -> bool:
+        return not self.parts or self.parts[-1].endswith("\n")
 
     def text(self, a: int, b: int, flags: int) -> None:
         s = self.src[a:b]
@@ -181,11 +222,11 @@ def build(doc: Doc) -> NormView:
     for op in doc.ops:
         kind = op[0]
         if kind == "block":
-            if b.chars and b.chars[-1] != "\n":
-                at = b.last[-1]
+            if not b.closes_line():
+                at = v.end[-1]
                 b.mapped(at, at, "\n", 0)
-            v.lines.append(len(b.chars))
-            v.blocks.append(len(b.chars))
+            v.lines.append(b.size)
+            v.blocks.append(b.size)
         elif kind == "text":
             b.text(op[1], op[2], op[3])
         elif kind == "own":
@@ -193,17 +234,17 @@ def build(doc: Doc) -> NormView:
         elif kind == "break":
             b.mapped(op[1], op[2], "\n" if op[3] else " ", op[4])
             if op[3]:
-                v.lines.append(len(b.chars))
+                v.lines.append(b.size)
         else:
             b.mapped(op[1], op[2], "\ufffd", op[3])
-    text = "".join(b.chars)
-    v.text, v.first, v.last, v.flags = text, b.first, b.last, b.flags
-    if not text.isascii():
+    v.text = "".join(b.parts)
+    if not v.text.isascii():
         _fold(v)
     return v
 
 
 def _fold(v: NormView) -> None:
+    """Folds look-alike and compatibility letters, word by word."""
     if not _ALIKE.search(v.text) and unicodedata.is_normalized("NFKC", v.text):
         return
     edits: list[tuple[int, str, bool]] = []
@@ -212,27 +253,49 @@ def _fold(v: NormView) -> None:
             edits += [(m.start() + k, to, f[1]) for k, to in enumerate(f[0]) if to is not None]
     if not edits:
         return
-    text, first, last, flags = [], [], [], []
-    moved: list[tuple[int, int]] = []
+    pieces: list[str] = []
+    at = 0
+    for k, to, _ in edits:
+        pieces += (v.text[at:k], to)
+        at = k + 1
+    pieces.append(v.text[at:])
+    if any(whole or len(to) != 1 for _, to, whole in edits):
+        _refit(v, edits)
+    v.text = "".join(pieces)
+
+
+def _refit(v: NormView, edits: list[tuple[int, str, bool]]) -> None:
+    """Runs, blocks and lines after edits that change sizes or flags (character, its replacement, whether its word folds as a whole)."""
+    old = NormView(v.text, v.starts, v.src, v.end, v.flags, v.straight)
+    b = _Builder("")
+    new = b.view
+    i = 0
+
+    def take(a: int, stop: int, to: str | None, extra: int) -> None:
+        """Characters [a, stop) of the old view, or their replacement, as runs of the new one."""
+        nonlocal i
+        while a < stop:
+            while i + 1 < len(old.starts) and old.starts[i + 1] <= a:
+                i += 1
+            e = min(stop, old.starts[i + 1] if i + 1 < len(old.starts) else len(old.text))
+            here = old.src[i] + a - old.starts[i]
+            text = old.text[a:e] if to is None else to
+            if old.straight[i]:
+                b._add(here, here + e - a, text, old.flags[i] | extra, len(text) == e - a)
+            else:
+                b._add(old.src[i], old.end[i], text, old.flags[i] | extra, False)
+            a = e
+
     at = grown = 0
+    moved: list[tuple[int, int]] = []
     for k, to, whole in edits:
-        text.append(v.text[at:k])
-        first += v.first[at:k]
-        last += v.last[at:k]
-        flags += v.flags[at:k]
-        text.append(to)
-        first += [v.first[k]] * len(to)
-        last += [v.last[k]] * len(to)
-        flags += [v.flags[k] | (FULL_FOLD if whole else 0)] * len(to)
-        v.bits |= FULL_FOLD if whole else 0
+        take(at, k, None, 0)
+        take(k, k + 1, to, FULL_FOLD if whole else 0)
         at = k + 1
         if len(to) != 1:
             grown += len(to) - 1
             moved.append((k, grown))
-    text.append(v.text[at:])
-    first += v.first[at:]
-    last += v.last[at:]
-    flags += v.flags[at:]
+    take(at, len(old.text), None, 0)
 
     def shift(starts: list[int]) -> list[int]:
         out, j, add = [], 0, 0
@@ -243,5 +306,5 @@ def _fold(v: NormView) -> None:
             out.append(s + add)
         return out
 
-    v.text, v.first, v.last, v.flags = "".join(text), first, last, flags
+    v.starts, v.src, v.end, v.flags, v.straight, v.bits = new.starts, new.src, new.end, new.flags, new.straight, new.bits
     v.blocks, v.lines = shift(v.blocks), shift(v.lines)

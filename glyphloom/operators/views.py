@@ -111,8 +111,7 @@ def view_hits(views: DataFrame) -> DataFrame:
         from glyphloom.functions.normview import NormView
         from glyphloom.functions.scan import widest
 
-        n = len(text)
-        view = NormView(text, list(range(n)), list(range(1, n + 1)), [0] * n, starts, starts)
+        view = NormView.plain(text, starts)
         hits: list = []
         _engine().scan_view(view, hits)
         words = count_words(text) if hits else 0
