@@ -17,6 +17,20 @@ from glyphloom.functions.document import FULL_FOLD, QUOTED, Doc
 
 _NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
 _SPECIAL = regex.compile(rf"[&\\{INVISIBLE.pattern[1:]}")
+
+
+def _composing() -> str:
+    """Characters that may join the one before them in canonical composition: second parts of composed letters, Hangul vowels and finals."""
+    out = {chr(o) for o in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for o in (*range(0xC0, 0x3000), *range(0x3040, 0x3100), *range(0xFB00, 0xFB50), *range(0x11000, 0x11A00), *range(0x1D100, 0x1D200)):
+        parts = unicodedata.decomposition(chr(o)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            out.add(chr(int(parts[1], 16)))
+    return "".join(sorted(out))
+
+
+#: A run that holds one of these is normalised as a whole, even if that changes nothing: its characters cannot be told apart by their source.
+_JOINING = regex.compile(f"[{_composing()}]")
 _ALIKE = regex.compile("[" + "".join(LOOKALIKES) + "]")
 
 
@@ -152,7 +166,7 @@ class _Builder:
 
     def text(self, a: int, b: int, flags: int) -> None:
         s = self.src[a:b]
-        if not _SPECIAL.search(s) and (s.isascii() or unicodedata.is_normalized("NFC", s)):
+        if not _SPECIAL.search(s) and (s.isascii() or unicodedata.is_normalized("NFC", s) and not _JOINING.search(s)):
             self.same(a, b, flags)
             return
         i = done = 0
@@ -190,7 +204,7 @@ class _Builder:
                 cut = INVISIBLE.search(s, i, j)
                 j = cut.start() if cut else j
                 run = s[i:j]
-                if not unicodedata.is_normalized("NFC", run):
+                if not unicodedata.is_normalized("NFC", run) or _JOINING.search(run):
                     self.same(a + done, a + i, flags)
                     self.mapped(a + i, a + j, unicodedata.normalize("NFC", run), flags)
                     done = j
@@ -216,7 +230,8 @@ def _folds(token: str) -> tuple[list[str | None], bool] | None:
     return (out, whole) if any(x is not None for x in out) else None
 
 
-def build(doc: Doc) -> NormView:
+def build(doc: Doc, fold: bool = True) -> NormView:
+    """The view of a document; without ``fold`` look-alike and compatibility letters stay as they are."""
     b = _Builder(doc.text)
     v = b.view
     for op in doc.ops:
@@ -238,7 +253,7 @@ def build(doc: Doc) -> NormView:
         else:
             b.mapped(op[1], op[2], "\ufffd", op[3])
     v.text = "".join(b.parts)
-    if not v.text.isascii():
+    if fold and not v.text.isascii():
         _fold(v)
     return v
 

@@ -201,6 +201,11 @@ def suggestion() -> Column:
     )
 
 
+def message(name: Column, detail: Column) -> Column:
+    """The rule's name in words, and what it says about the place."""
+    return F.concat_ws(": ", F.replace(name, F.lit("-"), F.lit(" ")), detail)
+
+
 def analyze(df: DataFrame, profile: str | Column = "general-writing", input_format: str | Column = "markdown", suggest: bool = False, waivers: DataFrame | None = None, deployment: Deployment = Deployment(), now: int | None = None, max_bytes: int = MAX_BYTES, id_column: str = "doc_id", content: str = "text", keep: bool = False, unsupported: str | None = None) -> Analysis:
     """Findings, verdicts, segments, sections and family rates of every document.
 
@@ -228,11 +233,10 @@ def analyze(df: DataFrame, profile: str | Column = "general-writing", input_form
     key = ["doc_id", "sha256", "rule_id", "start", "end", "state"]
     rest = [c for c in found.columns if c not in key and c != "seq"]
     found = found.groupBy(*key).agg(F.min_by(F.struct(*rest), F.coalesce("seq", F.lit(0))).alias("m")).select(*key, "m.*")
-    message = F.concat_ws(": ", F.replace("name", F.lit("-"), F.lit(" ")), "detail")
     fix = F.when(~F.col("force_hint"), suggestion()) if suggest else F.lit(None).cast("string")
     findings = found.where("rule_id is not null").select(
         "doc_id", "profile", "rule_id", "family", "state", "lifecycle", "waived", "start", "end", "view", "container", "snippet", "section", "provenance",
-        fix.alias("replace_with"), message.alias("message"), "word_count",
+        fix.alias("replace_with"), message(F.col("name"), F.col("detail")).alias("message"), "word_count",
     )
     gated = found.groupBy("doc_id", "sha256").agg(
         *(F.first(c).alias(c) for c in doc_columns if c not in ("doc_id", "sha256")), *gate_columns(), F.bool_or(F.col("rule_id") == "J001").alias("adversarial"),

@@ -57,6 +57,38 @@ def _rows(views: DataFrame, ddl: str, each: Callable[[str, list[int]], Iterator[
     return spread(rows).mapInArrow(run, f"prep_id bigint, {ddl}").select("prep_id", *names).distinct()
 
 
+def text_views(df: DataFrame, id_column: str = "prep_id", content: str = "text") -> DataFrame:
+    """(prep_id, view_md5, n_blocks, removed) of documents read as plain text, before any look-alike folding.
+
+    ``view_md5`` is over the view in canonical composition, ``removed`` the byte places of the invisible characters taken out.
+    """
+    schema = pa.schema([("prep_id", pa.int64()), ("view_md5", pa.string()), ("n_blocks", pa.int64()), ("removed", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+        import unicodedata
+
+        from glyphloom.functions.chars import byte_table
+        from glyphloom.functions.markdown import read_text
+        from glyphloom.functions.normview import build
+
+        for b in batches:
+            out: list[list] = [[] for _ in schema]
+            for prep_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if text is None:
+                    continue
+                v = build(read_text(text), fold=False)
+                table = byte_table(text)
+                at = v.removed if table is None else [int(table[k]) for k in v.removed]
+                row = (prep_id, hashlib.md5(unicodedata.normalize("NFC", v.text).encode()).hexdigest(), len(v.blocks), ",".join(map(str, at)))
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    rows = df.select(F.col(id_column).cast("bigint").alias("prep_id"), F.col(content).alias("text"))
+    return spread(rows).mapInArrow(run, "prep_id bigint, view_md5 string, n_blocks bigint, removed string").distinct()
+
+
 def view_blocks(views: DataFrame) -> DataFrame:
     """(prep_id, start, end) of every block: from its start to the next one, white space at its end left out."""
 
@@ -100,7 +132,7 @@ def _engine():
 
 
 def view_hits(views: DataFrame) -> DataFrame:
-    """(prep_id, rule_id, start, end, word_count): word-set and pattern hits of all rules that read the norm view, overlaps
+    """(prep_id, rule_id, matched, start, end, word_count): word-set and pattern hits of all rules that read the norm view, overlaps
     resolved, and the words of the view (maximal runs of word characters).
 
     No rule is off here: stances come in when the hits meet their documents' profiles.
@@ -116,9 +148,9 @@ def view_hits(views: DataFrame) -> DataFrame:
         _engine().scan_view(view, hits)
         words = count_words(text) if hits else 0
         for h in widest(hits):
-            yield h.start, h.end, h.rule, words
+            yield h.start, h.end, h.rule, text[h.start : h.end], words
 
-    return _rows(views, f"{SPAN}, rule_id string, word_count bigint", each)
+    return _rows(views, f"{SPAN}, rule_id string, matched string, word_count bigint", each)
 
 
 def view_findings(views: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -133,6 +165,6 @@ def view_findings(views: DataFrame, profiles: DataFrame) -> DataFrame:
     hits = view_hits(views).join(one, "prep_id")
     no = F.lit(False)
     return resolve(hits.select(
-        F.col("prep_id").alias("doc_id"), F.lit("").alias("sha256"), "profile", "word_count", F.lit(0).alias("seq"), "rule_id", "start", "end",
+        F.col("prep_id").alias("doc_id"), F.lit("").alias("sha256"), "profile", "word_count", F.lit(0).alias("seq"), "rule_id", "matched", "start", "end",
         no.alias("quoted"), no.alias("force_candidate"), no.alias("force_hint"),
     ))

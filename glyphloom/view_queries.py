@@ -68,6 +68,12 @@ def seeded_views(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def ref_text_views(spark: SparkSession, d: str) -> DataFrame:
+    """Our views of the documents that the given table has a view of."""
+    ids = table(prepare(spark), d, "norm_views").where("norm_text is not null").select("prep_id").distinct()
+    return views.text_views(_plain(spark, d)).join(ids, "prep_id", "left_semi")
+
+
 def ref_view_blocks(spark: SparkSession, d: str) -> DataFrame:
     return views.view_blocks(table(prepare(spark), d, "norm_views"))
 
@@ -95,6 +101,13 @@ def ref_view_findings(spark: SparkSession, d: str) -> DataFrame:
     return _found(prepare(spark), d).select("doc_id", "profile", "rule_id", "family", "start", "end", "state", "lifecycle")
 
 
+def ref_view_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    f = _found(prepare(spark), d)
+    return f.select(
+        "doc_id", "rule_id", "start", "end", "matched", analysis.suggestion().alias("replace_with"), analysis.message(F.col("name"), F.lit(None).cast("string")).alias("message")
+    ).where("replace_with is not null")
+
+
 def ref_view_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return analysis.gate(_found(prepare(spark), d).withColumn("waived", F.lit(False)), ["doc_id"])
 
@@ -174,15 +187,16 @@ def oracle_sql() -> dict[str, str]:
  h0 AS (SELECT * FROM r WHERE NOT (bounded AND (regexp_matches(prefix, '[{cont}]$') OR regexp_matches(substring(t, z::INT + 1, 1), '^[{cont}]')))
    AND NOT (opening AND NOT (regexp_replace(prefix, '[{space}{decor}]*$', '') = '' OR regexp_matches(prefix, '\\n[{space}{decor}]*$') OR regexp_matches(prefix, '[.!?:][{space}{decor}]+$')))
    AND NOT EXISTS (SELECT 1 FROM (VALUES {exempt}) e(x_rule, phrase) WHERE x_rule = rule_id AND contains(substring(l, greatest(1, z - length(phrase) + 1)::INT, (a + length(phrase) - greatest(0, z - length(phrase)))::INT), phrase))),
- h1 AS (SELECT DISTINCT prep_id, rule_id, strlen(prefix)::BIGINT AS s, (strlen(prefix) + strlen(term))::BIGINT AS e FROM h0),
+ h1 AS (SELECT prep_id, rule_id, strlen(prefix)::BIGINT AS s, (strlen(prefix) + strlen(term))::BIGINT AS e, min(substring(t, (a + 1)::INT, length(term))) AS matched FROM h0 GROUP BY ALL),
  h2 AS (SELECT *, max(e) OVER (PARTITION BY prep_id, rule_id ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM h1),
- hits AS (SELECT prep_id, rule_id, s, e FROM h2 WHERE reach IS NULL OR e > reach)"""
-    rules = ", ".join(f"('{r.id}', '{r.family}', '{r.tier}', '{r.lifecycle}', {r.human_only})" for r in policy.rules().values())
+ hits AS (SELECT prep_id, rule_id, matched, s, e FROM h2 WHERE reach IS NULL OR e > reach)"""
+    rules = ", ".join(f"('{r.id}', '{r.family}', '{r.tier}', '{r.lifecycle}', {r.human_only}, {quoted(r.name)})" for r in policy.rules().values())
+    swaps = ", ".join(f"({quoted(w)}, {quoted(p)})" for w, p in policy.rules()["A009"].swaps.items())
     stances = ", ".join(f"('{r}', '{p}', '{s}')" for r, p, s in policy.stance_rows())
     relaxed = "CASE WHEN stance = 'relax' AND tier = 'violation' THEN 'candidate' ELSE tier END AS state, CASE WHEN stance = 'relax' AND tier = 'candidate' THEN 'advisory' ELSE lifecycle END AS lifecycle"
     found = f"""{hits}, prof AS (SELECT prep_id, coalesce(min(profile), 'general-writing') AS profile FROM prepared GROUP BY prep_id),
- found AS (SELECT prep_id AS doc_id, profile, rule_id, family, s AS start, e AS "end", human_only, {relaxed}
-  FROM hits JOIN prof USING (prep_id) JOIN (VALUES {rules}) ru(rule_id, family, tier, lifecycle, human_only) USING (rule_id) JOIN (VALUES {stances}) st(rule_id, profile, stance) USING (rule_id, profile) WHERE stance <> 'off')"""
+ found AS (SELECT prep_id AS doc_id, profile, rule_id, family, name, matched, s AS start, e AS "end", human_only, {relaxed}
+  FROM hits JOIN prof USING (prep_id) JOIN (VALUES {rules}) ru(rule_id, family, tier, lifecycle, human_only, name) USING (rule_id) JOIN (VALUES {stances}) st(rule_id, profile, stance) USING (rule_id, profile) WHERE stance <> 'off')"""
     by_unix = {r[4]: waivers.unix_time(r[4]) for r in waiver_rows()}
     given = ", ".join(f"({quoted(r)}, {a}, {b}, {quoted(s) if s else 'NULL::VARCHAR'}, {by_unix[x] if by_unix[x] is not None else 'NULL::BIGINT'}, {o})" for r, a, b, s, x, o in waiver_rows())
     line = f"""one AS (SELECT DISTINCT prep_id, text FROM prepared WHERE text IS NOT NULL),
@@ -224,6 +238,10 @@ def oracle_sql() -> dict[str, str]:
  SELECT prep_id, s AS start, (s + strlen(piece))::BIGINT AS "end", translate(regexp_replace(regexp_replace(piece, '^[^{alnum}'']+', ''), '[^{alnum}'']+$', ''), '{upper}', '{small}') AS bare FROM x WHERE NOT regexp_matches(piece, '^[{space}]')""",
         "ref_view_hits": f"WITH {hits} SELECT prep_id, rule_id, s AS start, e AS \"end\" FROM hits",
         "ref_view_findings": f"WITH {found} SELECT doc_id, profile, rule_id, family, start, \"end\", state, lifecycle FROM found",
+        "ref_text_views": "SELECT DISTINCT prep_id, md5(nfc_normalize(norm_text)) AS view_md5, len(block_starts)::BIGINT AS n_blocks, array_to_string(zero_width_removed, ',') AS removed FROM norm_views WHERE norm_text IS NOT NULL",
+        "ref_view_suggestions": f"""WITH {found}, w AS (SELECT *, CASE WHEN rule_id = 'A009' THEN CASE WHEN regexp_matches(matched, '^\\p{{Lu}}') THEN upper(plain[1]) || plain[2:] ELSE plain END WHEN rule_id IN ('M003', 'M006', 'T001', 'I001') THEN '' END AS replace_with
+  FROM found LEFT JOIN (VALUES {swaps}) sw(term, plain) ON rule_id = 'A009' AND translate(matched, '{upper}', '{small}') = term)
+ SELECT doc_id, rule_id, start, "end", matched, replace_with, replace(name, '-', ' ') AS message FROM w WHERE replace_with IS NOT NULL""",
         "ref_view_verdicts": f"""WITH {found}, g AS (SELECT doc_id, bool_or(lifecycle = 'blocking' AND state = 'violation') AS v, bool_or(lifecycle = 'blocking' AND state = 'candidate') AS c, count(*) AS findings FROM found GROUP BY doc_id)
  SELECT doc_id, CASE WHEN v THEN 'violations_present' WHEN c THEN 'candidates_present' ELSE 'no_findings' END AS result_state, CASE WHEN v THEN 10 WHEN c THEN 20 ELSE 0 END::BIGINT AS exit_code, findings FROM g""",
         "ref_view_families": f"""WITH {found}, n AS (SELECT prep_id AS doc_id, len(regexp_extract_all(t, '[{cont}]+'))::BIGINT AS words FROM seeded), f AS (SELECT doc_id, family, count(*) AS findings FROM found GROUP BY ALL)
@@ -240,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
  UNION ALL SELECT DISTINCT prep_id, sha256(''), 0, 0, 'unsupported_input', 0, 0, 0, 0, '' FROM prepared WHERE text IS NULL""",
         "ref_text_flags": f"""WITH {stats}, pr AS (SELECT DISTINCT prep_id, text, coalesce(profile, 'general-writing') AS profile FROM prepared WHERE text IS NOT NULL),
  fl AS (SELECT prep_id, text, profile, unnest([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, c in flags.items())}]) AS rule_id FROM st JOIN pr USING (prep_id, text) WHERE ok)
- SELECT DISTINCT prep_id AS doc_id, rule_id, family, {relaxed}, 0::BIGINT AS start, strlen(substring(text, 1, 1))::BIGINT AS "end" FROM fl JOIN (VALUES {rules}) ru(rule_id, family, tier, lifecycle, human_only) USING (rule_id) JOIN (VALUES {stances}) t(rule_id, profile, stance) USING (rule_id, profile) WHERE stance <> 'off'""",
+ SELECT DISTINCT prep_id AS doc_id, rule_id, family, {relaxed}, 0::BIGINT AS start, strlen(substring(text, 1, 1))::BIGINT AS "end" FROM fl JOIN (VALUES {rules}) ru(rule_id, family, tier, lifecycle, human_only, name) USING (rule_id) JOIN (VALUES {stances}) t(rule_id, profile, stance) USING (rule_id, profile) WHERE stance <> 'off'""",
     }
 
 

@@ -35,3 +35,28 @@ def test_query(spark, folder, name):
     if kind == "empty" and name not in ("sql_pattern_documents",):
         assert rows == []
     assert len(set(map(str, rows))) == len(rows)
+
+
+def test_views_with_odd_rows(spark):
+    from pyspark.sql import functions as F
+
+    from glyphloom.operators import views
+
+    ddl = "prep_id bigint, norm_text string, block_starts array<bigint>, start string, rule_id int"
+    rows = [(1, "Äh. We delve!\nHowever, so.", [0, 15, None, 1, 99], "x", 1), (1, "Äh. We delve!\nHowever, so.", [0, 15, None, 1, 99], "y", 2), (2, None, [0], "x", 1), (3, "", [], "x", 1), (4, "a b", None, "x", 1), (None, "very", [0], "x", 1)]
+    v = spark.createDataFrame(rows, ddl)
+    got = lambda df: {tuple(r) for r in df.collect()}
+    # the start inside a character and those outside the text are left out
+    assert got(views.view_blocks(v)) == {(1, 0, 14), (1, 15, 27), (4, 0, 3), (None, 0, 4)}
+    assert got(views.view_sentences(v)) == {(1, 0, 4), (1, 4, 14), (1, 15, 27), (4, 0, 3), (None, 0, 4)}
+    assert (1, 8, 14, "delve") in got(views.view_tokens(v)) and (1, 0, 4, "Äh") in got(views.view_tokens(v))
+    hits = got(views.view_hits(v).select("prep_id", "rule_id", "start", "end"))
+    assert {(1, "A001", 8, 13), (1, "M003", 15, 22), (None, "I001", 0, 4)} <= hits
+    profiles = spark.createDataFrame([(1, "doc"), (1, None), (4, "email")], "prep_id bigint, profile string")
+    assert {r["profile"] for r in views.view_findings(v, profiles).collect()} == {"doc"}
+    texts = spark.createDataFrame([(1, "- a\n\n> b​c", 1), (2, None, 1), (3, "", 1)], "prep_id bigint, text string, removed int")
+    out = {r["prep_id"]: (r["n_blocks"], r["removed"]) for r in views.text_views(texts).collect()}
+    assert out == {1: (2, "8"), 3: (0, "")}
+    for f in (views.view_blocks, views.view_sentences, views.view_tokens, views.view_hits):
+        assert f(v.limit(0)).count() == 0
+    assert views.text_views(texts.where(F.lit(False))).count() == 0
