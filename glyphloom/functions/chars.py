@@ -69,7 +69,7 @@ def lower_ascii(s: str) -> str:
 
 
 def count_words(s: str) -> int:
-    return sum(1 for _ in WORD.finditer(s))
+    return len(WORD.findall(s))
 
 
 def byte_table(s: str) -> np.ndarray | None:
