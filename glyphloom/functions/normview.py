@@ -15,7 +15,9 @@ import regex
 from glyphloom.functions.chars import ALNUM_RUN, DECOR_TAIL, INVISIBLE, IS_DECOR, LOOKALIKES, PUNCT, entity, numeric_ref
 from glyphloom.functions.document import FULL_FOLD, QUOTED, Doc
 
-_NON_ASCII = regex.compile(r"[^\x00-\x7f]+")
+_SPOT = regex.compile(
+    rf"(?V1)(?P<reference>&)|\\(?P<escape>(?<=\\)[{regex.escape(''.join(sorted(PUNCT)))}])|(?P<invisible>{INVISIBLE.pattern})|(?P<run>[[^\x00-\x7f]--{INVISIBLE.pattern}]+)"
+)
 _SPECIAL = regex.compile(rf"[&\\{INVISIBLE.pattern[1:]}")
 
 
@@ -165,53 +167,46 @@ class _Builder:
         return not self.parts or self.parts[-1].endswith("\n")
 
     def text(self, a: int, b: int, flags: int) -> None:
+        """Source text: what one of the readers of ``_SPOT`` gives another form for is mapped, the rest goes through as it stands."""
         s = self.src[a:b]
         if not _SPECIAL.search(s) and (s.isascii() or unicodedata.is_normalized("NFC", s) and not _JOINING.search(s)):
             self.same(a, b, flags)
             return
-        i = done = 0
-        n = len(s)
-        while i < n:
-            c = s[i]
-            if c == "&":
-                known = entity(s, i)
-                if known:
-                    size, to = known
-                else:
-                    verdict, size, to = numeric_ref(s, i)
-                    if verdict == "literal":
-                        i += 1
-                        continue
-                    to = unicodedata.normalize("NFC", to) if verdict == "decode" else "\ufffd"
-                self.same(a + done, a + i, flags)
-                self.mapped(a + i, a + i + size, to, flags)
-                i += size
-                done = i
-            elif c == "\\" and i + 1 < n and s[i + 1] in PUNCT:
-                self.same(a + done, a + i, flags)
-                self.mapped(a + i, a + i + 2, s[i + 1], flags)
-                i += 2
-                done = i
-            elif c < "\x80":
-                i += 1
-            elif INVISIBLE.match(c):
-                self.same(a + done, a + i, flags)
-                self.view.removed.append(a + i)
-                i += 1
-                done = i
-            else:
-                j = _NON_ASCII.match(s, i).end()
-                cut = INVISIBLE.search(s, i, j)
-                j = cut.start() if cut else j
-                run = s[i:j]
-                if not unicodedata.is_normalized("NFC", run) or _JOINING.search(run):
-                    self.same(a + done, a + i, flags)
-                    self.mapped(a + i, a + j, unicodedata.normalize("NFC", run), flags)
-                    done = j
-                i = j
+        at = done = 0
+        while m := _SPOT.search(s, at):
+            at, form = _READERS[m.lastgroup](s, m)
+            if form is None:
+                continue
+            if m.lastgroup == "invisible":
+                self.view.removed.append(a + m.start())
+            self.same(a + done, a + m.start(), flags)
+            self.mapped(a + m.start(), a + at, form, flags)
+            done = at
         self.same(a + done, b, flags)
 
 
+def _reference(s: str, m: regex.Match) -> tuple[int, str | None]:
+    """A character reference: the listed entities, and numbers that name a visible character; hidden or overlong ones leave a barrier."""
+    at = m.start()
+    if known := entity(s, at):
+        return at + known[0], known[1]
+    verdict, size, c = numeric_ref(s, at)
+    if verdict == "literal":
+        return at + 1, None
+    return at + size, unicodedata.normalize("NFC", c) if verdict == "decode" else "\ufffd"
+
+
+def _composed(s: str, m: regex.Match) -> tuple[int, str | None]:
+    """A run beyond ASCII in canonical composition, or None where that is what stands there."""
+    plain = unicodedata.is_normalized("NFC", m[0]) and not _JOINING.search(m[0])
+    return m.end(), None if plain else unicodedata.normalize("NFC", m[0])
+
+
+_READERS = {
+    "reference": _reference, "escape": lambda s, m: (m.end(), m[0][1]), "invisible": lambda s, m: (m.end(), ""), "run": _composed,
+}
+
+
 @lru_cache(maxsize=1 << 16)
 def _folds(token: str) -> tuple[list[str | None], bool] | None:
     """Replacement of each character of one word, and whether the word folds only because all of it can."""
