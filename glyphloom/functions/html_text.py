@@ -1,8 +1,10 @@
-"""Visible text, comments and hidden bodies of raw HTML inside a document."""
+"""Visible text, comments and hidden bodies of raw HTML inside a document: one lexer, and folds over its pieces."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from glyphloom.functions.document import HTML_TEXT, Doc
 
@@ -17,13 +19,10 @@ TAG = re.compile(r"<(?=[A-Za-z/!?])(?:[^<>\"']|<|\"[^\"]*\"|'[^']*')*?>", re.S)
 NAME = re.compile(r"</?([A-Za-z0-9-]*)")
 
 
-def tag_name(tag: str) -> str:
-    m = NAME.match(tag)
-    return m[1].lower() if m else ""
-
-
-def _self_closed(tag: str) -> bool:
-    return tag.endswith("/>") and "=" not in re.split(r"[\s\"']", tag[:-2])[-1]
+LEX = re.compile(r"(?P<comment><!--)|(?P<cdata><!\[cdata\[)|(?P<tag><(?=[A-Za-z/!?]))|(?P<space>\s+)|(?P<text>[^\s<]+|<)", re.I)
+COMMENT = re.compile(r"<!--(?:(.*?)-->)?", re.S)
+#: A slash that closes a tag at once: it ends no attribute value.
+CLOSED_AT_ONCE = re.compile(r"(?:[\s\"']|^)[^\s\"'=]*/>\Z")
 
 
 def _tag(name: str, closing: bool) -> re.Pattern:
@@ -34,137 +33,124 @@ OPENERS = {n: _tag(n, False) for n in (*SKIPPED, "template")}
 CLOSERS = {n: _tag(n, True) for n in (*SKIPPED, "template")}
 
 
-def _hidden_trouble(body: str) -> int | None:
-    """First place inside a skipped body that a browser would read otherwise."""
-    spots = [m.start() for m in re.finditer(r"<!\[cdata\[|--!>", body, re.I)]
-    m = OPENERS["template"].search(body)
-    if m:
-        spots.append(m.start())
+HIDING = re.compile(r"<!\[cdata\[|--!>|<template(?=[>/\s]|\Z)", re.I)
+SCRIPT = re.compile(r"<(script|style)(?=[>/\s])", re.I)
+
+
+class Piece(NamedTuple):
+    """A stretch of the source: text, space, comment, tag, or what ends the reading; ``bad`` is the first place a browser would read otherwise."""
+
+    kind: str
+    start: int
+    end: int
+    name: str = ""
+    bad: int | None = None
+
+
+def _hiding(body: str) -> int | None:
+    """First place inside a body that is not read which hides more than its end tag says."""
+    spots = [m.start() for m in (HIDING.search(body),) if m]
     for n in SKIPPED:
-        for m in OPENERS[n].finditer(body):
-            t = TAG.match(body, m.start())
-            if not t:
+        tags = (TAG.match(body, m.start()) for m in OPENERS[n].finditer(body))
+        for t in tags:
+            if t is None:
                 break
-            if _self_closed(t[0]):
-                spots.append(m.start())
+            if CLOSED_AT_ONCE.search(t[0]):
+                spots.append(t.start())
                 break
     return min(spots, default=None)
 
 
-def read_html(doc: Doc, start: int, end: int) -> None:
-    """Adds comments, visible text ops, anomalies and script or style bodies of the run ``start:end``."""
-    s = doc.text[start:end]
+def lex(s: str) -> Iterator[Piece]:
+    """Pieces from left to right; bodies that are not read are jumped over, and what never closes ends the reading."""
     at = 0
-    while (o := s.find("<!--", at)) >= 0:
-        c = s.find("-->", o + 4)
-        if c < 0:
-            doc.open_comment = doc.open_comment or (start + o, end)
+    while m := LEX.match(s, at):
+        kind, i, at = m.lastgroup, m.start(), m.end()
+        if kind == "comment":
+            at = s.find("-->", i + 4) + 3
+            if at < 3:
+                return
+            odd = s.find("--!>", i + 4, at - 3)
+            yield Piece(kind, i, at, bad=i if odd >= 0 else None)
+        elif kind == "cdata":
+            yield Piece(kind, i, len(s), bad=i)
             return
-        doc.comments.append((start + o, start + c + 3, s[o + 4 : c].strip()))
-        at = c + 3
-    pieces: list[tuple] = []
-    trouble: int | None = None
-    n, i, run, space, shown = len(s), 0, -1, None, False
-
-    def stop(to: int) -> None:
-        nonlocal run
-        if 0 <= run < to:
-            pieces.append(("text", run, to))
-        run = -1
-
-    def part() -> None:
-        nonlocal shown, space
-        if shown:
-            pieces.append(("block",))
-        shown, space = False, None
-
-    while i < n:
-        c = s[i]
-        if c == "<":
-            if s.startswith("<!--", i):
-                stop(i)
-                e = s.find("-->", i + 4)
-                if e < 0:
-                    break
-                if trouble is None and "--!>" in s[i + 4 : e]:
-                    trouble = i
-                i = e + 3
+        elif kind == "tag":
+            t = TAG.match(s, i)
+            if t is None:
+                return
+            at = t.end()
+            name = NAME.match(t[0])[1].lower()
+            body = None if t[0].startswith("</") else CLOSERS.get(name)
+            whole = name == "template" or not CLOSED_AT_ONCE.search(t[0])
+            if body is None or not whole:
+                yield Piece(kind, i, at, name, i if body is not None else None)
                 continue
-            if s[i : i + 9].lower() == "<![cdata[":
-                stop(i)
-                trouble = i if trouble is None else trouble
-                break
-            if i + 1 < n and (s[i + 1].isascii() and s[i + 1].isalpha() or s[i + 1] in "/!?"):
-                stop(i)
-                m = TAG.match(s, i)
-                if not m:
-                    break
-                tag, name, opening = m[0], tag_name(m[0]), not m[0].startswith("</")
-                if opening and name == "template":
-                    trouble = i if trouble is None else trouble
-                    e = CLOSERS["template"].search(s, m.end())
-                    if not e:
-                        break
-                    t = TAG.match(s, e.start())
-                    i = t.end() if t else n
-                    part()
-                    continue
-                if opening and name in SKIPPED:
-                    if _self_closed(tag):
-                        trouble = i if trouble is None else trouble
-                    else:
-                        e = CLOSERS[name].search(s, m.end())
-                        body_end = e.start() if e else n
-                        if trouble is None and (h := _hidden_trouble(s[m.end() : body_end])) is not None:
-                            trouble = m.end() + h
-                        if not e:
-                            break
-                        t = TAG.match(s, e.start())
-                        i = t.end() if t else n
-                        part()
-                        continue
-                if name not in INLINE:
-                    part()
-                i = m.end()
+            end = body.search(s, at)
+            inner = _hiding(s[at : end.start() if end else len(s)]) if name != "template" else None
+            bad = i if name == "template" else None if inner is None else at + inner
+            if end is None:
+                yield Piece("open", i, len(s), name, bad)
+                return
+            close = TAG.match(s, end.start())
+            at = close.end() if close else len(s)
+            yield Piece("hidden", i, at, name, bad)
+        else:
+            yield Piece(kind, i, at)
+
+
+def visible(s: str) -> tuple[list[Piece], int | None]:
+    """Text as a reader sees it (text, one space between words, and a break between blocks), and the first trouble."""
+    out: list[Piece] = []
+    gap: tuple[int, int] | None = None
+    shown = False
+    trouble: int | None = None
+    for p in lex(s):
+        trouble = p.bad if trouble is None else trouble
+        if p.kind == "text":
+            if out and out[-1].kind == "text" and out[-1].end == p.start:
+                out[-1] = out[-1]._replace(end=p.end)
                 continue
-        if c.isspace():
-            stop(i)
-            space = (space[0] if space else i, i + 1)
-            i += 1
-            continue
-        if run < 0:
-            if shown and space:
-                pieces.append(("space", *space))
-            space = None
-            run, shown = i, True
-        i += 1
-    stop(n)
+            if shown and gap:
+                out.append(Piece("space", *gap))
+            out.append(p)
+            gap, shown = None, True
+        elif p.kind == "space":
+            gap = (gap[0] if gap else p.start, p.end)
+        elif p.kind == "hidden" or p.kind == "tag" and p.name not in INLINE:
+            if shown:
+                out.append(Piece("block", p.start, p.start))
+            gap, shown = None, False
+    return out, trouble
+
+
+def read_html(doc: Doc, start: int, end: int) -> None:
+    """Adds comments, visible text ops, anomalies and script or style bodies of the run ``start:end``."""
+    s = doc.text[start:end]
+    for m in COMMENT.finditer(s):
+        if m[1] is None:
+            # what a comment without an end hides is not read at all
+            doc.open_comment = doc.open_comment or (start + m.start(), end)
+            return
+        doc.comments.append((start + m.start(), start + m.end(), m[1].strip()))
+    pieces, trouble = visible(s)
     if trouble is not None and doc.bad_html is None:
         doc.bad_html = (start + trouble, end)
-    if any(p[0] == "text" for p in pieces):
+    if any(p.kind == "text" for p in pieces):
         doc.ops.append(("block",))
         for p in pieces:
-            if p[0] == "text":
-                doc.ops.append(("text", start + p[1], start + p[2], HTML_TEXT))
-                doc.html_visible.append((start + p[1], start + p[2]))
-            elif p[0] == "space":
-                doc.ops.append(("own", start + p[1], start + p[2], " ", HTML_TEXT))
-                doc.html_visible.append((start + p[1], start + p[2]))
-            else:
-                doc.ops.append(("block",))
+            a, b = start + p.start, start + p.end
+            doc.ops.append({"text": ("text", a, b, HTML_TEXT), "space": ("own", a, b, " ", HTML_TEXT), "block": ("block",)}[p.kind])
+            if p.kind != "block":
+                doc.html_visible.append((a, b))
     at = 0
-    while at < n:
-        hits = [m for name in ("script", "style") if (m := OPENERS[name].search(s, at)) and m.end() < n]
-        if not hits:
-            break
-        m = min(hits, key=lambda x: x.start())
-        name = "script" if s[m.start() + 1 : m.start() + 7].lower() == "script" else "style"
-        t = TAG.match(s, m.start())
-        e = CLOSERS[name].search(s, t.end()) if t else None
-        if not t or not e:
+    while m := SCRIPT.search(s, at):
+        tag = TAG.match(s, m.start())
+        close = CLOSERS[m[1].lower()].search(s, tag.end()) if tag else None
+        if close is None:
             doc.open_script = doc.open_script or (start + m.start(), end)
             break
-        if s[t.end() : e.start()].strip():
-            doc.dropped.append((start + t.end(), start + e.start()))
-        t = TAG.match(s, e.start())
-        at = t.end() if t else n
+        if s[tag.end() : close.start()].strip():
+            doc.dropped.append((start + tag.end(), start + close.start()))
+        after = TAG.match(s, close.start())
+        at = after.end() if after else len(s)
