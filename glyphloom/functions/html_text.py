@@ -25,6 +25,12 @@ COMMENT = re.compile(r"<!--(?:(.*?)-->)?", re.S)
 CLOSED_AT_ONCE = re.compile(r"(?:[\s\"']|^)[^\s\"'=]*/>\Z")
 
 
+def tag_name(tag: str) -> str:
+    """Lower-case element name of a tag; empty for declarations."""
+    m = NAME.match(tag)
+    return m[1].lower() if m else ""
+
+
 def _tag(name: str, closing: bool) -> re.Pattern:
     return re.compile(rf"<{'/' if closing else ''}{name}(?=[>/\s]|\Z)", re.I)
 
@@ -80,7 +86,7 @@ def lex(s: str) -> Iterator[Piece]:
             if t is None:
                 return
             at = t.end()
-            name = NAME.match(t[0])[1].lower()
+            name = tag_name(t[0])
             body = None if t[0].startswith("</") else CLOSERS.get(name)
             whole = name == "template" or not CLOSED_AT_ONCE.search(t[0])
             if body is None or not whole:
