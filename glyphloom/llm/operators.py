@@ -1,7 +1,8 @@
 """DataFrame operators of the eight training-data problems.
 
-Texts never leave the scan side: parsing runs in Arrow batches next to the scan and only
-narrow results (spans, keys, measures) are shuffled.
+Texts stay on the scan side: parsing runs in Arrow batches next to the scan and only
+narrow results (spans, keys, measures) are shuffled.  The one exception is named where it stands: beyond
+the bound of its broadcast index, problem 6 fetches the texts of candidate documents (``joined_leaks``).
 """
 
 from __future__ import annotations
